@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import mixing, neardup, packing, quality, secret_scan
+from barwright.llm import binary_output, fingerprints, mixing, neardup, packing, quality, secret_scan
 from barwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.chained(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,11 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op9_retrieval_packing)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op9_retrieval_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
