@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import binary_output, fingerprints, mixing, neardup, packing, quality, secret_scan
+from barwright.llm import binary_output, fingerprints, html_text, mixing, neardup, packing, quality, secret_scan
 from barwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.joined(table(spark, sf_dir, "documents"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op9_retrieval_packing, op10_token_files)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op8_page_text, op9_retrieval_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
