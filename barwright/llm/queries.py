@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import binary_output, fingerprints, html_text, mixing, neardup, packing, quality, secret_scan, toxicity
+from barwright.llm import binary_output, fingerprints, html_text, mixing, neardup, packing, pii, quality, secret_scan, toxicity
 from barwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op4_toxicity, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op8_page_text, op9_retrieval_packing, op10_token_files)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op3_personal_data, op4_toxicity, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op8_page_text, op9_retrieval_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
