@@ -127,7 +127,7 @@ def _shards(batches: Iterator[pa.RecordBatch], docs: int, chars: int) -> Iterato
         yield ids, texts
 
 
-def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096, terms: int = 12, shard_docs: int = 10_000, shard_chars: int = 32_000_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096, terms: int = 12, shard_docs: int = 4000, shard_chars: int = 12_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of documents with their places in sequences of at most window ids; with_ids adds each piece's ids.
 
     terms: how many of a seed's weightiest terms are looked up. shard_docs, shard_chars: a shard's bounds.

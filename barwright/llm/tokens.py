@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words joined to one call of the tokenizer, and words that a worker remembers before it starts afresh.
-JOINED, REMEMBERED = 128, 500_000
+JOINED, REMEMBERED = 128, 400_000
+#: Characters that are looked up at once, which bounds the memory of a call.
+PART = 8_000_000
 _ODD = re.compile(r"\A\Z|\n\n|\A\n|\n\Z|[^\S\n]")
 _MARKS = frozenset(".,;:!?")
 
@@ -45,35 +47,62 @@ class Words:
     """Ids of words after a blank (or, where blanks are dropped, anywhere), kept in one pool."""
 
     def __init__(self, path: str, blanks_dropped: bool):
-        self.tok, self.lead = tokenizer(path), "" if blanks_dropped else " "
+        self.tok, self.fold = tokenizer(path), blanks_dropped
+        self.lead = "" if blanks_dropped else " "
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, np.uint32) for m in _MARKS}
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.odd: set[int] = set()
         self.ids, self.starts, self.counts = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Places in the pool; encodes what is new."""
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.at)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.counts = np.concatenate([self.counts, counts])
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _encode(self, words: list[str]) -> None:
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        ids_of, count_of, lead = [], [], len(self.lead)
+        for group, enc in zip(groups, self.tok.encode_batch([self.lead + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            begins = np.cumsum([lead] + [len(p) + 1 for p in group[:-1]]) - 1  # an offset may begin at the blank
+            owner = np.searchsorted(begins, [o[0] for o in enc.offsets], side="right") - 1
+            count_of.append(np.bincount(np.maximum(owner, 0), minlength=len(group)))
+            ids_of.append(np.array(enc.ids, np.uint32))
+        self._add(words, _cat(ids_of, np.uint32), _cat(count_of, np.int64))
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """Places in the pool; encodes what is new. A new piece is a word, or a word and a mark."""
         if len(self.at) > REMEMBERED:
             self.clear()
         at = self.at
-        new = [w for w in words if w not in at]
+        new = [p for p in pieces if p not in at]
         if new:
-            groups = [new[k : k + JOINED] for k in range(0, len(new), JOINED)]
-            ids_of, count_of = [], []
-            lead = len(self.lead)
-            for group, enc in zip(groups, self.tok.encode_batch([self.lead + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                begins = np.cumsum([lead] + [len(p) + 1 for p in group[:-1]]) - 1  # an offset may begin at the blank
-                owner = np.searchsorted(begins, [o[0] for o in enc.offsets], side="right") - 1
-                count_of.append(np.bincount(np.maximum(owner, 0), minlength=len(group)))
-                ids_of.append(np.array(enc.ids, np.uint32))
-            counts = _cat(count_of, np.int64)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.ids = np.concatenate([self.ids, _cat(ids_of, np.uint32)])
-            self.counts = np.concatenate([self.counts, counts])
-            for k, w in enumerate(new, len(at)):
-                at[w] = k
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            odd = [p for p in new if p == "" or (not p.isprintable() and _ODD.search(p))]
+            if odd:
+                n = len(at)
+                self._add(odd, np.zeros(0, np.uint32), np.zeros(len(odd), np.int64))
+                self.odd.update(range(n, n + len(odd)))
+                new = [p for p in new if p not in at]
+            base_of = {}
+            for p in new:
+                b = p[:-1] if p[-1] in _MARKS and len(p) > 1 and p[-2].isalpha() else p
+                base_of[p] = b.lower() if self.fold and b.isascii() else b
+            if bases := [b for b in dict.fromkeys(base_of.values()) if b not in at]:
+                self._encode(bases)
+            if rest := [p for p in new if p not in at]:
+                ids, counts, starts = self.ids, self.counts, self.starts
+                none = np.zeros(0, np.uint32)
+                parts = []
+                for p in rest:
+                    b = at[base_of[p]]
+                    parts += [ids[starts[b] : starts[b] + counts[b]], self.marks[p[-1]] if p[-1] in _MARKS and len(base_of[p]) < len(p) else none]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(axis=1)
+                self._add(rest, _cat(parts, np.uint32), sizes)
+        return np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
 
 
 @lru_cache(maxsize=4)
@@ -81,67 +110,57 @@ def _words(path: str, blanks_dropped: bool) -> Words:
     return Words(path, blanks_dropped)
 
 
-def _copy(source: np.ndarray, begins: np.ndarray, n: np.ndarray, into: np.ndarray, where: np.ndarray) -> None:
-    """Runs of n ids from begins in source to where in into."""
-    upto = np.cumsum(n)
-    within = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - n, n)
-    into[np.repeat(where, n) + within] = source[np.repeat(begins, n) + within]
-
-
 def encode(path: str, texts: list[str], end_id: int, blanks_dropped: bool) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts with end_id after each (uint32), and each text's number of ids with it (int64).
 
     blanks_dropped: the tokenizer drops white space and case, so that newlines are as good as blanks.
     """
+    parts, some, size = [], [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= PART:
+            parts.append(_encode(path, some, end_id, blanks_dropped))
+            some, size = [], 0
+    if some:
+        parts.append(_encode(path, some, end_id, blanks_dropped))
+    return _cat([p[0] for p in parts], np.uint32), _cat([p[1] for p in parts], np.int64)
+
+
+def _encode(path: str, texts: list[str], end_id: int, blanks_dropped: bool) -> tuple[np.ndarray, np.ndarray]:
     tok, store = tokenizer(path), _words(path, blanks_dropped)
-    n_texts = len(texts)
-    if not n_texts:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     arr = pa.array(texts, pa.large_string())
     split = pc.split_pattern(pc.replace_substring(arr, "\n", " ") if blanks_dropped else arr, " ")
     first = split.offsets.to_numpy()
     coded = pc.dictionary_encode(split.flatten())
     code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    # a piece is a word, or a word and a mark
-    odd_piece = np.fromiter((p == "" or (not p.isprintable() and _ODD.search(p) is not None) for p in pieces), bool, len(pieces))
-    marked = [len(p) > 1 and p[-1] in _MARKS and p[-2].isalpha() for p in pieces]
-    bases = [p[:-1] if m else p for p, m in zip(pieces, marked, strict=True)]
-    if blanks_dropped:
-        bases = [b.lower() if b.isascii() else b for b in bases]
-    bases = ["x" if o else b for b, o in zip(bases, odd_piece, strict=True)]
-    mark_ids = {m: tok.encode(m, add_special_tokens=False).ids[0] for m in _MARKS}
-    tail = np.fromiter((mark_ids[p[-1]] if m else 0 for p, m in zip(pieces, marked, strict=True)), np.uint32, len(pieces))
-    distinct = list(dict.fromkeys(bases))
-    spot = dict(zip(distinct, store.look_up(distinct).tolist(), strict=True))
-    place = np.fromiter(map(spot.__getitem__, bases), np.int64, len(bases))
-    has_tail = np.array(marked, bool)
-    odd = np.maximum.reduceat(odd_piece[code].view(np.uint8), first[:-1]).astype(bool)
-    starts, counts, tails, tail_of = store.starts[place][code], store.counts[place][code], has_tail[code], tail[code]
-    pool = store.ids
+    place = store.look_up(pieces)
+    starts, counts = store.starts[place][code], store.counts[place][code]
+    more, end = [], len(store.ids)
+
+    def put(where: int, ids: list[int]) -> None:
+        nonlocal end
+        starts[where], counts[where] = end, len(ids)
+        more.append(np.array(ids, np.uint32))
+        end += len(ids)
+
     if not blanks_dropped:
         # the first piece of a text has no blank before it
-        heads: dict[int, list[int]] = {}
-        for c in dict.fromkeys(code[first[:-1]].tolist()):
-            heads[c] = tok.encode(pieces[c], add_special_tokens=False).ids if pieces[c] else []
-        flat = [heads[c] for c in code[first[:-1]].tolist()]
-        n_head = np.array([len(x) for x in flat], np.int64)
-        starts[first[:-1]] = len(pool) + np.cumsum(n_head) - n_head
-        counts[first[:-1]] = n_head
-        tails[first[:-1]] = False
-        pool = np.concatenate([pool, np.array([i for x in flat for i in x], np.uint32)])
-    whole = [np.array(e.ids, np.uint32) for e in tok.encode_batch([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False)]
-    size = counts + tails
-    total = np.concatenate([[0], np.cumsum(size)])
-    lengths = total[first[1:]] - total[first[:-1]]
-    lengths[odd] = [len(x) for x in whole]
-    out = np.full(int(lengths.sum()) + n_texts, end_id, np.uint32)
-    begin = np.cumsum(lengths + 1) - (lengths + 1)
-    text_of = np.repeat(np.arange(n_texts), np.diff(first))
-    where = begin[text_of] + total[:-1] - total[first[:-1]][text_of]
-    use = ~odd[text_of] if odd.any() else slice(None)
-    _copy(pool, starts[use], counts[use], out, where[use])
-    t = tails[use]
-    out[where[use][t] + counts[use][t]] = tail_of[use][t]
-    for s, x in zip(begin[odd], whole, strict=True):
-        out[s : s + len(x)] = x
-    return out, lengths + 1
+        heads = code[first[:-1]]
+        distinct = list(dict.fromkeys(heads.tolist()))
+        got = {c: e.ids for c, e in zip(distinct, tok.encode_batch([pieces[c] for c in distinct], add_special_tokens=False), strict=True)}
+        for where, c in zip(first[:-1].tolist(), heads.tolist(), strict=True):
+            put(where, got[c])
+    if store.odd:
+        strange = np.isin(place, np.fromiter(store.odd, np.int64, len(store.odd)))
+        odd = np.flatnonzero(np.maximum.reduceat(strange[code].view(np.uint8), first[:-1])).tolist()
+        for t, e in zip(odd, tok.encode_batch([texts[t] for t in odd], add_special_tokens=False), strict=True):
+            counts[first[t] : first[t + 1]] = 0
+            put(int(first[t]), e.ids)
+    pool = np.concatenate([store.ids, *more, np.array([end_id], np.uint32)])
+    # the end id is one more piece of each text
+    starts, counts = np.insert(starts, first[1:], end), np.insert(counts, first[1:], 1)
+    upto = np.cumsum(counts)
+    out = pool[np.repeat(starts - upto + counts, counts) + np.arange(upto[-1])]
+    ends = upto[first[1:] + np.arange(len(texts))]
+    return out, np.diff(ends, prepend=0)
