@@ -7,7 +7,7 @@ partitioning, draws the same. Copies are exploded and shuffled globally by a has
 
 A null source is a source of its own. A null or empty text has no characters and keeps its source's rate. Rows that
 repeat an id draw the same number. A source that has no target weight, and a corpus without characters, keeps rate 1.
-Extra columns pass through; ``copy`` and ``mix_key`` of the input are replaced.
+Extra columns pass through; ``copy`` and ``mix_key`` of the input are replaced, and what begins with ``mixing_`` is dropped.
 """
 
 from __future__ import annotations
@@ -54,16 +54,16 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     weights: target share of characters by source (scaled to 1). temperature: used where weights is None.
     """
-    docs = docs.drop("copy", "mix_key")
-    table = rates(docs, weights, temperature).select(F.col("source").alias("rate_source"), "rate")
+    docs = docs.drop("copy", "mix_key", "mixing_source", "mixing_rate", "mixing_copies")
+    table = rates(docs, weights, temperature).select(F.col("source").alias("mixing_source"), F.col("rate").alias("mixing_rate"))
     # a row for each source: Spark broadcasts it where its measured size is small and splits hot sources otherwise
-    joined = docs.join(table, docs["source"].eqNullSafe(table["rate_source"]), "left").drop("rate_source")
-    whole = F.floor(F.greatest(F.col("rate") - MAX_RATE, F.lit(0.0)))
-    rest = F.col("rate") - whole
+    joined = docs.join(table, F.col("source").eqNullSafe(F.col("mixing_source")), "left").drop("mixing_source")
+    whole = F.floor(F.greatest(F.col("mixing_rate") - MAX_RATE, F.lit(0.0)))
+    rest = F.col("mixing_rate") - whole
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = joined.withColumn("copies", whole.cast("int") + poisson(uniform(F.concat(F.lit(f"{seed}:"), key)), rest))
-    out = drawn.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string")))).drop("copies", "rate")
+    drawn = joined.withColumn("mixing_copies", whole.cast("int") + poisson(uniform(F.concat(F.lit(f"{seed}:"), key)), rest))
+    out = drawn.where("mixing_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mixing_copies") - 1)))
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string")))).drop("mixing_copies", "mixing_rate")
     if shuffle:
         n = shuffle_partitions(docs.sparkSession)
         out = out.repartition(n, "mix_key").sortWithinPartitions("mix_key")

@@ -36,8 +36,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: Tokens of the longest entity, tokens of context on each side, and the log odds that an added span needs.
 MOST, AROUND, MARGIN = 16, 6, 2.0
-TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-z0-9À-ɏ]")
-TRIGGER = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|[0-9][\x20().:/-]{0,2}(?:[0-9][\x20().:/-]{0,2}){5,}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{1,4}(?=:)|(?<=:)[0-9a-fA-F]{1,4}(?![A-Za-z0-9])|[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-z0-9À-ɏ]")
+TRIGGER = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|[0-9][\x20().:/-]{0,2}(?:[0-9][\x20().:/-]{0,2}){5,}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,}|\sat\s[A-Za-z0-9.-]+\sdot\s")
 
 AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sat\s.*\sdot\s")
 HEXES = re.compile("[0-9a-fA-F:]+")
@@ -149,7 +149,7 @@ def features(span: str, digits: int, before: tuple, lo: int, after: tuple, hi: i
         out.append(f"quad:{int(all(len(p) < 4 and int(p) < 256 for p in span.split('.')))}")
     if re.fullmatch(r"[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}", span):
         out.append(f"six:{min(span.count(':'), 7)}")
-    m = re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|[\[({<]\s?at\s?[\])}>]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s?dot\s?[\])}>]|\bdot\b)\s?[A-Za-z0-9-]+)*", span)
+    m = re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|[\[({<]\s?at\s?[\])}>]|\bat\b)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s)[A-Za-z0-9-]+)*", span)
     if m:
         out.append(f"rest:{int(re.match(r'[.][A-Za-z0-9]|[\[({<]?dot|[(\[]dot', after[0]) is not None and after[1] - hi < 2)}")
         out.append(f"mail:{'@' if m[1] == '@' else 'in' if m[1][0] in '[({<' else 'at'}:{int('dot' in span or '.' in span[span.find(m[1]) :])}")

@@ -7,7 +7,7 @@ more hold is a widely copied example, anything else looks like a live credential
 
 Spans are in code points, end exclusive. A null text is empty, a null lang or source counts as one of its own. Repeated
 rows are reported each. Overlapping spans of different kinds are all reported; redaction merges them. Empty tables
-give empty results; extra columns pass through redaction untouched.
+give empty results; extra columns pass through redaction untouched (their names don't begin with ``scan_``).
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) ->
     suspect = text.rlike(ANY_KIND)
     rows = staged(_scanned(docs.where(suspect)), "suspects")
     judged = _owned(_candidates(rows), copied_owners).where("live")
-    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("span.start", "span.end"))).alias("cut"))
+    by_row = judged.groupBy(F.col("row").alias("scan_hit")).agg(F.array_sort(F.collect_list(F.struct("span.start", "span.end"))).alias("scan_cut"))
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["pos"]
@@ -113,11 +113,11 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) ->
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(apart, kept).otherwise(acc["out"]).alias("out"))
 
     rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.lit(2**31 - 1)))
-    clean = F.aggregate("cut", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, rest)
-    hit = rows.join(by_row, F.col("scan_row") == F.col("row"), "left").withColumn("clean", F.when(F.col("cut").isNotNull(), clean))
-    changed = {"text": F.coalesce("clean", "text")}
+    clean = F.aggregate("scan_cut", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, rest)
+    hit = rows.join(by_row, F.col("scan_row") == F.col("scan_hit"), "left").withColumn("scan_clean", F.when(F.col("scan_cut").isNotNull(), clean))
+    changed = {"text": F.coalesce("scan_clean", "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("clean").isNotNull(), F.char_length("clean").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col("scan_clean").isNotNull(), F.char_length("scan_clean").cast("long")).otherwise(F.col("n_chars"))
     return docs.where(~suspect).select(*docs.columns).unionByName(hit.withColumns(changed).select(*docs.columns))
 
 
