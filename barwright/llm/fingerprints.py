@@ -35,24 +35,34 @@ _CHECK = np.uint64(0xA0761D6478BD642F)
 
 def digests(text: str) -> list[int]:
     """64-bit digests of a text's pieces; equal pieces are told apart by their number."""
+    pieces = [p for p in PIECE.split(text) if p]
+    if len(set(pieces)) == len(pieces):
+        return [xxhash.xxh64_intdigest(p) for p in pieces]
     out, seen = [], {}
-    for p in PIECE.split(text):
-        if p:
-            k = seen.get(p, 0)
-            seen[p] = k + 1
-            out.append(xxhash.xxh64_intdigest(p, k))
+    for p in pieces:
+        k = seen.get(p, 0)
+        seen[p] = k + 1
+        out.append(xxhash.xxh64_intdigest(p, k))
     return out
 
 
-def sketches(owner: np.ndarray, keys: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """count, key and check arrays (n, 3 * cells) of n texts' tables. owner: the text of each key."""
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Three times 21 bits: the cells of each key."""
+    return splitmix(keys + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _cell(places: np.ndarray, t: int, cells: int) -> np.ndarray:
+    return t * cells + ((places >> np.uint64(21 * t)) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def sketches(owner: np.ndarray, keys: np.ndarray, n: int, cells: int, sign: np.ndarray | int = 1, places: np.ndarray | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """count, key and check arrays (n, 3 * cells) of n texts' tables. owner: the text of each key; cells: a power of two; sign: 1 adds a key, -1 subtracts it."""
     count, key, check = np.zeros((n, 3 * cells), np.int64), np.zeros((n, 3 * cells), np.uint64), np.zeros((n, 3 * cells), np.uint64)
-    sums = splitmix(keys ^ _CHECK)
-    h = keys
+    places = _places(keys) if places is None else places
+    sums = splitmix(keys ^ _CHECK) if sums is None else sums
     for t in range(3):
-        h = splitmix(h + np.uint64(0x9E3779B97F4A7C15))
-        at = owner * (3 * cells) + t * cells + (h % np.uint64(cells)).astype(np.int64)
-        np.add.at(count.reshape(-1), at, 1)
+        at = owner * (3 * cells) + _cell(places, t, cells)
+        np.add.at(count.reshape(-1), at, sign)
         np.bitwise_xor.at(key.reshape(-1), at, keys)
         np.bitwise_xor.at(check.reshape(-1), at, sums)
     return count, key, check
@@ -63,65 +73,82 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
     n, width = count.shape
     cells = width // 3
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live = np.arange(n)
+    flat_count, flat_key, flat_check = count.reshape(-1), key.reshape(-1), check.reshape(-1)
     for _ in range(4 * width):
-        pure = (np.abs(count) == 1) & (splitmix(key ^ _CHECK) == check)
-        rows, cols = np.nonzero(pure)
-        if not len(rows):
+        moved = np.zeros(n, bool)
+        for t in range(3):  # in one sub-table a digest has one cell
+            part = slice(t * cells, (t + 1) * cells)
+            rows, cols = np.nonzero(np.abs(count[:, part] if len(live) == n else count[live, part]) == 1)
+            rows = live[rows]
+            at = rows * width + t * cells + cols
+            keys, sums = flat_key[at], flat_check[at]
+            pure = splitmix(keys ^ _CHECK) == sums
+            rows, at, keys, sums = rows[pure], at[pure], keys[pure], sums[pure]
+            sign, places = flat_count[at], _places(keys)
+            left += np.bincount(rows[sign > 0], minlength=n)
+            right += np.bincount(rows[sign < 0], minlength=n)
+            moved[rows] = True
+            for u in range(3):
+                to = rows * width + _cell(places, u, cells)
+                np.subtract.at(flat_count, to, sign)
+                np.bitwise_xor.at(flat_key, to, keys)
+                np.bitwise_xor.at(flat_check, to, sums)
+        live = np.flatnonzero(moved)
+        if not len(live):
             break
-        keys, sign = key[rows, cols], count[rows, cols]
-        # a digest may be alone in several of its cells
-        _, once = np.unique(np.stack([rows.astype(np.uint64), keys]), axis=1, return_index=True)
-        rows, keys, sign = rows[once], keys[once], sign[once]
-        np.add.at(left, rows, sign > 0)
-        np.add.at(right, rows, sign < 0)
-        sums, h = splitmix(keys ^ _CHECK), keys
-        for t in range(3):
-            h = splitmix(h + np.uint64(0x9E3779B97F4A7C15))
-            at = t * cells + (h % np.uint64(cells)).astype(np.int64)
-            np.subtract.at(count, (rows, at), sign)
-            np.bitwise_xor.at(key, (rows, at), keys)
-            np.bitwise_xor.at(check, (rows, at), sums)
     return left, right, ~(count.any(axis=1) | key.any(axis=1) | check.any(axis=1))
 
 
-def differences(a: list[list[int]], b: list[list[int]], cells: int = CELLS, most: int = 1 << 20) -> np.ndarray:
-    """How many digests the pairs of sets differ by, by subtracting and peeling; larger tables where that stalls."""
+def differences(a: list, b: list, cells: int = CELLS, most: int = 1 << 20) -> np.ndarray:
+    """How many digests the pairs of sets differ by, by subtracting and peeling; larger tables where that stalls.
+
+    The first table has room for the difference of the sets' sizes, which is the least that they differ by.
+    """
     out = np.zeros(len(a), np.int64)
+    one, two = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    begins = np.cumsum(one + two) - (one + two)
+    keys = np.concatenate([np.asarray(x, np.uint64) for pair in zip(a, b, strict=True) for x in pair] or [np.zeros(0, np.uint64)])
+    places, sums = _places(keys), splitmix(keys ^ _CHECK)
+    width = np.full(len(a), cells, np.int64)
+    while (small := (2 * width < np.abs(one - two)) & (width < most)).any():
+        width[small] *= 2
     todo = np.arange(len(a))
     while len(todo):
-        sizes = np.array([len(a[i]) + len(b[i]) for i in todo], np.int64)
-        # in parts whose tables fit in memory
-        part = max(1, (1 << 22) // (3 * cells))
         stalled = []
-        for k in range(0, len(todo), part):
-            some = todo[k : k + part]
-            flat = lambda x: np.fromiter((v for i in some for v in x[i]), np.uint64)  # noqa: B023, E731
-            own = lambda x: np.repeat(np.arange(len(some)), [len(x[i]) for i in some])  # noqa: B023, E731
-            one, two = sketches(own(a), flat(a), len(some), cells), sketches(own(b), flat(b), len(some), cells)
-            x, y, ok = peel(one[0] - two[0], one[1] ^ two[1], one[2] ^ two[2])
-            out[some[ok]] = (x + y)[ok]
-            stalled.append(some[~ok])
+        for w in np.unique(width[todo]).tolist():
+            same = todo[width[todo] == w]
+            step = max(1, (1 << 20) // (3 * w))  # in parts whose tables fit in memory
+            for k in range(0, len(same), step):
+                some = same[k : k + step]
+                size = one[some] + two[some]
+                owner = np.repeat(np.arange(len(some)), size)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                at = nth + np.repeat(begins[some], size)
+                sign = np.where(nth < one[some][owner], 1, -1)
+                x, y, ok = peel(*sketches(owner, keys[at], len(some), w, sign, places[at], sums[at]))
+                out[some[ok]] = (x + y)[ok]
+                stalled.append(some[~ok])
         todo = np.concatenate(stalled)
-        if cells > most:
-            for i in todo:  # equal check sums of unequal digests: compare the digests themselves
-                out[i] = len(set(a[i]) ^ set(b[i]))
-            break
-        del sizes
-        cells *= 2
+        if len(todo) and (last := todo[width[todo] > most]).size:
+            for i in last:  # equal check sums of unequal digests: compare the digests themselves
+                out[i] = len({int(v) for v in a[i]} ^ {int(v) for v in b[i]})
+            todo = todo[width[todo] <= most]
+        width[todo] *= 2
     return out
 
 
-def fingerprint_of(keys: list[list[int]], cells: int = CELLS) -> list[str]:
+def fingerprint_of(keys: list, cells: int = CELLS) -> list[str]:
     """Number of digests and the table's cells (32-bit count, 64-bit XOR, 32-bit check XOR), base64."""
     owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    count, key, check = sketches(owner, np.fromiter((v for k in keys for v in k), np.uint64), len(keys), cells)
+    count, key, check = sketches(owner, np.concatenate([np.asarray(k, np.uint64) for k in keys] or [np.zeros(0, np.uint64)]), len(keys), cells)
     cell = np.dtype([("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
     table = np.zeros(count.shape, cell)
     table["n"], table["k"], table["c"] = count, key, check & np.uint64(0xFFFFFFFF)
     return [f"{len(k)}." + base64.b64encode(t.tobytes()).decode() for k, t in zip(keys, table, strict=True)]
 
 
-def likeness(a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+def likeness(a: list, b: list) -> np.ndarray:
     total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], float)
     return np.where(total > 0, 1 - differences(a, b) / np.maximum(total, 1), 1.0)
 
@@ -139,8 +166,8 @@ def _rows(chunk: list[tuple[int | None, str]], following: str) -> pa.RecordBatch
     texts = [t for _, t in chunk]
     nexts = [*texts[1:], following]
     edited = [edited_text(t, x) for t, x in zip(texts, nexts, strict=True)]
-    own = [digests(t) for t in texts]
-    other, new = [*own[1:], digests(following)], [digests(t) for t in edited]
+    own, new = ([np.array(digests(t), np.uint64) for t in x] for x in (texts, edited))
+    other = [*own[1:], np.array(digests(following), np.uint64)]
     sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
     cols = [pa.array([i for i, _ in chunk], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(fingerprint_of(own), pa.string()), pa.array(fingerprint_of(new), pa.string())]
     cols += [pa.array(likeness(own, new)), pa.array(likeness(own, other)), pa.array([len(k) for k in own], pa.int64())]
