@@ -160,31 +160,38 @@ def windows(texts: list[str]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def restored(texts: list[str], lm: np.ndarray) -> list[str]:
+def restored(texts: list[str], lm: np.ndarray, part: int = 200) -> list[str]:
     out = []
     memo: dict[str, str] = {}
-    for text, spans in zip(texts, windows(texts), strict=True):
-        if spans:
-            parts, at = [], 0
-            for lo, hi in spans:
-                w = text[lo:hi]
-                # longer stretches than any disguised phrase (keys, tables) are decoded in parts
-                for k in range(0, len(w), 64):
-                    piece = w[k : k + 64]
-                    if piece not in memo:
-                        memo[piece] = decode(piece, lm)
-                parts += [text[at:lo], "".join(memo[w[k : k + 64]] for k in range(0, len(w), 64))]
-                at = hi
-            text = "".join([*parts, text[at:]])
-        out.append(text)
+    for at in range(0, len(texts), part):
+        some = texts[at : at + part]
+        out += [_restored(text, spans, lm, memo) for text, spans in zip(some, windows(some), strict=True)]
     return out
 
 
+def _restored(text: str, spans: list[tuple[int, int]], lm: np.ndarray, memo: dict[str, str]) -> str:
+    if not spans:
+        return text
+    parts, at = [], 0
+    for lo, hi in spans:
+        w = text[lo:hi]
+        # longer stretches than any disguised phrase (keys, tables) are decoded in parts
+        for k in range(0, len(w), 64):
+            piece = w[k : k + 64]
+            if piece not in memo:
+                memo[piece] = decode(piece, lm)
+        parts += [text[at:lo], "".join(memo[w[k : k + 64]] for k in range(0, len(w), 64))]
+        at = hi
+    return "".join([*parts, text[at:]])
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The text of each place of the letter stream, and for each length the n-gram's bucket there (-1: none)."""
     _, ids, starts = _stream(texts)
     keep = np.concatenate([[True], (ids[1:] > 0) | (ids[:-1] > 0)])
+    # an n-gram is its second letter's: the border that it may begin with can be of the text before
     owner = np.searchsorted(starts, np.flatnonzero(keep), side="right") - 1
+    owner = np.append(owner[1:], owner[-1:])
     x = ids[keep].astype(np.uint64)
     n = len(x)
     zero = np.concatenate([[0], np.cumsum(x == 0)])
@@ -223,9 +230,9 @@ def fit(texts: list[str], y: np.ndarray, prior: float, features: int, rounds: in
         return np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p)))
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     every = np.ones(1 << BITS, bool)
-    for k in range(0, len(texts), 200):
-        t, b = hits(texts[k : k + 200], every)
-        own = y[k : k + 200][t] > 0
+    for k in range(0, len(texts), 100):
+        t, b = hits(texts[k : k + 100], every)
+        own = y[k : k + 100][t] > 0
         pos += np.bincount(b[own], minlength=1 << BITS)
         neg += np.bincount(b[~own], minlength=1 << BITS)
     part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-9) / np.maximum(e, 1e-9)), 0)
@@ -240,8 +247,8 @@ def fit(texts: list[str], y: np.ndarray, prior: float, features: int, rounds: in
     column = np.full(1 << BITS, -1)
     column[top] = np.arange(len(top))
     rows, cols = [], []
-    for k in range(0, len(texts), 500):
-        t, b = hits(texts[k : k + 500], used)
+    for k in range(0, len(texts), 100):
+        t, b = hits(texts[k : k + 100], used)
         rows.append(t + k)
         cols.append(column[b])
     rows, cols = np.concatenate(rows), np.concatenate(cols)

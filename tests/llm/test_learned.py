@@ -75,3 +75,12 @@ def test_every_page_and_odd_pages(spark, sf):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>cut <b"), (4, "u", "no tags at all"), (5, "u", "<" * 5000), (6, "u", "<div>" * 3000 + "deep"), (None, None, None), (7, "u", "</p></div><article><p>x"), (7, "u", "</p></div><article><p>x"), (8, "u", "<p>" + "long text. " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
     assert html_text.extracted(df).count() == len(rows) and html_text.extracted(df.limit(0)).count() == 0
+
+
+def test_hits_do_not_depend_on_the_texts_beside():
+    used = np.ones(1 << toxicity.BITS, bool)
+    texts = ["first words here", "! and others there.", "", "plain", "...", "one more?!", "x"]
+    t, g = toxicity.hits(texts, used)
+    assert t.min() >= 0
+    for k, text in enumerate(texts):
+        assert sorted(g[t == k].tolist()) == sorted(toxicity.hits([text], used)[1].tolist())
