@@ -3,7 +3,8 @@
 Each text is searched for candidates by kind (leftmost, non-overlapping within a kind). A candidate's hash is counted
 over the corpus by distinct owners (sources) and repositories (source and language): what ``copied_owners`` owners or
 more hold is a widely copied example, anything else looks like a live credential of its owner. The base kinds
-(assign, access, hex) are always reported; the further kinds are added where they look live.
+(assign, access, hex) are always reported; the further kinds are added where they look live. A private key is its whole
+block, and its hash that of the body; a header without a body is no key.
 
 Spans are in code points, end exclusive. A null text is empty, a null lang or source counts as one of its own. Repeated
 rows are reported each. Overlapping spans of different kinds are all reported; redaction merges them. Empty tables
@@ -22,19 +23,36 @@ _WORDS = ["password", "passwd", "secret", "token", "api_?key"]
 ASSIGN = "(" + "|".join(_ANY(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in _WORDS) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
-KEY_BLOCK = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+KEY_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_LEAD = r"""(?:[\s"'`>#*,;]|\\+[nrt])*+"""  # what may stand before a line of the key: blanks, quotes, written-out line ends
+_LAST = r"""(?:(?:\n|\\+n)[\x20\t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\x20\t]*+(?:[\r\n"'`\\]|\z)))?"""
+#: Header to the END line; where no END comes before the next block, header to the end of the base64 lines. The repeats
+#: are possessive, so that each header is read once and a long body needs no deep stack.
+KEY_BLOCK = (
+    KEY_HEADER
+    + r"((?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+(?=-----END [A-Z ]*PRIVATE KEY-----)|"
+    + f"(?:{_LEAD}(?:Proc-Type|DEK-Info)"
+    + r":[^\n\\]*+)*+"
+    + f"(?:{_LEAD}[A-Za-z0-9+/=]{{16,}}+)++{_LAST})"
+    + "(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+)
 WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 VENDOR = "(?:gh[opsu]_|github_pat_|glpat-|xox[abpr]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}"
 #: kind, pattern, group with the value, least length of the value, base
-KINDS = [("assign", ASSIGN, 2, 8, True), ("access", ACCESS, 0, 16, True), ("hex", HEX, 0, 32, True), ("key_block", KEY_BLOCK, 0, 1, False), ("web_token", WEB_TOKEN, 0, 1, False), ("vendor", VENDOR, 0, 1, False)]
+KINDS = [("assign", ASSIGN, 2, 8, True), ("access", ACCESS, 0, 16, True), ("hex", HEX, 0, 32, True), ("key_block", KEY_BLOCK, 1, 1, False), ("web_token", WEB_TOKEN, 0, 1, False), ("vendor", VENDOR, 0, 1, False)]
 ANY_KIND = "|".join(f"(?:{p})" for _, p, *_ in KINDS)
+#: What oracle() searches: SQL is as it was and knows a key's header alone, so the two agree where no text holds a key.
+SQL_KINDS = [("key_block", KEY_HEADER, 0, 1, False) if k[0] == "key_block" else k for k in KINDS]
 _SPAN = "struct<start:int,kind_no:int,kind:string,end:int,hash:string>"
 
 
 def _spans(text: Column, no: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind: what lies between matches and the matches themselves give the places."""
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
+    value = F.regexp_extract_all(text, p, F.lit(group))
+    if kind == "key_block":  # a key is the same however its lines are broken, indented or quoted
+        value = F.transform(value, lambda v: F.regexp_replace(v, r"\\+[nrt]|[^A-Za-z0-9+/=]", ""))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), value.alias("value"))
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -127,7 +145,7 @@ def oracle(docs: str = "documents", copied_owners: int = 3) -> str:
     each = " UNION ALL ".join(
         f"SELECT uid, owner, repository, {no} AS kind_no, '{kind}' AS kind, string_split_regex(text, '{quote(p)}') AS gaps, regexp_extract_all(text, '{quote(p)}', 0) AS hits, "
         f"regexp_extract_all(text, '{quote(p)}', {g}) AS vals, {least} AS least FROM d WHERE regexp_matches(text, '{quote(p)}')"
-        for no, (kind, p, g, least, _) in enumerate(KINDS)
+        for no, (kind, p, g, least, _) in enumerate(SQL_KINDS)
     )
     n_base = sum(1 for k in KINDS if k[4])
     counts = ", ".join(f"CAST(count(*) FILTER (kind_no = {no}) AS BIGINT) AS n_{kind}" for no, (kind, *_) in enumerate(KINDS[:n_base]))

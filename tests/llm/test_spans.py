@@ -1,5 +1,6 @@
 """Personal data and secrets: base patterns by brute force, added spans by planted cases."""
 
+import base64
 import hashlib
 import re
 
@@ -107,6 +108,30 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert texts[9] == "key [SECRET] here" and texts[0] == f"key {both} here"
 
 
+def made_key(seed, lines=6):
+    body = base64.b64encode(b"".join(hashlib.sha256(f"{seed}:{k}".encode()).digest() for k in range(lines * 3 // 2))).decode()
+    return [body[k : k + 64] for k in range(0, len(body), 64)]
+
+
+def test_private_keys_are_told_apart_and_masked_whole(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    block = lambda seed, sep="\n", **kw: sep.join([begin, *made_key(seed, **kw), end])
+    keys = {0: block("a"), 1: block("b"), 2: block("a"), 3: "\n".join([begin, *made_key("cut"), "AbC="]), 4: block("json", "\\n"), 5: block("one line", " "), 6: block("long", lines=60_000)}
+    keys[7] = begin + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + "\n".join(made_key("encrypted"))
+    rows = [(i, f"before {k}\nafter the key", "en", f"s{i % 3}") for i, k in keys.items()]
+    # one key that three sources hold, its lines broken in three ways, and a header that no key follows
+    rows += [(20 + i, f"before {block('copied', sep)}\nafter", "en", f"s{i}") for i, sep in enumerate(("\n", "\n  ", "\\n"))]
+    rows += [(30, f"A file begins with {begin} in its first line.", "en", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.scanned(df).collect()}
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    for i, key in keys.items():
+        assert got[i]["spans"] == f"key_block:7:{7 + len(key)}" and got[i]["n_live"] == 1, i
+        assert texts[i] == "before [SECRET]\nafter the key", i
+    assert all((got[20 + i]["n_live"], got[20 + i]["spans"], texts[20 + i]) == (0, "", rows[len(keys) + i][1]) for i in range(3))
+    assert got[30]["spans"] == "" and texts[30] == rows[-1][1]
+
+
 def test_odd_rows(odd):
     n = odd.count()
     assert pii.found(odd).count() == secret_scan.scanned(odd).count() == secret_scan.redacted(odd).count() == n
