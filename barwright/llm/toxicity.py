@@ -1,8 +1,8 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents (counts of fixed size, summed by Spark).
-2. Stretches of a text that look disguised (digits or signs between letters, a letter three times running, single
-   letters set apart) are lattices: each character may stand for itself, for letters it is a picture of, or for nothing
+2. Stretches of a text that look disguised (digits or signs after letters or before a word, a letter three times
+   running, letters doubled one after the other, single letters and signs set apart by one to three separators) are lattices: each character may stand for itself, for letters it is a picture of, or for nothing
    (a separator, a repeated letter). Viterbi finds the likeliest letters under channel and trigram model.
 3. The restored text's character n-grams (4 to 7) are scored by a logistic regression on those n-grams that tell the
    labels apart best, fitted on a bounded sample of labelled rows.
@@ -14,6 +14,7 @@ toxic labels. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,8 @@ SIZE = len(LETTERS) + 2
 #: What a character may be a picture of (fixed values).
 PICTURES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = frozenset(" .-_*'`~,/\\")
+#: Three or more letters or signs, each one apart.
+APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{re.escape(''.join(PICTURES))}])(?:[{re.escape(''.join(sorted(SEPARATORS)))}]{{1,3}}(?:[^\W_]|[{re.escape(''.join(PICTURES))}])){{2,}}(?![^\W_])")
 GRAMS, BITS = (4, 5, 6, 7), 21
 _MASK = np.uint64((1 << BITS) - 1)
 
@@ -128,35 +131,48 @@ def windows(texts: list[str]) -> list[list[tuple[int, int]]]:
     sign = _codes()[1][np.minimum(raw, 0xFFFF)]
     n = len(raw)
     hot = np.zeros(n, bool)
-    # a sign between letters, or before letters at the start of a word
-    hot[1:-1] |= sign[1:-1] & letter[2:] & (letter[:-2] | sign[:-2] | (raw[:-2] <= 32))
+    # a sign after a letter, or before letters at the start of a word
+    hot[1:-1] |= sign[1:-1] & (letter[:-2] | (letter[2:] & (sign[:-2] | (raw[:-2] <= 32))))
     # a letter three times
     hot[:-2] |= letter[:-2] & (ids[:-2] == ids[1:-1]) & (ids[1:-1] == ids[2:])
-    # three single letters, each one apart
-    single = letter.copy()
-    single[1:] &= ~letter[:-1]
-    single[:-1] &= ~letter[1:]
-    apart = single[:-4] & single[2:-2] & single[4:]
-    hot[:-4] |= apart
+    # letters doubled one after the other: two at the start of a word, three anywhere
+    twice = np.zeros(n + 4, bool)
+    twice[: n - 1] = letter[:-1] & (ids[:-1] == ids[1:])
+    hot[1:] |= twice[1:n] & twice[3 : n + 2] & (~letter[:-1] | twice[5 : n + 4])
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for o, text in enumerate(texts):
+        out[o] = [m.span() for m in APART.finditer(text) if any(map(str.isalpha, m[0]))]
     places = np.flatnonzero(hot)
     owner = np.searchsorted(starts, places, side="right") - 1
+    last, end = -1, 0
     for p, o in zip(places.tolist(), owner.tolist(), strict=True):
         if not 0 <= o < len(texts):
             continue
-        base, text = int(starts[o]), texts[o]
-        k = p - base
-        if out[o] and k < out[o][-1][1]:
+        k = p - int(starts[o])
+        if o == last and k < end:
             continue
-        lo, hi = k, k + 1
-        if k < len(text) - 4 and apart[p]:
-            while hi + 1 < len(text) and not text[hi].isalnum() and single[base + hi + 1]:
-                hi += 2
-        while lo > 0 and not text[lo - 1].isspace():
+        last, end = o, k + 1
+        while end < len(texts[o]) and not texts[o][end].isspace():
+            end += 1
+        out[o].append((k, end))
+    return [_whole(text, spans) for text, spans in zip(texts, out, strict=True)]
+
+
+def _whole(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans widened to blanks; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and hi <= out[-1][1]:
+            continue
+        at = out[-1][1] if out else 0
+        while lo > at and not text[lo - 1].isspace():
             lo -= 1
         while hi < len(text) and not text[hi].isspace():
             hi += 1
-        out[o].append((lo, hi))
+        if out and lo <= at:
+            out[-1] = (out[-1][0], max(hi, at))
+        else:
+            out.append((lo, hi))
     return out
 
 

@@ -45,6 +45,19 @@ def test_disguised_words_are_restored(spark):
     assert got[4:] == ["plain words stay as they are", "", "2024 and 3.14 remain"]
 
 
+def test_disguises_open_windows(spark):
+    words = "you are a stupid moron and nobody wants to read this hateful garbage from an idiot loser ass".split()
+    rng = np.random.default_rng(0)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 60))) for i in range(200)], "doc_id long, text string")
+    lm = toxicity.language_model(docs)
+    cases = {"m 0 r 0 n": "moron", "l 0 s 3 r": "loser", "i d 1 0 t": "idiot", "i   d   i   o   t": "idiot", "i . d . i . o . t": "idiot", "iiddiioott": "idiot", "a$$": "ass", "idio7": "idiot"}
+    got = toxicity.restored([f"they called {c} there" for c in cases], lm)
+    assert got == [f"they called {w} there" for w in cases.values()]
+    same = ["coffee and balloons for the committee", "1 2 3 4 5 and 1.2.3.4", "he has a cat", "x"]
+    assert toxicity.restored(same, lm) == same
+    assert toxicity.windows(["s-t-u-p-i-d st0pid", "", "m0r0n"]) == [[(0, 11), (12, 18)], [], [(0, 5)]]
+
+
 def test_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1, 1), (4, 1, 0), (None, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int")
     for d, lab in ((odd, labels), (odd, labels.limit(0)), (odd, labels.where("toxic = 1")), (odd.limit(0), labels)):
