@@ -3,8 +3,8 @@
 Every document gets a vector of transformed statistics. For each language and source a minimum-covariance-determinant
 estimate of centre and scatter is fitted on all its rows: concentration steps keep the share ``support`` of rows with
 the least Mahalanobis distance and take their moments anew. A document is rejected when its squared distance passes a
-chi-square limit, or by the base rules. Groups with fewer than ``min_group`` rows share the estimate of their language
-or, if that is small too, one of the whole corpus.
+chi-square limit, or by the base rules. Groups with fewer than ``min_group`` rows are held against an estimate fitted on
+all rows of their language or, if that is small too, on all rows of the corpus.
 
 Nulls: a null text is empty, null lang and source form groups of their own. An empty table gives an empty result.
 Repeated rows are judged one by one. Other columns are passed through untouched if asked for; a column of the input
@@ -143,12 +143,16 @@ def judged(docs: DataFrame, keep: list[str], support: float = 0.75, steps: int =
         F.when((F.col("count") >= min_group) | (F.col("lang_count") >= min_group), F.col("k_lang")).otherwise("*").alias("g_lang"),
         F.when(F.col("count") >= min_group, F.col("k_source")).otherwise("*").alias("g_source"),
     ).checkpoint()
+    # what each group's rows are fitted into: their own estimate, their language's and the corpus's, as far as some group needs it
+    levels = F.array(*[F.struct(a.alias("g_lang"), b.alias("g_source")) for a, b in ((F.col("k_lang"), F.col("k_source")), (F.col("k_lang"), F.lit("*")), (F.lit("*"), F.lit("*")))])
+    fits = groups.select("k_lang", "k_source", F.inline(levels)).distinct().join(groups.select("g_lang", "g_source").distinct(), ["g_lang", "g_source"], "left_semi").checkpoint()
+    fitted = rows.join(fits, ["k_lang", "k_source"])
     rows = rows.join(groups, ["k_lang", "k_source"])
     names = list(FEATURES)
     floor = list(FEATURES.values())
     # start: distances from the coordinate-wise median in units of the median deviation
-    medians = rows.groupBy("g_lang", "g_source").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"t{i}") for i, c in enumerate(names)]).checkpoint()
-    first = rows.join(medians, ["g_lang", "g_source"]).withColumn(
+    medians = fitted.groupBy("g_lang", "g_source").agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"t{i}") for i, c in enumerate(names)]).checkpoint()
+    first = fitted.join(medians, ["g_lang", "g_source"]).withColumn(
         "d2", sum(((F.pow(F.col(c) - F.col(f"t{i}")[1], F.lit(2.0)) / (F.pow((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, F.lit(2.0)) + floor[i] ** 2)) for i, c in enumerate(names)), F.lit(0.0))
     )
     near = first
@@ -157,7 +161,8 @@ def judged(docs: DataFrame, keep: list[str], support: float = 0.75, steps: int =
     for _ in range(steps):
         cut = near.groupBy("g_lang", "g_source").agg(F.percentile_approx("d2", F.lit(support), 1000).alias("cut")).checkpoint()
         model = _moments(near.join(cut, ["g_lang", "g_source"]).where("d2 <= cut"), inflate)
-        near = rows.join(model, ["g_lang", "g_source"]).withColumn("d2", _distance())
+        near = fitted.join(model, ["g_lang", "g_source"]).withColumn("d2", _distance())
+    judged_rows = rows.join(model, ["g_lang", "g_source"]).withColumn("d2", _distance())
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = near.withColumns({"base_failed": base, "distance": F.sqrt(F.greatest("d2", F.lit(0.0)))})
+    out = judged_rows.withColumns({"base_failed": base, "distance": F.sqrt(F.greatest("d2", F.lit(0.0)))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= limit)).select(*[c for c in keep if c not in (*COUNTS, *FEATURES)], *COUNTS, "base_failed", "kept", "distance")

@@ -41,6 +41,18 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert not any(kept[2000 + i] for i in range(30)) and all(kept[i] for i in range(1000))
 
 
+def test_small_groups_are_held_against_all_rows(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{'abcdefghij'[k % 10] * (1 + k % 7)}{'klmnop'[k % 6]}{k:x}" for k in range(800)]
+    text = lambda: " ".join(rng.choice(words, rng.integers(60, 200))) + ".\n" + " ".join(rng.choice(words, 40))
+    junk = lambda i: " ".join(f"#{k}|%$&*<>" for k in range(40 + i))
+    rows = [(i, text(), "en", "hot") for i in range(400)] + [(400, text(), "en", "small"), (401, text(), None, None)]
+    rows += [(2000 + i, junk(i), "en", "junk") for i in range(3)] + [(2003, junk(3), "rare", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(df, ["doc_id"], min_group=200).collect()}
+    assert len(kept) == len(rows) and not any(kept[2000 + i] for i in range(4)) and all(kept[i] for i in range(402))
+
+
 def test_odd_rows(odd):
     got = quality.judged(odd, ["doc_id", "text", "lang", "source", "n_chars"])
     assert got.count() == odd.count() and quality.judged(odd.limit(0), ["doc_id"]).count() == 0
