@@ -7,8 +7,8 @@ hashes of their ids). Documents go to even ranges of ids in ascending order; eac
     magic (8 bytes), bytes an id (1), dictionary hash (8), number of documents (8), index offset (8),
     frames, index: doc_id (i64, with a null mask), frame offset (u64), number of ids (u32)
 
-and the folder has the dictionary and a manifest with every file's first document and id. A document is read by its
-index entry alone. Files are written under an attempt's own name and renamed, so that repeated tasks do no harm.
+and the folder has the dictionary, a manifest, and a Parquet table of the files (``files``: bucket, part, file, documents,
+ids), of which running sums give each file's first document and id. A document is read by its index entry alone. Files are written under an attempt's own name and renamed, so that repeated tasks do no harm.
 
 Nulls: a null text is empty (its end id alone is written); a null id comes first. Repeated ids are in order of their
 texts. An empty table writes a manifest without files. Extra columns are ignored.
@@ -25,15 +25,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pfs
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import bucket_of, id_order, new_folder, range_bounds, ship, shuffle_partitions, string_list
+from barwright.llm.common import bucket_of, id_order, new_folder, range_bounds, ship, shuffle_partitions, sliced, string_list
 from barwright.llm.tokens import encode, tokenizer, tokenizer_path
 
 MAGIC = b"IDSZSTD1"
@@ -67,11 +66,11 @@ def train(docs: DataFrame, name: str, end_id: int, width: int, sample: int, size
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(name)
-        for b in batches:
+        for b in sliced(batches, "text"):
             texts = string_list(b.column("text"))
             ids, n = encode(path, texts, end_id, False)
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[e - k : e][: 1 << 14].astype(f"<u{width}").tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], names=["raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[e - k : e].astype(f"<u{width}").tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], names=["raw"])
 
     # ids first, so that only texts that are drawn are read into Python
     drawn = docs.select(F.xxhash64(key).alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -130,7 +129,7 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 0, sample: int = 1000, dict_bytes: int = 112_640, level: int = 3, file_bytes: int = 32 << 20) -> dict:
-    """Writes the files and gives the manifest. sample, dict_bytes: bounds of the dictionary's training set and size."""
+    """Writes the files and their table and gives the manifest. sample, dict_bytes: bounds of the dictionary's training set and size."""
     spark = docs.sparkSession
     ship(spark)
     width = 2 if max(tokenizer(tokenizer_path(name)).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
@@ -148,40 +147,45 @@ def write(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id:
         def done() -> pa.RecordBatch:
             file = f"ids-{bucket:06d}-{k:05d}.bin"
             _put(folder, file, w.content())
-            return pa.RecordBatch.from_pydict({"file": [file], "documents": pa.array([len(w.index)], pa.int64()), "ids": pa.array([w.n_ids], pa.int64())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "part": pa.array([k], pa.int32()), "file": [file], "documents": pa.array([len(w.index)], pa.int64()), "ids": pa.array([w.n_ids], pa.int64())})
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket = b.column("bucket")[0].as_py()
-            for lo in range(0, b.num_rows, 8192):
-                part = b.slice(lo, 8192)
-                ids, n = encode(path, string_list(part.column("text")), end_id, False)
-                ends = np.cumsum(n)
-                for i, e, c in zip(part.column("doc_id").to_pylist(), ends.tolist(), n.tolist(), strict=True):
-                    w.add(i, ids[e - c : e])
-                    if w.body.tell() >= file_bytes:
-                        yield done()
-                        w, k = Writer(raw, width, level), k + 1
+        for part in sliced(batches, "text", 8_000_000, 8192):
+            bucket = part.column("bucket")[0].as_py()
+            ids, n = encode(path, string_list(part.column("text")), end_id, False)
+            ends = np.cumsum(n)
+            for i, e, c in zip(part.column("doc_id").to_pylist(), ends.tolist(), n.tolist(), strict=True):
+                w.add(i, ids[e - c : e])
+                if w.body.tell() >= file_bytes:
+                    yield done()
+                    w, k = Writer(raw, width, level), k + 1
         if w.index:
             yield done()
 
-    # a row for each file comes to the driver
-    got = sorted((r["file"], r["documents"], r["ids"]) for r in dealt.mapInArrow(files, "file string, documents long, ids long").collect())
-    manifest, first_doc, first_id = {"tokenizer": name, "end_id": end_id, "width": width, "files": []}, 0, 0
-    for file, n_docs, n_ids in got:
-        manifest["files"].append({"file": file, "documents": n_docs, "ids": n_ids, "first_document": first_doc, "first_id": first_id})
-        first_doc, first_id = first_doc + n_docs, first_id + n_ids
+    dealt.mapInArrow(files, FILES).write.mode("overwrite").parquet(f"{folder}/files")
+    manifest = {"tokenizer": name, "end_id": end_id, "width": width, "dictionary": f"{xxhash.xxh64_intdigest(raw_dict):016x}"}
     _put(folder, "manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
+FILES = "bucket int, part int, file string, documents long, ids long"
+
+
+def file_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The folder's files with first_document and first_id: sums over buckets (one an id range) and then within each."""
+    files = spark.read.schema(FILES).parquet(f"{folder}/files")
+    totals = files.groupBy("bucket").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"))
+    # a row for each id range, as many as shuffle partitions
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("bucket"), F.coalesce(F.sum("documents").over(upto), F.lit(0)).alias("base_document"), F.coalesce(F.sum("ids").over(upto), F.lit(0)).alias("base_id"))
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = files.select("*", F.coalesce(F.sum("documents").over(before), F.lit(0)).alias("d"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("i"))
+    return within.join(base, "bucket").select(*files.columns, (F.col("base_document") + F.col("d")).alias("first_document"), (F.col("base_id") + F.col("i")).alias("first_id"))
+
+
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32, file."""
-    manifest = json.loads(_get(folder, "manifest.json"))
-    if not manifest["files"]:
-        return spark.createDataFrame([], SCHEMA)
-    rows = spark.createDataFrame(pd.DataFrame([(f["file"], f["first_id"]) for f in manifest["files"]], columns=["file", "first_id"]), "file string, first_id long")
+    rows = file_table(spark, folder).select("file", "first_id")
+    n = max(rows.count(), 1)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = _get(folder, "dictionary.zstd")
@@ -193,7 +197,7 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                 ids = pa.array(r.index["doc_id"].astype(np.int64), mask=r.index["null"].astype(bool))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64()), pa.array([file] * len(n))], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    return rows.repartition(len(manifest["files"])).mapInArrow(documents, SCHEMA)
+    return rows.repartition(n).mapInArrow(documents, SCHEMA)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package as a py-file, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED[app] = path
+from barwright.shipping import ship as ship  # noqa: PLC0414  the operators import it from here
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
     return sc.getCheckpointDir()
 
@@ -86,6 +70,31 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.size(F.filter(arr, lambda b: b <= key)).cast("int")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_000, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about so many bytes at most (one text at least), so that what a task makes of a slice is bounded; what Arrow holds in reserve goes back before each batch."""
+    for b in batches:
+        pa.default_memory_pool().release_unused()
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size, dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(int(np.searchsorted(ends, before + chars, side="right")), lo + rows))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df, hinted for broadcast where it has at most so many rows; else Spark joins it by a shuffle and splits hot keys. df is staged or checkpointed, so that counting it is cheap."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).groupBy().count().where(F.col("count") <= most).take(1)) else df
+
+
+def set_apart(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with these columns under names that no operator uses, and the way back (new name to old)."""
+    back = {f"passed_{k}__": c for k, c in enumerate(columns)}
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def string_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

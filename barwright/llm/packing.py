@@ -1,7 +1,7 @@
 """Lexical retrieval packing.
 
 Documents become token ids and are packed in shards. A shard is a block of rows of one input partition, bounded by
-``shard_docs`` rows and ``shard_tokens`` ids, with a BM25 inverted index of its own (its own document frequencies, as
+``shard_docs`` rows and ``shard_chars`` characters, with a BM25 inverted index of its own (its own document frequencies, as
 sharded search engines have them). A seed document opens a window; the index returns its best unused neighbours, which
 fill the window greedily; the last one is cut and its rest opens the next window. What remains of a shard at its end is
 cut to sequences whose lengths are powers of two, which need no padding. No text and no id is shuffled.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barwright.llm.common import ship, string_list
+from barwright.llm.common import ship, sliced, string_list
 from barwright.llm.tokens import encode, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
@@ -42,21 +42,31 @@ class Bm25:
         self.n, self.forward, self.terms, self.term_weight = n, np.searchsorted(d, np.arange(n + 1)), t, weight
         order = np.argsort(t, kind="stable")
         self.docs, self.weights, self.begins = d[order], weight[order], np.concatenate([[0], np.cumsum(df)])
-
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int) -> np.ndarray:
-        """Unused documents that share one of the seed's weightiest terms, best first; ties by place."""
-        own = slice(self.forward[seed], self.forward[seed + 1])
-        top = self.terms[own][np.argsort(-self.term_weight[own], kind="stable")[:terms]]
-        if not len(top):
-            return np.zeros(0, np.int64)
-        docs = np.concatenate([self.docs[self.begins[t] : self.begins[t + 1]] for t in top])
-        weights = np.concatenate([self.weights[self.begins[t] : self.begins[t + 1]] for t in top])
-        score = np.bincount(docs, weights, self.n)
+        # terms that more than an eighth of the documents have are columns of a matrix (at most 8 times as many as a document has terms); the others are posting lists
+        often = np.flatnonzero(df * 8 > n)
+        self.column = np.full(vocabulary, -1)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((n, len(often)), np.float32)
+        own = self.column[t] >= 0
+        self.matrix[d[own], self.column[t[own]]] = weight[own]
+        self.alone = df < 2
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents by their BM25 score for all of the seed's terms, best first; ties by place."""
+        terms = self.terms[self.forward[seed] : self.forward[seed + 1]]
+        column = self.column[terms]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[column[column >= 0]] = 1
+        score = (self.matrix @ asked).astype(float)
+        rare = terms[(column < 0) & ~self.alone[terms]].tolist()
+        if rare:
+            parts = [slice(self.begins[t], self.begins[t + 1]) for t in rare]
+            score += np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(index: Bm25, lengths: np.ndarray, window: int, terms: int) -> list[tuple[int, int, int, int, int, int]]:
+def pack(index: Bm25, lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int, int]]:
     """(document, start, length, sequence, offset, seed) for every id of a shard."""
     unused = np.ones(len(lengths), bool)
     out: list[tuple[int, int, int, int, int, int]] = []
@@ -81,7 +91,7 @@ def pack(index: Bm25, lengths: np.ndarray, window: int, terms: int) -> list[tupl
             if rest is not None or not room:
                 break
             if queue is None:
-                queue = iter(index.neighbours(seed, unused, terms).tolist())
+                queue = iter(index.neighbours(seed, unused).tolist())
             following = next(queue, None)
             if following is None:
                 while cursor < len(lengths) and not unused[cursor]:
@@ -115,7 +125,7 @@ def _powers(pieces: list[tuple], filled: int, seq: int) -> list[tuple]:
 
 def _shards(batches: Iterator[pa.RecordBatch], docs: int, chars: int) -> Iterator[tuple[list, list[str]]]:
     ids, texts, size = [], [], 0
-    for b in batches:
+    for b in sliced(batches, "text"):
         for i, t in zip(b.column("doc_id").to_pylist(), string_list(b.column("text")), strict=True):
             ids.append(i)
             texts.append(t)
@@ -127,10 +137,10 @@ def _shards(batches: Iterator[pa.RecordBatch], docs: int, chars: int) -> Iterato
         yield ids, texts
 
 
-def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096, terms: int = 12, shard_docs: int = 4000, shard_chars: int = 12_000_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = 4096, shard_docs: int = 4000, shard_chars: int = 12_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of documents with their places in sequences of at most window ids; with_ids adds each piece's ids.
 
-    terms: how many of a seed's weightiest terms are looked up. shard_docs, shard_chars: a shard's bounds.
+    shard_docs, shard_chars: a shard's bounds.
     """
     ship(docs.sparkSession)
     if window & (window - 1):
@@ -142,7 +152,7 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
         for doc_ids, texts in _shards(batches, shard_docs, shard_chars):
             ids, lengths = encode(path, texts, end_id, True)
             begins = np.cumsum(lengths) - lengths
-            pieces = np.array(pack(Bm25(ids, lengths), lengths, window, terms), np.int64).reshape(-1, 6)
+            pieces = np.array(pack(Bm25(ids, lengths), lengths, window), np.int64).reshape(-1, 6)
             raw = ids.astype("<u4").tobytes()
             at = (begins[pieces[:, 0]] + pieces[:, 1]) * 4
             crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), pieces[:, 2].tolist(), strict=True)]

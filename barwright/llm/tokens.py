@@ -1,8 +1,10 @@
 """Token ids of many texts: each distinct word of a batch is encoded once.
 
 A blank between two characters that aren't white space always ends a pre-token of both tokenizers used here, as does
-the step from a letter to a mark of punctuation, so a text's ids are those of its words, one after another. Texts where
-that can't be seen from blanks alone (runs of white space, other white space than blank and newline) are encoded whole.
+the step from a Latin letter to a mark of punctuation, so a text's ids are those of its words, one after another. Texts
+where that can't be seen from blanks alone (runs of white space, other white space than blank and newline) and texts that
+hold one of the tokenizer's added tokens are encoded whole. Words go to the tokenizer many at once, set apart by a sign
+that is an id of its own beside a blank.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words joined to one call of the tokenizer, and words that a worker remembers before it starts afresh.
-JOINED, REMEMBERED = 128, 400_000
+#: Words joined to one text for the tokenizer, and words that a worker remembers before it starts afresh.
+JOINED, REMEMBERED = 2048, 400_000
 #: Characters that are looked up at once, which bounds the memory of a call.
 PART = 8_000_000
 _ODD = re.compile(r"\A\Z|\n\n|\A\n|\n\Z|[^\S\n]")
 _MARKS = frozenset(".,;:!?")
+#: Latin letters that lower case keeps one letter: a mark after one of them is a pre-token of its own.
+_PLAIN = frozenset(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.lower()) == 1)
 
 
 @lru_cache(maxsize=4)
@@ -28,9 +32,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,7 +51,11 @@ class Words:
     def __init__(self, path: str, blanks_dropped: bool):
         self.tok, self.fold = tokenizer(path), blanks_dropped
         self.lead = "" if blanks_dropped else " "
+        # what stands between two words: a newline ends a pre-token by itself; where blanks are dropped, a control sign does
+        self.between, self.sign = (" \x1f ", "\x1f") if blanks_dropped else ("\n ", "\n")
+        (self.sign_id,) = self.tok.encode(self.sign, add_special_tokens=False).ids
         self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, np.uint32) for m in _MARKS}
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -64,15 +70,27 @@ class Words:
         self.counts = np.concatenate([self.counts, counts])
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _strange(self, pieces: list[str]) -> list[str]:
+        """Pieces whose ids depend on what stands around them, or that hold an added token; empty ones."""
+        every = "\0".join(pieces)
+        held = [t for t in self.added if t in every]
+        odd = [p for p in pieces if not p.isprintable() and _ODD.search(p)] if not self.fold and not every.isprintable() else []
+        if held:
+            odd = list(dict.fromkeys([*odd, *(p for p in pieces if any(t in p for t in held))]))
+        return odd if self.fold or "" in odd else [*odd, *([""] if "" in pieces else [])]
+
     def _encode(self, words: list[str]) -> None:
-        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        ids_of, count_of, lead = [], [], len(self.lead)
-        for group, enc in zip(groups, self.tok.encode_batch([self.lead + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            begins = np.cumsum([lead] + [len(p) + 1 for p in group[:-1]]) - 1  # an offset may begin at the blank
-            owner = np.searchsorted(begins, [o[0] for o in enc.offsets], side="right") - 1
-            count_of.append(np.bincount(np.maximum(owner, 0), minlength=len(group)))
-            ids_of.append(np.array(enc.ids, np.uint32))
-        self._add(words, _cat(ids_of, np.uint32), _cat(count_of, np.int64))
+        apart = [w for w in words if self.sign in w] if self.sign in "".join(words) else []
+        if apart:
+            got = [e.ids for e in self.tok.encode_batch([self.lead + w for w in apart], add_special_tokens=False)]
+            self._add(apart, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
+            words = [w for w in words if w not in self.at]
+        if words:
+            groups = [self.lead + self.between.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+            ids = [np.array([*e.ids, self.sign_id], np.uint32) for e in self.tok.encode_batch_fast(groups, add_special_tokens=False)]
+            ids = np.concatenate(ids)
+            ends = np.flatnonzero(ids == self.sign_id)
+            self._add(words, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
 
     def look_up(self, pieces: list[str]) -> np.ndarray:
         """Places in the pool; encodes what is new. A new piece is a word, or a word and a mark."""
@@ -81,16 +99,17 @@ class Words:
         at = self.at
         new = [p for p in pieces if p not in at]
         if new:
-            odd = [p for p in new if p == "" or (not p.isprintable() and _ODD.search(p))]
+            odd = self._strange(new)
+            if self.fold and "" in new:
+                odd = [*odd, ""]
             if odd:
                 n = len(at)
                 self._add(odd, np.zeros(0, np.uint32), np.zeros(len(odd), np.int64))
-                self.odd.update(range(n, n + len(odd)))
+                self.odd.update(k for k, p in enumerate(odd, n) if p or not self.fold)
                 new = [p for p in new if p not in at]
-            base_of = {}
-            for p in new:
-                b = p[:-1] if p[-1] in _MARKS and len(p) > 1 and p[-2].isalpha() else p
-                base_of[p] = b.lower() if self.fold and b.isascii() else b
+            base_of = {p: p[:-1] if p[-1] in _MARKS and p[-2:-1] in _PLAIN else p for p in new}
+            if self.fold:
+                base_of = {p: b.lower() if b.isascii() else b for p, b in base_of.items()}
             if bases := [b for b in dict.fromkeys(base_of.values()) if b not in at]:
                 self._encode(bases)
             if rest := [p for p in new if p not in at]:
