@@ -1,13 +1,17 @@
 """Document fingerprints by invertible Bloom lookup tables.
 
-A text is cut into paragraphs (lines), and these at ends of sentences and after words that end in one of a few letters,
-so that an edit touches the pieces near it alone. Each piece, with its number among equal pieces, has a 64-bit digest.
-The digests are added to the cells of a table (three sub-tables; a cell keeps a count, the XOR of digests and the XOR of
-their check sums): the text's fingerprint. Two tables subtract cell by cell; peeling cells that hold a single digest
-recovers the digests in which the texts differ. If peeling stalls, both tables are built anew with twice the cells,
-until it ends. Likeness is 2 x shared / (all digests of both).
-
-Nulls: a null text is empty; two empty texts are alike (1.0). Rows that repeat an id come in order of their texts.
+A text's paragraphs are its lines; a paragraph of several sentences has a cell entry for each sentence, and a sentence of
+more than ``LONG`` words is cut after words whose hash says so (content-defined, so that an edit touches the cuts near it
+alone). Each piece, with its number among equal pieces, has a 64-bit digest of which ``SIZE_BITS`` bits are its length in
+code points. The digests are added to the cells of a table (three sub-tables; a cell keeps a count, the XOR of digests and
+the XOR of their check sums): the text's fingerprint. A sub-table has a power of two of cells, as many as the text has
+digests at least, so that the difference of two versions of like size can be peeled.
+
+Two tables subtract cell by cell; peeling cells that hold a single digest recovers the digests, and so the lengths of the
+paragraphs, in which the texts differ. Where tables have unequal sizes, or peeling stalls, both are built anew with twice
+the cells, until it ends. Likeness is 1 - (length of what differs) / (length of both).
+
+Nulls: a null text is empty; two texts without pieces are alike (1.0). Rows that repeat an id come in order of their texts.
 A null id comes last. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -24,25 +28,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import bucket_of, id_order, range_bounds, ship, shuffle_partitions, splitmix, string_list
+from barwright.llm.common import bucket_of, id_order, range_bounds, ship, shuffle_partitions, sliced, splitmix, string_list
 
-#: Ends of pieces: newlines, and blanks after a mark or one of these letters.
-PIECE = re.compile(r"\n+|(?<=[.!?;:|dlrtzß])[ \t]+")
-#: Cells of each of the three sub-tables of a fingerprint.
-CELLS = 16
+#: Ends of paragraphs and of sentences.
+PARAGRAPH = re.compile(r"\n+|(?<=[.!?])[ \t]+")
+#: Words beyond which a sentence is cut, one of how many words ends a cut, and bits of a digest that hold a length.
+LONG, EVERY, SIZE_BITS = 24, 8, 20
+#: Least cells of each of the three sub-tables of a fingerprint; most cells before digests are compared themselves.
+CELLS, MOST = 8, 1 << 20
 _CHECK = np.uint64(0xA0761D6478BD642F)
+_SIZE = (1 << SIZE_BITS) - 1
+
+
+def pieces(text: str) -> list[str]:
+    out = []
+    for p in PARAGRAPH.split(text):
+        if not p:
+            continue
+        if p.count(" ") < LONG:
+            out.append(p)
+            continue
+        words, lo = p.split(" "), 0
+        for k, w in enumerate(words, 1):
+            if k < len(words) and xxhash.xxh32_intdigest(w) % EVERY == 0:
+                out.append(" ".join(words[lo:k]))
+                lo = k
+        out.append(" ".join(words[lo:]))
+    return [p for p in out if p]
 
 
 def digests(text: str) -> list[int]:
-    """64-bit digests of a text's pieces; equal pieces are told apart by their number."""
-    pieces = [p for p in PIECE.split(text) if p]
-    if len(set(pieces)) == len(pieces):
-        return [xxhash.xxh64_intdigest(p) for p in pieces]
+    """64-bit digests of a text's pieces, the low bits being lengths; equal pieces are told apart by their number."""
     out, seen = [], {}
-    for p in pieces:
+    for p in pieces(text):
         k = seen.get(p, 0)
         seen[p] = k + 1
-        out.append(xxhash.xxh64_intdigest(p, k))
+        out.append((xxhash.xxh64_intdigest(p, k) & ~_SIZE) | min(len(p), _SIZE))
     return out
 
 
@@ -69,10 +90,10 @@ def sketches(owner: np.ndarray, keys: np.ndarray, n: int, cells: int, sign: np.n
 
 
 def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many digests each difference has on the left and on the right, and whether all were recovered."""
+    """How many digests each difference has, the sum of their lengths, and whether all were recovered."""
     n, width = count.shape
     cells = width // 3
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    found, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     live = np.arange(n)
     flat_count, flat_key, flat_check = count.reshape(-1), key.reshape(-1), check.reshape(-1)
     for _ in range(4 * width):
@@ -86,8 +107,8 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
             pure = splitmix(keys ^ _CHECK) == sums
             rows, at, keys, sums = rows[pure], at[pure], keys[pure], sums[pure]
             sign, places = flat_count[at], _places(keys)
-            left += np.bincount(rows[sign > 0], minlength=n)
-            right += np.bincount(rows[sign < 0], minlength=n)
+            found += np.bincount(rows, minlength=n)
+            length += np.bincount(rows, (keys & np.uint64(_SIZE)).astype(np.int64), n).astype(np.int64)
             moved[rows] = True
             for u in range(3):
                 to = rows * width + _cell(places, u, cells)
@@ -97,22 +118,25 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
         live = np.flatnonzero(moved)
         if not len(live):
             break
-    return left, right, ~(count.any(axis=1) | key.any(axis=1) | check.any(axis=1))
+    return found, length, ~(count.any(axis=1) | key.any(axis=1) | check.any(axis=1))
 
 
-def differences(a: list, b: list, cells: int = CELLS, most: int = 1 << 20) -> np.ndarray:
-    """How many digests the pairs of sets differ by, by subtracting and peeling; larger tables where that stalls.
+def cells_of(n: int) -> int:
+    """Cells of each sub-table for so many digests."""
+    return max(CELLS, 1 << max(n - 1, 0).bit_length())
 
-    The first table has room for the difference of the sets' sizes, which is the least that they differ by.
+
+def differences(a: list, b: list, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """How many digests the pairs of sets differ by and their lengths, by subtracting and peeling; larger tables where that stalls.
+
+    The first tables are those of the larger set's fingerprint.
     """
-    out = np.zeros(len(a), np.int64)
+    out, length = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     one, two = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     begins = np.cumsum(one + two) - (one + two)
     keys = np.concatenate([np.asarray(x, np.uint64) for pair in zip(a, b, strict=True) for x in pair] or [np.zeros(0, np.uint64)])
     places, sums = _places(keys), splitmix(keys ^ _CHECK)
-    width = np.full(len(a), cells, np.int64)
-    while (small := (2 * width < np.abs(one - two)) & (width < most)).any():
-        width[small] *= 2
+    width = np.array([min(cells_of(n), most) for n in np.maximum(one, two).tolist()], np.int64)
     todo = np.arange(len(a))
     while len(todo):
         stalled = []
@@ -126,31 +150,42 @@ def differences(a: list, b: list, cells: int = CELLS, most: int = 1 << 20) -> np
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                 at = nth + np.repeat(begins[some], size)
                 sign = np.where(nth < one[some][owner], 1, -1)
-                x, y, ok = peel(*sketches(owner, keys[at], len(some), w, sign, places[at], sums[at]))
-                out[some[ok]] = (x + y)[ok]
+                n, size_of, ok = peel(*sketches(owner, keys[at], len(some), w, sign, places[at], sums[at]))
+                out[some[ok]], length[some[ok]] = n[ok], size_of[ok]
                 stalled.append(some[~ok])
         todo = np.concatenate(stalled)
         if len(todo) and (last := todo[width[todo] > most]).size:
             for i in last:  # equal check sums of unequal digests: compare the digests themselves
-                out[i] = len({int(v) for v in a[i]} ^ {int(v) for v in b[i]})
+                apart = {int(v) for v in a[i]} ^ {int(v) for v in b[i]}
+                out[i], length[i] = len(apart), sum(v & _SIZE for v in apart)
             todo = todo[width[todo] <= most]
         width[todo] *= 2
-    return out
+    return out, length
 
 
-def fingerprint_of(keys: list, cells: int = CELLS) -> list[str]:
+def fingerprint_of(keys: list) -> list[str]:
     """Number of digests and the table's cells (32-bit count, 64-bit XOR, 32-bit check XOR), base64."""
-    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    count, key, check = sketches(owner, np.concatenate([np.asarray(k, np.uint64) for k in keys] or [np.zeros(0, np.uint64)]), len(keys), cells)
+    out = [""] * len(keys)
     cell = np.dtype([("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
-    table = np.zeros(count.shape, cell)
-    table["n"], table["k"], table["c"] = count, key, check & np.uint64(0xFFFFFFFF)
-    return [f"{len(k)}." + base64.b64encode(t.tobytes()).decode() for k, t in zip(keys, table, strict=True)]
+    size = np.array([cells_of(len(k)) for k in keys], np.int64)
+    for w in np.unique(size).tolist():
+        same = np.flatnonzero(size == w)
+        step = max(1, (1 << 20) // (3 * w))
+        for lo in range(0, len(same), step):
+            some = same[lo : lo + step].tolist()
+            owner = np.repeat(np.arange(len(some)), [len(keys[i]) for i in some])
+            count, key, check = sketches(owner, np.concatenate([np.asarray(keys[i], np.uint64) for i in some]), len(some), w)
+            table = np.zeros(count.shape, cell)
+            table["n"], table["k"], table["c"] = count, key, check & np.uint64(0xFFFFFFFF)
+            for i, t in zip(some, table, strict=True):
+                out[i] = f"{len(keys[i])}." + base64.b64encode(t.tobytes()).decode()
+    return out
 
 
 def likeness(a: list, b: list) -> np.ndarray:
-    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], float)
-    return np.where(total > 0, 1 - differences(a, b) / np.maximum(total, 1), 1.0)
+    size = lambda keys: float((np.asarray(keys, np.uint64) & np.uint64(_SIZE)).sum()) if len(keys) else 0.0
+    total = np.array([size(x) + size(y) for x, y in zip(a, b, strict=True)])
+    return np.where(total > 0, 1 - differences(a, b)[1] / np.maximum(total, 1), 1.0)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -174,11 +209,11 @@ def _rows(chunk: list[tuple[int | None, str]], following: str) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _chain(batches: Iterator[pa.RecordBatch], rows: int = 2000, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _chain(batches: Iterator[pa.RecordBatch], rows: int = 1000, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of one bucket in descending order of id; guests at its end are the next bucket's first rows."""
     held: list[tuple[int | None, str]] = []
     size, ended = 0, False
-    for b in batches:
+    for b in sliced(batches, "text"):
         for i, t, guest in zip(b.column("doc_id").to_pylist(), string_list(b.column("text")), b.column("guest").to_pylist(), strict=True):
             if guest:
                 if not ended and held:

@@ -1,9 +1,12 @@
 """Invertible Bloom fingerprints against sets of digests."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from barwright.llm import fingerprints as fp
 
 
@@ -20,7 +23,8 @@ def brute(rows):
 
 def like(a, b):
     x, y = set(fp.digests(a)), set(fp.digests(b))
-    return 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
+    size = lambda keys: sum(k % (1 << fp.SIZE_BITS) for k in keys)
+    return 1 - size(x ^ y) / (size(x) + size(y)) if x or y else 1.0
 
 
 def test_every_row_against_brute_force(docs, local):
@@ -40,11 +44,37 @@ def test_peeling_recovers_planted_differences():
     rng = random.Random(1)
     a = [[rng.getrandbits(64) for _ in range(rng.choice([0, 1, 5, 3000]))] for _ in range(40)]
     b = [x[: len(x) // 2] + [rng.getrandbits(64) for _ in range(rng.choice([0, 2, 900]))] for x in a]
-    assert fp.differences(a, b).tolist() == [len(set(x) ^ set(y)) for x, y in zip(a, b, strict=True)]
+    count, length = fp.differences(a, b)
+    apart = [set(x) ^ set(y) for x, y in zip(a, b, strict=True)]
+    assert count.tolist() == [len(x) for x in apart] and length.tolist() == [sum(v % (1 << fp.SIZE_BITS) for v in x) for x in apart]
+
+
+def test_fingerprints_alone_tell_versions_apart():
+    """The tables that are returned subtract and peel: of versions of like size nothing has to be built anew."""
+    rng = random.Random(2)
+    cell = np.dtype([("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
+    stalled = 0
+    for _ in range(200):
+        one = [rng.getrandbits(64) for _ in range(rng.randint(10, 60))]
+        two = one[: len(one) // 2] + [rng.getrandbits(64) for _ in range(len(one) - len(one) // 2)]
+        a, b = (np.frombuffer(base64.b64decode(f.split(".")[1]), cell) for f in fp.fingerprint_of([one, two]))
+        check = fp.splitmix(np.array(one + two, np.uint64) ^ fp._CHECK)
+        high = {int(c) & 0xFFFFFFFF: int(c) for c in check}  # the check sums' high halves aren't kept
+        assert len(high) == len(set(one + two))
+        count, key = a["n"].astype(np.int64) - b["n"].astype(np.int64), a["k"] ^ b["k"]
+        full = fp.sketches(np.zeros(len(one) + len(two), np.int64), np.array(one + two, np.uint64), 1, len(a) // 3, np.array([1] * len(one) + [-1] * len(two)))
+        assert (full[0][0] == count).all() and (full[1][0] == key).all() and ((full[2][0] & np.uint64(0xFFFFFFFF)) == (a["c"] ^ b["c"])).all()
+        n, _, ok = fp.peel(*full)
+        stalled += not ok[0]
+        assert not ok[0] or n[0] == len(set(one) ^ set(two))
+    assert stalled <= 10
 
 
 def test_repeated_pieces_have_digests_of_their_own():
     assert len(set(fp.digests("a.\na.\na."))) == 3 and fp.digests("") == []
+    long = " ".join(f"w{k}" for k in range(200))
+    assert 5 < len(fp.pieces(long)) < 60 and " ".join(fp.pieces(long)) == long
+    assert len(set(fp.digests(long)) & set(fp.digests("a new head, " + long))) >= len(fp.pieces(long)) - 2
 
 
 def test_odd_rows(odd):
