@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import shuffle_partitions
+from barwright.llm.common import shuffle_partitions, small, staged
 
 #: Terms of the distribution that are summed; a rate above MAX_RATE is split into whole copies and a Poisson rest.
 TERMS, MAX_RATE = 40, 8.0
@@ -55,9 +55,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     weights: target share of characters by source (scaled to 1). temperature: used where weights is None.
     """
     docs = docs.drop("copy", "mix_key", "mixing_source", "mixing_rate", "mixing_copies")
-    table = rates(docs, weights, temperature).select(F.col("source").alias("mixing_source"), F.col("rate").alias("mixing_rate"))
-    # a row for each source: Spark broadcasts it where its measured size is small and splits hot sources otherwise
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("mixing_source")), "left").drop("mixing_source")
+    # a row for each source, counted: broadcast below the bound, so that texts needn't be shuffled by their source
+    table = staged(rates(docs, weights, temperature).select(F.col("source").alias("mixing_source"), F.col("rate").alias("mixing_rate")), "rates")
+    joined = docs.join(small(table), F.col("source").eqNullSafe(F.col("mixing_source")), "left").drop("mixing_source")
     whole = F.floor(F.greatest(F.col("mixing_rate") - MAX_RATE, F.lit(0.0)))
     rest = F.col("mixing_rate") - whole
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))

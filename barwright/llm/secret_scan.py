@@ -8,7 +8,7 @@ block, and its hash that of the body; a header without a body is no key.
 
 Spans are in code points, end exclusive. A null text is empty, a null lang or source counts as one of its own. Repeated
 rows are reported each. Overlapping spans of different kinds are all reported; redaction merges them. Empty tables
-give empty results; extra columns pass through redaction untouched (their names don't begin with ``scan_``).
+give empty results; extra columns pass through redaction untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import staged
+from barwright.llm.common import set_apart, small, staged
 
 _ANY = "".join  # letters in either case, spelled out so that every regex engine reads them alike
 _WORDS = ["password", "passwd", "secret", "token", "api_?key"]
@@ -70,11 +70,20 @@ def all_spans(text: Column) -> Column:
 
 
 def _owned(cands: DataFrame, copied_owners: int) -> DataFrame:
-    """cands (row, owner, repository, span) with owners, repositories and live of each span's hash."""
+    """cands (row, owner, repository, span) with live of each span's hash.
+
+    What many owners hold is a short table: it is broadcast where its count allows, so that the rows of a hash that is
+    everywhere stay where they are; else Spark joins it by a shuffle and splits hot hashes.
+    """
+    copied = staged(spread(cands).where(F.col("owners") >= copied_owners).select(F.col("hash").alias("copied_hash")), "copied")
+    return cands.drop("owner", "repository").join(small(copied), F.col("span.hash") == F.col("copied_hash"), "left").withColumn("live", F.col("copied_hash").isNull()).drop("copied_hash")
+
+
+def spread(cands: DataFrame) -> DataFrame:
+    """hash, owners, repositories: how many of each hold it."""
     held = cands.select(F.col("span.hash").alias("hash"), "owner", "repository").distinct()
     by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    spread = by_owner.groupBy(F.col("hash").alias("spread_hash")).agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    return cands.drop("owner", "repository").join(spread, F.col("span.hash") == F.col("spread_hash")).withColumn("live", F.col("owners") < copied_owners)
+    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -119,6 +128,8 @@ def scanned(docs: DataFrame, copied_owners: int = 3) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) -> DataFrame:
     """docs with live-looking spans of the text masked; n_chars, where there is one, is counted anew in changed rows."""
+    names = docs.columns
+    docs, back = set_apart(docs, [c for c in names if c.startswith("scan_")])
     text = F.coalesce(F.col("text"), F.lit(""))
     suspect = text.rlike(ANY_KIND)
     rows = staged(_scanned(docs.where(suspect)), "suspects")
@@ -136,7 +147,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", copied_owners: int = 3) ->
     changed = {"text": F.coalesce("scan_clean", "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("scan_clean").isNotNull(), F.char_length("scan_clean").cast("long")).otherwise(F.col("n_chars"))
-    return docs.where(~suspect).select(*docs.columns).unionByName(hit.withColumns(changed).select(*docs.columns))
+    return docs.where(~suspect).select(*docs.columns).unionByName(hit.withColumns(changed).select(*docs.columns)).withColumnsRenamed(back).select(*names)
 
 
 def oracle(docs: str = "documents", copied_owners: int = 3) -> str:
