@@ -7,9 +7,10 @@ at least the threshold; sets without n-grams are alike to each other only.
 1. Each row gets a 128-bit key of its n-gram set and MinHash bands; rows with one key are one node with a weight.
 2. Nodes that share a band hash are candidates: a shuffle on band hashes sends every node to the least of its bucket,
    and the components of these stars are groups outside of which no candidate pair exists.
-3. Each group with two nodes or more gets its texts, one a node, in blocks of ``block`` nodes. A task holds two blocks
-   at most; it verifies each pair that shares a band on full n-gram sets and returns each node's links and a spanning
-   forest, never the pairs. A larger group is covered by all its pairs of blocks, so that no link is lost.
+3. Each group with two nodes or more gets its texts, one a node, in blocks of about ``block`` nodes and ``block_grams``
+   n-grams. A task holds two blocks at most; it verifies each pair that shares a band on full n-gram sets, by merging two
+   sets or, where a tile holds many such pairs, by products of 0-1 matrices in slices of columns, and returns each node's
+   links and a spanning forest, never the pairs. A larger group is covered by all its pairs of blocks: no link is lost.
 4. Components of the forests are the classes.
 
 Nulls: a null text is empty; a null id is allowed and never a class's id if the class has another. Repeated rows are
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import ship, staged, string_list
+from barwright.llm.common import ship, sliced, small, staged, string_list
 from barwright.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -95,11 +96,12 @@ def set_key(grams: np.ndarray) -> bytes:
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     mh = MinHash(bands, rows)
-    for b in batches:
+    for b in sliced(batches, "text"):
         sets = shingles(string_list(b.column("text")))
         sig = [mh.signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("row_key"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "row_key", "node", "bands"]
+            [b.column("doc_id"), b.column("row_key"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())],
+            names=["doc_id", "row_key", "node", "bands", "grams"],
         )
 
 
@@ -109,14 +111,6 @@ def _verify(texts: list[str], keys: list[bytes], weights: list[int], blocks: lis
     sets = shingles(texts)
     sizes = np.array([len(s) for s in sets], np.int64)
     sig = np.stack([mh.signature(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), sizes)
-    # n-grams in one set only can't be shared
-    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[code] > 1
-    names, code = np.unique(code[shared], return_inverse=True)
-    owner = owner[shared]
-    begin = np.searchsorted(owner, np.arange(n + 1))
     links, parent = np.zeros(n, np.int64), list(range(n))
     w, blk = np.array(weights, np.int64), np.array(blocks)
 
@@ -129,31 +123,26 @@ def _verify(texts: list[str], keys: list[bytes], weights: list[int], blocks: lis
     step = 256
     for i in range(0, n, step):
         hi = min(i + step, n)
-        mine = code[begin[i] : begin[hi]]
-        cols, local = np.unique(mine, return_inverse=True)
-        left = np.zeros((hi - i, len(cols)), np.float32)
-        left[owner[begin[i] : begin[hi]] - i, local] = 1
         for j in range(i, n, step):
             hj = min(j + step, n)
-            right = np.zeros((hj - j, len(cols)), np.float32)
-            theirs = code[begin[j] : begin[hj]]
-            at = np.minimum(np.searchsorted(cols, theirs), max(len(cols) - 1, 0))
-            hit = cols[at] == theirs if len(cols) else np.zeros(len(theirs), bool)
-            right[owner[begin[j] : begin[hj]][hit] - j, at[hit]] = 1
-            both = left @ right.T
-            union = sizes[i:hi, None] + sizes[None, j:hj] - both
-            linked = both >= threshold * union - 1e-9
-            linked &= (sizes[i:hi, None] > 0) & (sizes[None, j:hj] > 0)
-            band = np.zeros_like(linked)
+            band = np.zeros((hi - i, hj - j), bool)
             for k in range(sig.shape[1]):
                 band |= sig[i:hi, k, None] == sig[None, j:hj, k]
-            linked &= band
+            small, large = np.minimum(sizes[i:hi, None], sizes[None, j:hj]), np.maximum(sizes[i:hi, None], sizes[None, j:hj])
+            band &= (small > 0) & (small >= threshold * large - 1e-9)
             # of two blocks, only pairs across; of one, each pair once
+            band &= np.arange(i, hi)[:, None] < np.arange(j, hj)[None, :]
             if pair[0] != pair[1]:
-                linked &= blk[i:hi, None] != blk[None, j:hj]
-            x, y = np.nonzero(linked)
+                band &= blk[i:hi, None] != blk[None, j:hj]
+            x, y = np.nonzero(band)
+            if not len(x):
+                continue
+            if len(x) <= 1000:
+                both = np.array([_common(sets[i + p], sets[j + q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+            else:
+                both = _products(sets[i:hi], sets[j:hj])[x, y]
             x, y = x + i, y + j
-            ok = x < y
+            ok = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
             x, y = x[ok], y[ok]
             np.add.at(links, x, w[y])
             np.add.at(links, y, w[x])
@@ -164,34 +153,67 @@ def _verify(texts: list[str], keys: list[bytes], weights: list[int], blocks: lis
     return links, [find(k) for k in range(n)]
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def _products(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many values each set of left shares with each of right: 0-1 matrices over so many values at a time."""
+    one, two = np.concatenate(left), np.concatenate(right)
+    names = np.intersect1d(one, two)
+    places = []
+    for sets, flat in ((left, one), (right, two)):
+        owner, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+        ok = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        places.append((owner[ok][order], at[ok][order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(names), columns):
+        parts = []
+        for sets, (owner, at) in zip((left, right), places, strict=True):
+            own = slice(*np.searchsorted(at, [lo, lo + columns]))
+            part = np.zeros((len(sets), min(columns, len(names) - lo)), np.float32)
+            part[owner[own], at[own] - lo] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
+
+
 def signed_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, row_key (of id and text), node, bands: staged."""
+    """doc_id, row_key (of id and text), node, bands, grams: staged."""
     ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     read = read.select("doc_id", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))).alias("row_key"), "text")
-    return staged(read.mapInArrow(lambda it: _signed(it, bands, rows), "doc_id long, row_key binary, node binary, bands array<long>"), "minhash")
+    return staged(read.mapInArrow(lambda it: _signed(it, bands, rows), "doc_id long, row_key binary, node binary, bands array<long>, grams long"), "minhash")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9995, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9995, block: int = 1024, block_grams: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows as signed_rows; nodes with node, class_id, class_node, members (rows), links (linked rows), rep_key (the row that stands for the class, or null)."""
     bands, per = banding(threshold, recall)
     rows = signed_rows(docs, bands, per)
     # the row that stands for a node: least id (nulls last), then least key
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
-    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(first).alias("rep"))
-    hashes = rows.select("node", F.explode("bands").alias("band"))
+    # rows with one node are one before its bands are dealt out; partial sums leave few rows of a node that many rows have
+    nodes = staged(rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(first).alias("rep"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "nodes")
+    hashes = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = nodes.drop("bands")
     buckets = hashes.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root <> last").select("band", "root")
     stars = hashes.join(buckets, "band").where("node <> root").select("node", "root").distinct()
     groups = components(stars)
     # candidates are the nodes of groups with two nodes or more: those that have a root, and the roots
     heads = groups.select(F.col("root").alias("node"), "root").distinct()
     cand = groups.select("node", "root").union(heads).join(nodes, "node").checkpoint()
-    sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = cand.join(sizes, "root").withColumn("n_blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("grams").alias("all_grams"))
+    placed = cand.join(sizes, "root").withColumn("n_blocks", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_grams") / block_grams), F.lit(1)).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).checkpoint()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))).alias("row_key"), "text")
-    with_text = placed.withColumn("row_key", F.col("rep.row_key")).join(texts, "row_key")
+    # few candidates go to the texts; many meet them by a shuffle
+    with_text = texts.join(small(placed.withColumn("row_key", F.col("rep.row_key"))), "row_key").dropDuplicates(["row_key"])
     tasks = with_text.select(
         "root", "node", "members", "block", "n_blocks", "text",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))).alias("pair"),
@@ -225,6 +247,9 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9995
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.9995, block: int = 1024) -> DataFrame:
     """docs without all but one row of each class."""
     _, nodes = classes(docs, threshold, recall, block)
-    kept = nodes.where(F.col("rep_key").isNotNull()).select(F.col("rep_key").alias("kept_key"))
-    keyed = docs.withColumn("kept_key", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))))
-    return keyed.join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"]).drop("kept_key")
+    name = "kept_key"
+    while name in docs.columns:
+        name += "_"
+    kept = nodes.where(F.col("rep_key").isNotNull()).select(F.col("rep_key").alias(name))
+    keyed = docs.withColumn(name, F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
