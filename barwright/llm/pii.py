@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import ship, string_list
+from barwright.llm.common import ship, sliced, string_list
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,11 +35,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: Tokens of the longest entity, tokens of context on each side, and the log odds that an added span needs.
-MOST, AROUND, MARGIN = 16, 6, 2.0
+MOST, AROUND, MARGIN = 22, 6, 2.0
 TOKEN = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{1,4}(?=:)|(?<=:)[0-9a-fA-F]{1,4}(?![A-Za-z0-9])|[A-Za-zÀ-ɏ]+|[0-9]+|[^\sA-Za-z0-9À-ɏ]")
-TRIGGER = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|[0-9][\x20().:/-]{0,2}(?:[0-9][\x20().:/-]{0,2}){5,}|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,}|\sat\s[A-Za-z0-9.-]+\sdot\s")
+TRIGGER = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|[0-9][\x20().:/_-]{0,3}(?:[0-9][\x20().:/_-]{0,3}){5,}|[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){3,}|\sat\s[a-z0-9.-]+\s+dot\s|[0-9]\s?[\[({<]\s?(?:dot|\.)|[0-9]\sdot\s[0-9]", re.I)
 
-AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sat\s.*\sdot\s")
+AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sat\s.*\sdot\s", re.I)
+DOTTED = re.compile(r"[0-9]{1,3}(?:\s?[\[({<]?\s?(?:dot|\.)\s?[\])}>]?\s?[0-9]{1,3}){1,3}", re.I)
 HEXES = re.compile("[0-9a-fA-F:]+")
 
 Span = tuple[int, int]
@@ -117,8 +118,6 @@ def segments(text: str, tokens: list[tuple[str, int, int]]) -> list[list[tuple[i
                 if not (first.isalnum() or first in "+([{"):
                     continue
                 span = text[lo : tokens[j - 1][2]]
-                if span.count(" ") > 6:
-                    break
                 digits = sum(map(span.count, "0123456789"))
                 if "@" in span or AT.search(span):
                     if not first.isalnum():
@@ -126,6 +125,9 @@ def segments(text: str, tokens: list[tuple[str, int, int]]) -> list[list[tuple[i
                 elif span.count(":") >= 3:
                     if not HEXES.fullmatch(span):
                         continue
+                elif "dot" in span.lower() or "[" in span:
+                    if not DOTTED.fullmatch(span):
+                        continue
                 elif digits < 7 or first in "[{" or not (first[0].isdigit() or first in "+(") or not last.isdigit():
                     continue
                 before = tokens[i - 1] if i else ("^", lo - 1, lo - 1)
@@ -143,16 +145,23 @@ def features(span: str, digits: int, before: tuple, lo: int, after: tuple, hi: i
     out = [f"shape:{shape}" if len(shape) < 20 and not letters else "shape:-", f"short:{short}" if len(short) < 24 else "short:long", f"digits:{min(digits, 20)}", f"groups:{len(groups)}:{max(groups, default=0)}"]
     out += [f"glued:{int(before[2] == lo and before[0].isalnum())}{int(after[1] == hi and after[0].isalnum())}", f"near:{before[0].lower()[:8]}:{int(before[2] == lo)}", f"then:{after[0][:1] if not after[0].isalnum() else 'w'}:{int(after[1] == hi)}"]
     out += [f"letters:{min(letters, 3)}", f"first:{span[0] if not span[0].isalnum() else '9' if span[0].isdigit() else 'a'}"]
+    spaced = re.fullmatch(r"\+?[0-9](?:([\x20._-])[0-9])(?:\1[0-9])+", span)
+    out.append(f"apart:{int(spaced is not None)}:{min(digits, 20) if spaced else 0}")
+    dotted = DOTTED.fullmatch(span)
+    if dotted and letters:
+        parts = re.findall("[0-9]+", span)
+        out.append(f"dots:{len(parts)}:{int(all(int(p) < 256 for p in parts))}")
     if digits >= 12 and letters == 0:
         out.append(f"sum:{int(luhn(re.sub('[^0-9]', '', span)))}:{min(digits, 20)}")
     if re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", span):
         out.append(f"quad:{int(all(len(p) < 4 and int(p) < 256 for p in span.split('.')))}")
     if re.fullmatch(r"[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}", span):
         out.append(f"six:{min(span.count(':'), 7)}")
-    m = re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|[\[({<]\s?at\s?[\])}>]|\bat\b)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s)[A-Za-z0-9-]+)*", span)
+    m = re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(@|[\[({<]\s?at\s?[\])}>]|\bat\b)\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\sdot\s)[A-Za-z0-9-]+)*", span, re.I)
     if m:
-        out.append(f"rest:{int(re.match(r'[.][A-Za-z0-9]|[\[({<]?dot|[(\[]dot', after[0]) is not None and after[1] - hi < 2)}")
-        out.append(f"mail:{'@' if m[1] == '@' else 'in' if m[1][0] in '[({<' else 'at'}:{int('dot' in span or '.' in span[span.find(m[1]) :])}")
+        out.append(f"rest:{int(re.match(r'[.][A-Za-z0-9]|[\[({<]?dot|[(\[]dot', after[0], re.I) is not None and after[1] - hi < 2)}")
+        out.append(f"tail:{re.findall('[A-Za-z0-9]+', span)[-1].lower()[:6]}")
+        out.append(f"mail:{'@' if m[1] == '@' else 'in' if m[1][0] in '[({<' else 'at'}:{int('dot' in span.lower() or '.' in span[span.find(m[1]) :])}")
     out.append(f"mail:{int(m is not None)}")
     return out
 
@@ -268,24 +277,27 @@ def made_examples(n: int, words: list[str], seed: int = 3) -> list[tuple[str, li
         if kind == 0:
             user = rng.choice([f"{low()}.{d(2)}", f"{low()}_{low()}", low(), f"{low()}{d(2)}"])
             host, end = rng.choice([low(), f"mail{d(1)}.{low()}"]), rng.choice(["com", "org", "net", "de", "example.com"])
-            return rng.choice([f"{user}@{host}.{end}", f"{user} [at] {host} [dot] {end}", f"{user} (at) {host}.{end}", f"{user}(at){host}(dot){end}", f"{user} at {host} dot {end}", f"{user} @ {host}.{end}"]), 0
+            told = rng.choice([f"{user}@{host}.{end}", f"{user} [at] {host} [dot] {end}", f"{user} (at) {host}.{end}", f"{user}(at){host}(dot){end}", f"{user} at {host} dot {end}", f"{user} @ {host}.{end}", f"{user} at {host} dot {end}", f"{user}[at]{host}.{end}", f"{user} {{at}} {host} {{dot}} {end}"])
+            return rng.choice([told, told, told.upper(), told.title(), told.replace("at", "AT").replace("dot", "DOT")]), 0
         if kind == 1:
             if rng.random() < 0.25:
                 return ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), 1
-            return ".".join(str(rng.randrange(256)) for _ in range(4)), 1
+            return rng.choice([".", ".", "[.]", " dot ", "(dot)"]).join(str(rng.randrange(256)) for _ in range(4)), 1
         if kind == 2:
             c = card(rng.choice([15, 16, 16, 16, 19]))
-            sep = rng.choice(["", " ", "-", "."])
-            return sep.join(c[k : k + 4] for k in range(0, len(c), 4)), 2
+            sep, size = rng.choice([("", 4), (" ", 4), ("-", 4), (".", 4), ("_", 4), (" ", 1), ("-", 1), ("  ", 4)])
+            return sep.join(c[k : k + size] for k in range(0, len(c), size)), 2
         a, b, c = d(3), d(3), d(4)
-        return rng.choice([f"+{rng.randrange(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{rng.randrange(1, 99)}-{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{rng.randrange(1, 99)} {a} {b}{c}"]), 3
+        if rng.random() < 0.25:
+            return rng.choice([" ", "-", ".", " "]).join(rng.choice(["", "0"]) + a + b + c), 3
+        return rng.choice([f"+{rng.randrange(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+{rng.randrange(1, 99)}-{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)}/{d(7)}", f"00{rng.randrange(1, 99)} {a} {b}{c}"]), 3
 
     def none() -> str:
         year, m, day = rng.randrange(1900, 2030), rng.randrange(1, 13), rng.randrange(1, 29)
         return rng.choice([
             f"{year}-{m:02d}-{day:02d}", f"{day:02d}/{m:02d}/{year}", f"{day:02d}.{m:02d}.{year}", f"{year}-{m:02d}-{day:02d} {d(2)}:{d(2)}:{d(2)}", d(rng.randrange(7, 15)), f"{d(3)},{d(3)},{d(3)}.{d(2)}",
             "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 32, 40]))), "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)),
-            f"v{d(1)}.{d(2)}.{d(3)}", f"{rng.randrange(256, 999)}.{rng.randrange(300, 999)}.{d(3)}.{d(3)}", f"{low()} at {low()} {d(8)}", f"{year}-{year + 9} {d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)}", f"{d(2)} {d(3)} {d(2)} {d(4)}", f"@{low()}", f"password={d(9)}a{d(8)}", f"{d(6)}-{d(6)}-{d(6)}",
+            f"v{d(1)}.{d(2)}.{d(3)}", f"{rng.randrange(256, 999)}.{rng.randrange(300, 999)}.{d(3)}.{d(3)}", f"{low()} at {low()} {d(8)}", f"{year}-{year + 9} {d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)}", f"{d(2)} {d(3)} {d(2)} {d(4)}", f"{d(1)} {d(1)} {d(1)} {d(1)} {d(1)} {d(1)}", ", ".join(d(1) for _ in range(9)), f"{d(1)}.{d(1)} dot {low()}", f"{d(4)}:{d(2)}:{d(2)}:{d(2)}", f"@{low()}", f"{low()} at {low()} dot {low()}", f"{low()} at {d(2)} dot {d(2)}", f"password={d(9)}a{d(8)}", f"{d(6)}-{d(6)}-{d(6)}",
         ])
 
     out = []
@@ -324,8 +336,8 @@ def lattices(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list, d
     return out
 
 
-def field_from(texts: list[str], examples: int = 400) -> Field:
-    words = [w for t in texts for w in t.split()[:400]]
+def field_from(texts: list[str], examples: int = 500) -> Field:
+    words = [w for t in texts for w in t.split()]
     return train([x for text, spans in made_examples(examples, words) for x in lattices(text, spans)])
 
 
@@ -344,31 +356,31 @@ def added_spans(text: str, base: list[list[Span]], field: Field) -> list[tuple[i
     return out
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
-def found(docs: DataFrame, sample: int = 200, examples: int = 400) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans and n_added of each text. sample: documents whose words surround examples."""
+def found(docs: DataFrame, sample: int = 200, examples: int = 500) -> DataFrame:
+    """doc_id, base counts, base_sha256, spans, n_added and n_spans of each text. sample: documents whose words surround examples."""
     spark = docs.sparkSession
     ship(spark)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     drawn = docs.select(key.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    texts = [] if drawn is None else sorted(r["t"] for r in docs.where(key <= drawn).select(F.substring(F.coalesce("text", F.lit("")), 1, 4000).alias("t")).limit(sample).collect())
+    texts = [] if drawn is None else sorted(r["t"] for r in docs.where(key <= drawn).select(F.coalesce("text", F.lit("")).alias("t")).limit(sample).collect())
     f = field_from(texts, examples)
     model = (f.at, f.weights, f.steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*model)
-        for b in batches:
+        for b in sliced(batches, "text"):
             rows: list[tuple] = []
             for text in string_list(b.column("text")):
                 base = base_spans(text)
                 more = added_spans(text, base, field) if TRIGGER.search(text) else []
                 told = [f"{k}:{lo}:{hi}" for k, spans in zip(KINDS, base, strict=True) for lo, hi in spans]
                 every = sorted([(n, lo, hi) for n, spans in enumerate(base) for lo, hi in spans] + more)
-                rows.append((*map(len, base), hashlib.sha256(",".join(told).encode()).hexdigest(), ",".join(f"{KINDS[n]}:{lo}:{hi}" for n, lo, hi in every), len(more)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((*map(len, base), hashlib.sha256(",".join(told).encode()).hexdigest(), ",".join(f"{KINDS[n]}:{lo}:{hi}" for n, lo, hi in every), len(more), len(every)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
