@@ -8,7 +8,8 @@
    labels apart best, fitted on a bounded sample of labelled rows.
 
 Inputs of a score are texts alone. Nulls: a null text is empty and gets the score that no n-gram gives; a null id is
-not held out. Repeated rows are scored each. Without labels, or with labels of one kind, every score is the share of
+not held out. Repeated rows are scored each. An id with several labels is toxic if one of them says so, and its text is
+the least of its rows'; a null label is none. Without labels, or with labels of one kind, every score is the share of
 toxic labels. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import ship, string_list
+from barwright.llm.common import ship, sliced, string_list
 
 #: Letters with an id of their own; 0 is anything that isn't a letter, the last is any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))) + "œąćęłńśźżčďěňřšťůžğışőű"
@@ -73,10 +74,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
-        for b in batches:
-            texts = string_list(b.column("text"))
-            for k in range(0, len(texts), 500):
-                total += trigram_counts(texts[k : k + 500])
+        for b in sliced(batches, "text", 500_000):
+            total += trigram_counts(string_list(b.column("text")))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -93,7 +92,9 @@ def language_model(docs: DataFrame) -> np.ndarray:
 def decode(window: str, lm: np.ndarray) -> str:
     """The likeliest letters of a disguised stretch: Viterbi over pairs of letters."""
     at = {c: k + 1 for k, c in enumerate(LETTERS)}
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, -1)}
+    # what was written on the way: a letter and the place of the one before, so that a long stretch costs no more a character
+    written: list[tuple[str, int]] = []
     before = ""
     for ch in window.lower():
         options: list[tuple[str, float]] = []
@@ -110,8 +111,8 @@ def decode(window: str, lm: np.ndarray) -> str:
             if not options:
                 options.append((" ", -2.0))
         before = ch
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        new: dict[tuple[int, int], tuple[float, str, int]] = {}
+        for (a, b), (score, last) in states.items():
             for c, cost in options:
                 if not c:
                     key, s = (a, b), score + cost
@@ -119,9 +120,21 @@ def decode(window: str, lm: np.ndarray) -> str:
                     k = at.get(c, SIZE - 1 if c.isalpha() else 0)
                     key, s = (b, k), score + cost + float(lm[a, b, k])
                 if key not in new or s > new[key][0]:
-                    new[key] = (s, text + c)
-        states = new
-    return max(((s + float(lm[a, b, 0]), t) for (a, b), (s, t) in states.items()), default=(0.0, window))[1]
+                    new[key] = (s, c, last)
+        states = {}
+        for key, (s, c, last) in new.items():
+            if c:
+                written.append((c, last))
+                last = len(written) - 1
+            states[key] = (s, last)
+    if not states:
+        return window
+    _, last = max((s + float(lm[a, b, 0]), last) for (a, b), (s, last) in states.items())
+    out = []
+    while last >= 0:
+        c, last = written[last]
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def windows(texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -191,12 +204,11 @@ def _restored(text: str, spans: list[tuple[int, int]], lm: np.ndarray, memo: dic
     parts, at = [], 0
     for lo, hi in spans:
         w = text[lo:hi]
-        # longer stretches than any disguised phrase (keys, tables) are decoded in parts
-        for k in range(0, len(w), 64):
-            piece = w[k : k + 64]
-            if piece not in memo:
-                memo[piece] = decode(piece, lm)
-        parts += [text[at:lo], "".join(memo[w[k : k + 64]] for k in range(0, len(w), 64))]
+        if w not in memo:
+            if len(memo) > 100_000:
+                memo.clear()
+            memo[w] = decode(w, lm)
+        parts += [text[at:lo], memo[w]]
         at = hi
     return "".join([*parts, text[at:]])
 
@@ -297,13 +309,13 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 2500, features: int
     ship(spark)
     lm = language_model(docs)
     learn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    known = learn.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    known = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     shares = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     prior = (shares["t"] or 0) / shares["n"] if shares["n"] else 0.0
     order = F.struct(F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
     drawn = [r[0] for kind in (0, 1) for r in known.where(F.col("toxic") == kind).orderBy(order).limit(sample).select("doc_id").collect()]
-    chosen = known.where(F.col("doc_id").isin(drawn)).dropDuplicates(["doc_id"]) if drawn else known.limit(0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(drawn) if drawn else F.lit(False)).limit(4 * sample).toPandas().merge(chosen.toPandas(), on="doc_id")
+    chosen = known.where(F.col("doc_id").isin(drawn) if drawn else F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(drawn) if drawn else F.lit(False)).groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().merge(chosen.toPandas(), on="doc_id")
     rows = rows.sort_values(["doc_id"])
     texts = [t if isinstance(t, str) else "" for t in rows["text"]]
     table, b0 = fit(restored(texts, lm), rows["toxic"].to_numpy(np.int64), prior, features)
@@ -315,9 +327,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 2500, features: int
         own = np.zeros(1 << BITS, np.float32)
         own[where] = weights
         used = own != 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+        for part in sliced(batches, "text", 500_000, 500):
+            if part.num_rows:
                 raw = string_list(part.column("text"))
                 clean = restored(raw, lm)
                 t, g = hits(clean, used)
