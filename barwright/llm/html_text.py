@@ -1,12 +1,15 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is cut into leaf blocks: runs of text with no block element's border inside. A block's features are the tags and
-class words of its ancestors and coarse properties of its text (length, links, closing mark). The field has two labels,
-main text and the rest, is trained by maximum likelihood on labelled pages and decoded by Viterbi.
+A page is cut into leaf blocks: runs of text with no block element's border inside. A block's features are the tags of
+its ancestors, parts of their class words, and properties of its text: length, links, closing mark, and how it stands to
+the blocks around it (words of the neighbours, place on the page). The field has two labels, main text and the rest, is
+trained by maximum likelihood on labelled pages and decoded by Viterbi.
 
 Labelled pages are a bounded sample of the table (``sample`` pages with the least hashes of their addresses), labelled
-by the elements that HTML has for main text, and ``made`` generated pages of other layouts (class names instead of
-elements, comments, forms, notices within the article), labelled as they are generated.
+by the elements that HTML has for main text, and ``made`` generated pages of other layouts, labelled as they are
+generated: main text in a ``div`` without a class, in table cells or bare between tags, class words that say nothing,
+readers' comments under many names or none, forms, notices and adverts within the article. Class words of the generated
+pages are often made up, so that the field has to read structure and text.
 
 Nulls and empty pages give the empty text. Repeated pages are read each. Unclosed and unmatched tags, a page cut off
 in the middle of a tag, and an empty table are handled. Extra columns are ignored.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import ship, string_list
+from barwright.llm.common import ship, sliced, string_list
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b(?:[^>]*+)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|</?[a-zA-Z][^<>]*+\Z|([^<]++|<)",
@@ -89,7 +92,8 @@ def blocks(page: str) -> list[Block]:
                 path = path[:k]
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and path and path[-1][0] == name:
                 path = path[:-1]
-            if name not in VOID and not m[4].endswith("/"):
+            # a slash before the end closes nothing in HTML but elements that are void anyway, and SVG's, which are skipped
+            if name not in VOID:
                 path = (*path, (name, _classes(m[4])))
         else:
             for k in range(len(path) - 1, -1, -1):
@@ -101,7 +105,7 @@ def blocks(page: str) -> list[Block]:
         elif block:
             links = links and sum(p[0] == "a" for p in path)
     flush()
-    return out
+    return placed(out)
 
 
 def _properties(text: str, linked: int) -> tuple[int, ...]:
@@ -109,10 +113,24 @@ def _properties(text: str, linked: int) -> tuple[int, ...]:
     return (min(words.bit_length(), 6), 0 if not linked else 1 if 2 * linked < len(text) else 2, int(text[-1] in ".!?\"'”»"), int(text[0] in "©®" or "©" in text[:40]))
 
 
+def placed(found: list[Block]) -> list[Block]:
+    """Blocks with more properties: the neighbours' words, whether all before were short, and quarter of the page."""
+    n, most, out = len(found), 0, []
+    for k, (path, p, text) in enumerate(found):
+        before, after = (found[k - 1][1][0] if k else 0), (found[k + 1][1][0] if k + 1 < n else 0)
+        out.append((path, (*p, int(before >= 4), int(after >= 4), int(most >= 4), 4 * k // n), text))
+        most = max(most, p[0])
+    return out
+
+
 def features(path: Path, props: tuple[int, ...]) -> list[str]:
     names = [p[0] for p in path if p[0] in BLOCKS]
-    out = {f"in:{n}" for n in names} | {f"class:{c}" for p in path for c in p[1]}
-    out |= {f"own:{names[-1] if names else '-'}", f"words:{props[0]}", f"links:{props[1]}", f"mark:{props[2]}", f"sign:{props[3]}", "any"}
+    classes = {c for p in path for c in p[1]}
+    # a class word and its first letters, so that disqus-thread, commentlist and adslot are known by their beginnings
+    out = {f"in:{n}" for n in names} | {f"class:{c}" for c in classes} | {f"begins:{c[:4]}" for c in classes if len(c) > 4}
+    own = names[-1] if names else "-"
+    out |= {f"own:{own}", f"words:{props[0]}", f"links:{props[1]}", f"mark:{props[2]}", f"sign:{props[3]}", f"text:{props[0]}:{props[1]}:{props[2]}", f"own:{own}:{props[0]}:{props[1]}", "any"}
+    out |= {f"around:{props[4]}{props[5]}", f"begun:{props[6]}", f"quarter:{props[7]}", f"begun:{props[6]}:{props[0]}:{props[1]}"} if len(props) > 4 else set()
     return sorted(out)
 
 
@@ -214,6 +232,7 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, rate: f
 
 #: Elements and class words that say what a block is, for labelling pages.
 MAIN, ASIDE = frozenset({"article", "main"}), frozenset("nav header footer aside form head button select textarea dialog menu".split())
+COMMENTS = "comments comment disqus replies reader-replies responses discussion talkback feedback-list guestbook commentlist respond opinions".split()
 ASIDE_CLASSES = "ad ads advert banner sidebar cookie notice comments comment share related promo newsletter menu breadcrumb subscribe widget footer popup login".split()
 MAIN_CLASSES = "content post entry story body text".split()
 
@@ -230,7 +249,7 @@ def labelled(page: list[Block]) -> list[int]:
 def made_pages(n: int, texts: list[str], seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """Pages of random layouts around the given texts, with their labels."""
     rng = random.Random(seed)
-    texts = texts or ["A line of text.", "Another one, somewhat longer than the first."]
+    texts = [t for t in texts if t.strip()] or ["A line of text.", "Another one, somewhat longer than the first."]
     out = []
     for _ in range(n):
         marks: list[tuple[str, int]] = []
@@ -245,14 +264,37 @@ def made_pages(n: int, texts: list[str], seed: int = 11) -> list[tuple[list[Bloc
                 inner = f'{inner} <a href="#">{some()[:20]}</a> {some()[:60]}'
             return f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < 0.9 else "") if tag == "p" else f"<{tag}>{inner}</{tag}>"
 
+        def name(known: list[str]) -> str:
+            """A class or id: a telling word, a made-up one, or none."""
+            kind = rng.random()
+            word = rng.choice(known) if kind < 0.5 else "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 8)))
+            return "" if kind > 0.75 else f' {rng.choice(["class", "class", "id"])}="{word}{rng.choice(["", "-box", "_1", "-area"])}"'
+
+        def short(label: int, tag: str, link: bool) -> str:
+            marks.append((tag, label))
+            inner = html.escape(" ".join(rng.choice(texts).split()[: rng.randint(1, 5)]) or "x")
+            return f"<{tag}>" + (f'<a href="/{len(marks)}">{inner}</a>' if link else inner) + f"</{tag}>"
+
+        def comments() -> str:
+            out = short(0, rng.choice(["h2", "h3", "p"]), False) if rng.random() < 0.7 else ""
+            for _ in range(rng.randint(1, 5)):
+                body = short(0, rng.choice(["div", "h4", "p"]), rng.random() < 0.5) if rng.random() < 0.6 else ""
+                body += para(0, rng.choice(["p", "p", "div"]))
+                out += rng.choice([f"<li>{body}</li>", f"<div{name(COMMENTS)}>{body}</div>", f"<article{name(COMMENTS)}>{body}</article>"])
+            return f'<{(t := rng.choice(["section", "div", "ol", "ul"]))} {rng.choice(["id", "class"])}="{rng.choice(COMMENTS)}">{out}</{t}>'
+
         def rest() -> str:
-            kind = rng.choice(["nav", "header", "footer", "aside", "form", "class", "class", "section"])
+            kind = rng.choice(["nav", "header", "footer", "aside", "form", "class", "class", "links", "links", "table", "rights"])
+            if kind == "rights":
+                marks.append(("rights", 0))
+                return f"<{(t := rng.choice(['div', 'p', 'footer']))}{name(ASIDE_CLASSES)}>&copy; {rng.randrange(1990, 2030)} {html.escape(rng.choice(texts).split()[0])}</{t}>"
+            if kind == "links":
+                inner = "".join(short(0, rng.choice(["li", "div", "p", "td"]), True) for _ in range(rng.randint(2, 8)))
+                return f"<div{name(ASIDE_CLASSES)}><ul>{inner}</ul></div>"
+            if kind == "table":
+                return "<table><tr>" + "".join(short(0, "td", rng.random() < 0.8) for _ in range(rng.randint(2, 6))) + "</tr></table>"
             inner = "".join(para(0, rng.choice(["p", "li", "div", "h3", "span"])) for _ in range(rng.randint(1, 5)))
-            if kind == "class":
-                return f'<div class="{rng.choice(ASIDE_CLASSES)}">{inner}</div>'
-            if kind == "section":
-                return f'<section class="{rng.choice(["comments", "related", "comment-list", "share-box"])}">{inner}</section>'
-            return f"<{kind}>{inner}</{kind}>"
+            return f'<div class="{rng.choice(ASIDE_CLASSES)}">{inner}</div>' if kind == "class" else f"<{kind}>{inner}</{kind}>"
 
         def article() -> str:
             inner = para(1, "h1") if rng.random() < 0.8 else ""
@@ -260,14 +302,20 @@ def made_pages(n: int, texts: list[str], seed: int = 11) -> list[tuple[list[Bloc
                 inner += para(1, rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote", "div", "pre", "td"]))
                 if rng.random() < 0.12:
                     inner += rest()
-            kind = rng.choice(["article", "main", "article", "class", "both"])
-            if kind == "class":
-                return f'<div class="{rng.choice(MAIN_CLASSES)}">{inner}</div>'
+            kind = rng.choice(["article", "main", "article", "class", "both", "div", "div", "cell", "bare", "id"])
+            if kind == "bare":
+                marks.append(("bare", 1))
+                inner += html.escape(" ".join(rng.choice(texts) for _ in range(3)))
+                return f'<{(t := rng.choice(["main", "div", "article"]))}>{inner}</{t}>'
+            if kind == "cell":
+                return f"<table><tr><td>{inner}</td></tr></table>"
+            if kind in ("class", "div", "id"):
+                return f"<div{name(MAIN_CLASSES) if kind != 'div' else ''}>{inner}</div>"
             return f'<main><div class="{rng.choice(MAIN_CLASSES)}">{inner}</div></main>' if kind == "both" else f"<{kind}>{inner}</{kind}>"
 
         page = "<html><head><title>" + some() + "</title></head><body>"
         marks.append(("title", 0))
-        page += "".join(rest() for _ in range(rng.randint(0, 3))) + article() + "".join(rest() for _ in range(rng.randint(0, 3))) + "</body></html>"
+        page += "".join(rest() for _ in range(rng.randint(0, 3))) + article() + (comments() if rng.random() < 0.5 else "") + "".join(rest() for _ in range(rng.randint(0, 3))) + "</body></html>"
         found = blocks(page)
         labels = _by_marks(found, marks)
         if labels is not None:
@@ -282,11 +330,11 @@ def _by_marks(found: list[Block], marks: list[tuple[str, int]]) -> list[int] | N
 
 def field_from(pages: list[str], made: int) -> Field:
     real = [blocks(p) for p in pages]
-    texts = [t for bs in real for _, _, t in bs if len(t) > 20][:2000]
+    texts = [t for bs in real for _, _, t in bs if len(t) > 20]
     return train([(bs, labelled(bs)) for bs in real] + made_pages(made, texts))
 
 
-def extracted(pages: DataFrame, sample: int = 150, made: int = 400) -> DataFrame:
+def extracted(pages: DataFrame, sample: int = 150, made: int = 800) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks of each page."""
     spark = pages.sparkSession
     ship(spark)
@@ -298,7 +346,7 @@ def extracted(pages: DataFrame, sample: int = 150, made: int = 400) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*model)
-        for b in batches:
+        for b in sliced(batches, "html", 500_000):
             texts, counts = [], []
             for page in string_list(b.column("html")):
                 found = blocks(page)

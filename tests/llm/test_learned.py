@@ -15,6 +15,16 @@ def auc(score, y):
     return (rank[y > 0].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
 
 
+def test_held_out_documents_of_the_larger_table(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    own = toxicity.scored(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    own = own[own["held_out"] & own["toxic"].notna()]
+    y = own["toxic"].to_numpy(int)
+    found = auc(own["score"].to_numpy(), y)
+    assert y.sum() >= 60 and found >= 0.9, (y.sum(), found)
+
+
 def test_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -45,6 +55,42 @@ def test_disguised_words_are_restored(spark):
     assert got[4:] == ["plain words stay as they are", "", "2024 and 3.14 remain"]
 
 
+def test_decoding_against_every_reading():
+    """Viterbi's reading is the likeliest of all readings of short stretches, and long stretches are decoded whole."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    lm = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+    at = {c: k + 1 for k, c in enumerate(toxicity.LETTERS)}
+
+    def score(letters, cost):
+        a = b = 0
+        for c in letters:
+            k = at.get(c, 0)
+            cost, a, b = cost + float(lm[a, b, k]), b, k
+        return cost + float(lm[a, b, 0])
+
+    for w in ("m0r0n", "a$$", "1d1ot", "s.t4p", "xx0", "l!t"):
+        options, before = [], ""
+        for ch in w:
+            o = [(ch, 0.0)] + ([("", -0.7)] if ch == before else []) if ch in at else [(c, -1.5) for c in toxicity.PICTURES.get(ch, "")] + [("", -1.0 if ch in toxicity.SEPARATORS else -3.0)]
+            options.append(o)
+            before = ch
+        best = max(score("".join(c for c, _ in x), sum(s for _, s in x)) for x in product(*options))
+        got = toxicity.decode(w, lm)
+        reached = max(score("".join(c for c, _ in x), sum(s for _, s in x)) for x in product(*options) if "".join(c for c, _ in x) == got)
+        assert abs(best - reached) < 1e-4
+    long = "m0r0n" * 400
+    assert len(toxicity.decode(long, lm)) <= len(long)
+
+
+def test_repeated_ids_and_labels(spark):
+    docs = spark.createDataFrame([(k, f"{'hateful idiot' if k % 2 else 'kind friend'} number {k} said so") for k in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, 0) for k in range(60)] + [(1, None)], "doc_id long, toxic int")
+    got = toxicity.scored(docs, labels).collect()
+    assert len(got) == 120 and all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
+
+
 def test_disguises_open_windows(spark):
     words = "you are a stupid moron and nobody wants to read this hateful garbage from an idiot loser ass".split()
     rng = np.random.default_rng(0)
@@ -78,7 +124,22 @@ def test_article_without_the_rest(spark, sf):
     assert text == "A & B\n\nFirst paragraph with a break é—and more words in it.\n\nSecond one, which goes on for a while and ends here."
     held = html_text.made_pages(200, ["Some words that make up a line of text here.", "Short one", "Another line, with a comma and more of it to read."], seed=77)
     right = [int(a == b) for bs, ys in held for a, b in zip(field.decode(bs), ys, strict=True)]
-    assert np.mean(right) > 0.9
+    assert np.mean(right) > 0.95
+    for page, want in layouts():
+        found = html_text.blocks(page)
+        assert [b[2] for b, y in zip(found, field.decode(found), strict=True) if y] == want, page[:60]
+
+
+def layouts():
+    """Pages written by hand, of layouts without telling elements or class words."""
+    line = "The committee met on Tuesday to discuss the new rules for the harbour, and most of its members agreed that they were late."
+    article, two = f"<h1>Title here</h1><p>{line}</p><p>{line} {line}</p>", ["Title here", line, f"{line} {line}"]
+    yield f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div>{article}</div><div>&copy; 2024 X</div>", two
+    yield f"<body><nav><a href=/>Home</a></nav><main>{line} {line}</main><footer>Contact</footer>", [f"{line} {line}"]
+    yield f'<body><article>{article}</article><div id="disqus_thread"><p>Great post, thanks a lot for it!</p><p>I do not agree with this.</p></div>', two
+    yield f'<body><article>{article}</article><section class="reader-replies"><p>{line}</p><p>I do not agree.</p></section>', two
+    yield f"<body><table><tr><td><a href=/>Home</a></td><td><a href=/b>Boats</a></td></tr><tr><td><p>{line}</p></td></tr></table>", [line]
+    yield f"<body><div/><article class=post/>{article}</article><footer>x</footer>", two
 
 
 def test_every_page_and_odd_pages(spark, sf):
