@@ -30,6 +30,8 @@ WITH_IDS = SCHEMA + ", ids array<int>"
 class Bm25:
     """An inverted index over a shard's bags of ids."""
 
+    AT_ONCE = 64
+
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = len(lengths)
         doc = np.repeat(np.arange(n, dtype=np.uint64), lengths)
@@ -42,8 +44,8 @@ class Bm25:
         self.n, self.forward, self.terms, self.term_weight = n, np.searchsorted(d, np.arange(n + 1)), t, weight
         order = np.argsort(t, kind="stable")
         self.docs, self.weights, self.begins = d[order], weight[order], np.concatenate([[0], np.cumsum(df)])
-        # terms that more than an eighth of the documents have are columns of a matrix (at most 8 times as many as a document has terms); the others are posting lists
-        often = np.flatnonzero(df * 8 > n)
+        # terms that more than a quarter of the documents have are columns of a matrix (at most 4 times as many as a document has terms); the others are posting lists
+        often = np.flatnonzero(df * 4 > n)
         self.column = np.full(vocabulary, -1)
         self.column[often] = np.arange(len(often))
         self.matrix = np.zeros((n, len(often)), np.float32)
@@ -51,7 +53,7 @@ class Bm25:
         self.matrix[d[own], self.column[t[own]]] = weight[own]
         self.alone = df < 2
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by their BM25 score for all of the seed's terms, best first; ties by place."""
         terms = self.terms[self.forward[seed] : self.forward[seed + 1]]
         column = self.column[terms]
@@ -63,7 +65,14 @@ class Bm25:
             parts = [slice(self.begins[t], self.begins[t + 1]) for t in rare]
             score += np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = -score[found]
+        if len(found) > 8 * self.AT_ONCE:
+            # a window seldom needs more than the first few: the rest is put in order only when they are used up
+            near = score <= np.partition(score, self.AT_ONCE)[self.AT_ONCE]
+            for own in (near, ~near):
+                yield from found[own][np.argsort(score[own], kind="stable")].tolist()
+        else:
+            yield from found[np.argsort(score, kind="stable")].tolist()
 
 
 def pack(index: Bm25, lengths: np.ndarray, window: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -91,7 +100,7 @@ def pack(index: Bm25, lengths: np.ndarray, window: int) -> list[tuple[int, int,
             if rest is not None or not room:
                 break
             if queue is None:
-                queue = iter(index.neighbours(seed, unused).tolist())
+                queue = index.neighbours(seed, unused.copy())
             following = next(queue, None)
             if following is None:
                 while cursor < len(lengths) and not unused[cursor]:

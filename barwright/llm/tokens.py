@@ -3,8 +3,9 @@
 A blank between two characters that aren't white space always ends a pre-token of both tokenizers used here, as does
 the step from a Latin letter to a mark of punctuation, so a text's ids are those of its words, one after another. Texts
 where that can't be seen from blanks alone (runs of white space, other white space than blank and newline) and texts that
-hold one of the tokenizer's added tokens are encoded whole. Words go to the tokenizer many at once, set apart by a sign
-that is an id of its own beside a blank.
+hold one of the tokenizer's added tokens are encoded whole. Words go to the tokenizer many at once: an id whose token
+begins with a blank begins a word; where blanks are dropped, a token that ends a word ends it, if the word is of Latin
+letters alone, and other words are set apart by a sign that is an id of its own.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words joined to one text for the tokenizer, and words that a worker remembers before it starts afresh.
-JOINED, REMEMBERED = 2048, 400_000
+JOINED, REMEMBERED = 128, 400_000
 #: Characters that are looked up at once, which bounds the memory of a call.
 PART = 8_000_000
 _ODD = re.compile(r"\A\Z|\n\n|\A\n|\n\Z|[^\S\n]")
 _MARKS = frozenset(".,;:!?")
 #: Latin letters that lower case keeps one letter: a mark after one of them is a pre-token of its own.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _PLAIN = frozenset(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.lower()) == 1)
 
 
@@ -51,9 +53,11 @@ class Words:
     def __init__(self, path: str, blanks_dropped: bool):
         self.tok, self.fold = tokenizer(path), blanks_dropped
         self.lead = "" if blanks_dropped else " "
-        # what stands between two words: a newline ends a pre-token by itself; where blanks are dropped, a control sign does
-        self.between, self.sign = (" \x1f ", "\x1f") if blanks_dropped else ("\n ", "\n")
+        self.sign = "\x1f"
         (self.sign_id,) = self.tok.encode(self.sign, add_special_tokens=False).ids
+        names = self.tok.get_vocab(with_added_tokens=True)
+        self.border = np.zeros(max(names.values()) + 1, bool)  # tokens that end a word, or (where blanks stay) begin one
+        self.border[[k for t, k in names.items() if (t.endswith("</w>") if blanks_dropped else t.startswith("\u0120"))]] = True
         self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, np.uint32) for m in _MARKS}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
@@ -80,15 +84,25 @@ class Words:
         return odd if self.fold or "" in odd else [*odd, *([""] if "" in pieces else [])]
 
     def _encode(self, words: list[str]) -> None:
-        apart = [w for w in words if self.sign in w] if self.sign in "".join(words) else []
-        if apart:
-            got = [e.ids for e in self.tok.encode_batch([self.lead + w for w in apart], add_special_tokens=False)]
-            self._add(apart, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
+        if self.fold:
+            self._encode_apart([w for w in words if not _LATIN.fullmatch(w)])
             words = [w for w in words if w not in self.at]
         if words:
-            groups = [self.lead + self.between.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-            ids = [np.array([*e.ids, self.sign_id], np.uint32) for e in self.tok.encode_batch_fast(groups, add_special_tokens=False)]
-            ids = np.concatenate(ids)
+            ids = self._ids([self.lead + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+            border = np.flatnonzero(self.border[ids])
+            self._add(words, ids, np.diff(border, prepend=-1) if self.fold else np.diff(border, append=len(ids)))
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return _cat([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)], np.uint32)
+
+    def _encode_apart(self, words: list[str]) -> None:
+        signed = [w for w in words if self.sign in w]
+        if signed:
+            got = [e.ids for e in self.tok.encode_batch(signed, add_special_tokens=False)]
+            self._add(signed, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
+            words = [w for w in words if self.sign not in w]
+        if words:
+            ids = self._ids([f" {self.sign} ".join([*words[k : k + JOINED], ""]) for k in range(0, len(words), JOINED)])
             ends = np.flatnonzero(ids == self.sign_id)
             self._add(words, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
 
