@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.numeric import correlation
+from barwright.operators.folds import spaced
 
 
 def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("time")))
 
 
-def race(bars: DataFrame, entries: DataFrame, target: Column, stop: Column, most: int) -> DataFrame:
+def race(bars: DataFrame, entries: DataFrame, target: Column, stop: Column, most: int, spread: str | None = None) -> DataFrame:
     """Entries (symbol, rn, side, entry, and what target and stop name) with what they touch first in the next ``most`` bars.
 
     A bounded range join on blocks of ``most`` bar numbers: each entry meets its own block and the next. The stop wins
-    a bar that touches both. Result: outcome (1, -1, 0 for neither), exit_rn, close at the last bar.
+    a bar that touches both. spread: a column of bars by which a short's prices (it ends on the ask) are higher.
+    Result: outcome (1, -1, 0 for neither), exit_rn, both (whether a bar touched both before or at the end), last_close.
     """
     e = entries.withColumns({"_target": target, "_stop": stop, "_entry_id": F.struct("symbol", "rn", "side")})
     e = e.withColumn("_block", F.explode(F.array(F.floor((F.col("rn") + 1) / most), F.floor((F.col("rn") + most) / most)))).dropDuplicates(["_entry_id", "_block"])
-    b = bars.select(F.col("symbol").alias("_s"), F.col("rn").alias("_rn"), "high", "low", "close", F.floor(F.col("rn") / most).alias("_b"))
+    b = bars.select(F.col("symbol").alias("_s"), F.col("rn").alias("_rn"), "high", "low", "close", (F.col(spread) if spread else F.lit(0.0)).alias("_sp"), F.floor(F.col("rn") / most).alias("_b"))
     j = e.drop("high", "low", "close").join(b, (F.col("symbol") == F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_rn") > F.col("rn")) & (F.col("_rn") <= F.col("rn") + most))
     long = F.col("side") > 0
-    stopped = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") >= F.col("_stop"))
-    won = F.when(long, F.col("high") >= F.col("_target")).otherwise(F.col("low") <= F.col("_target"))
-    r = j.groupBy("symbol", "rn", "side").agg(F.min(F.when(stopped, F.col("_rn"))).alias("s"), F.min(F.when(won, F.col("_rn"))).alias("t"), F.max("_rn").alias("last"), F.max_by("close", "_rn").alias("last_close"))
+    stopped = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") + F.col("_sp") >= F.col("_stop"))
+    won = F.when(long, F.col("high") >= F.col("_target")).otherwise(F.col("low") + F.col("_sp") <= F.col("_target"))
+    r = j.groupBy("symbol", "rn", "side").agg(F.min(F.when(stopped, F.col("_rn"))).alias("s"), F.min(F.when(won, F.col("_rn"))).alias("t"), F.min(F.when(stopped & won, F.col("_rn"))).alias("w"), F.max("_rn").alias("last"), F.max_by(F.col("close") + F.when(F.col("side") > 0, 0.0).otherwise(F.col("_sp")), "_rn").alias("last_close"))
     outcome = F.when(F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("s") <= F.col("t"))), -1).when(F.col("t").isNotNull(), 1).otherwise(0)
-    return r.withColumns({"outcome": outcome, "exit_rn": F.when(outcome == -1, F.col("s")).when(outcome == 1, F.col("t")).otherwise(F.col("last"))}).drop("s", "t", "last")
+    return r.withColumns({"outcome": outcome, "exit_rn": F.when(outcome == -1, F.col("s")).when(outcome == 1, F.col("t")).otherwise(F.col("last"))}).withColumn("both", F.coalesce(F.col("w") <= F.col("exit_rn"), F.lit(False))).drop("s", "t", "w", "last")
 
 
 def entries_of(featured: DataFrame, signals: DataFrame) -> DataFrame:
@@ -38,19 +39,59 @@ def entries_of(featured: DataFrame, signals: DataFrame) -> DataFrame:
     return f.join(signals.select("symbol", "time", F.col("signal").alias("side")), ["symbol", "time"]).where("entry IS NOT NULL AND atr14 > 0")
 
 
-def one_at_a_time(raced: DataFrame) -> DataFrame:
-    """Greedy choice: an entry counts if the symbol's last chosen one has ended. A state machine over entries, not bars."""
+def one_at_a_time(raced: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Greedy choice: an entry counts if it comes after the bar in which the last chosen one ended. A state machine over entries, not bars."""
+    return spaced(raced, list(keys), "rn", "exit_rn", 1)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        free, rows = -1, []
-        for i, (rn, end) in enumerate(zip(pdf["rn"], pdf["exit_rn"], strict=True)):
-            if rn >= free:
-                rows.append(i)
-                free = end
-        return pdf.iloc[rows]
 
-    return raced.groupBy("symbol").applyInPandas(keep, raced.schema)
+def simulated(bars: DataFrame, signals: DataFrame, target: float, stop: float, most: int, keys: tuple[str, ...]) -> DataFrame:
+    """Trades of signals (keys, symbol, rn, side), one at a time for each of keys and symbol: rn, side, exit_rn, outcome, both, r.
+
+    bars: symbol, rn, prices, spread, atr14. Entry is the next bar's open (a long's plus its spread); the stop wins a bar
+    that touches both; after ``most`` bars the close ends it. r is the result in units of the first stop's distance.
+    An entry is raced once, whichever signals ask for it. Signals without a range, or in a series' last two bars, are none.
+    """
+    w = Window.partitionBy("symbol").orderBy("rn")
+    ahead = bars.select("symbol", "rn", "atr14", F.lead("open").over(w).alias("_open"), F.lead("spread").over(w).alias("_spread"), F.lead("rn", 2).over(w).alias("_third"))
+    asked = signals.select("symbol", "rn", "side").distinct().join(ahead.where("atr14 > 0 AND _third IS NOT NULL"), ["symbol", "rn"])
+    e = asked.withColumn("entry", F.col("_open") + F.when(F.col("side") > 0, F.col("_spread")).otherwise(0.0)).select("symbol", "rn", "side", "entry", "atr14")
+    x = race(bars, e, F.col("entry") + F.col("side") * target * F.col("atr14"), F.col("entry") - F.col("side") * stop * F.col("atr14"), most, "spread")
+    moved = F.when(F.col("outcome") == 1, F.lit(float(target))).when(F.col("outcome") == -1, F.lit(-float(stop))).otherwise(F.col("side") * (F.col("last_close") - F.col("entry")) / F.col("atr14"))
+    x = x.join(e, ["symbol", "rn", "side"]).withColumn("r", moved / stop).select("symbol", "rn", "side", "exit_rn", "outcome", "both", "r")
+    return one_at_a_time(signals.select(*keys, "symbol", "rn", "side").join(x, ["symbol", "rn", "side"]), (*keys, "symbol"))
+
+
+def screened(trades: DataFrame, *keys: str) -> DataFrame:
+    """Figures of simulated trades: counts, win rate, R, profit factor (null without a loss), drawdown in R, bars held, timeouts, sides."""
+    w = Window.partitionBy(*keys).orderBy("rn")
+    t = trades.withColumn("_eq", F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("_fall", F.greatest(F.lit(0.0), F.max("_eq").over(w.rowsBetween(Window.unboundedPreceding, 0))) - F.col("_eq"))
+    gain, loss = F.sum(F.when(F.col("r") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("r") < 0, -F.col("r")).otherwise(0.0))
+    return t.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("trades"), F.count_if(F.col("r") > 0).alias("wins"), F.avg("r").alias("expectancy_r"), F.sum("r").alias("total_r"), F.when(loss > 0, F.try_divide(gain, loss)).when(gain == 0, 0.0).alias("profit_factor"), F.max("_fall").alias("max_dd_r"),
+        F.avg(F.col("exit_rn") - F.col("rn")).alias("bars_held"), F.count_if(F.col("outcome") == 0).alias("timeouts"), F.count_if("both").alias("ambiguous"), F.count_if(F.col("side") > 0).alias("longs"),
+    )
+
+
+def random_entries(bars: DataFrame, wanted: DataFrame, reps: int, most: int, warm_up: int = 250) -> DataFrame:
+    """Controls of screened rules: keys of wanted, rep, symbol, rn, side; twice as many bars as a rule has trades, drawn by
+    a hash of repetition and bar, with its share of longs. wanted: rule, symbol, trades, longs.
+    """
+    w = Window.partitionBy("symbol")
+    eligible = bars.withColumn("_n", F.max("rn").over(w)).where((F.col("rn") > warm_up) & (F.col("rn") < F.col("_n") - most - 1) & F.col("atr14").isNotNull()).select("symbol", "rn")
+    drawn = eligible.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    order = F.md5(F.concat_ws(":", F.col("symbol"), F.col("rep").cast("string"), F.col("rn").cast("string")))
+    drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(order, "rn")))
+    coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("side"), F.col("rep").cast("string"), F.col("rn").cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
+    j = drawn.join(wanted.where("trades >= 20"), "symbol").where(F.col("_k") <= 2 * F.col("trades"))
+    return j.select("rule", "rep", "symbol", "rn", F.when(coin < F.col("longs") / F.col("trades"), 1).otherwise(-1).alias("side"))
+
+
+def edges(found: DataFrame, controls: DataFrame) -> DataFrame:
+    """Expectancy of each screened rule against its controls (rule, symbol, rep, trades, expectancy_r): edge_r, and edge_z in their population deviations."""
+    c = controls.where("trades >= 5").groupBy("rule", "symbol").agg(F.avg("expectancy_r").alias("control_r"), F.stddev_pop("expectancy_r").alias("control_sd"))
+    x = found.join(c, ["rule", "symbol"], "left").withColumn("edge_r", F.when(F.col("control_sd") > 0, F.col("expectancy_r") - F.col("control_r")))
+    return x.withColumn("edge_z", F.try_divide("edge_r", "control_sd"))
 
 
 def excursions(bars: DataFrame, horizon: int) -> DataFrame:

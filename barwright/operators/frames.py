@@ -32,16 +32,16 @@ def candle_parts(bars: DataFrame) -> DataFrame:
 
 
 def rolling_features(bars: DataFrame) -> DataFrame:
-    """Channel, mean, deviation, Bollinger bands, efficiency ratio and volume-weighted price."""
+    """Channel, mean, deviation, Bollinger bands, efficiency ratio (0 on a flat path) and the 48 earlier bars' volume-weighted close."""
     w = series()
-    bars = bars.withColumns({"_step": F.abs(F.col("close") - F.lag("close").over(w)), "_pv": (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("tick_volume")})
+    bars = bars.withColumns({"_step": F.abs(F.col("close") - F.lag("close").over(w)), "_pv": F.col("close") * F.col("tick_volume")})
     mean20, sd20 = rolled(F.avg("close"), "close", 20, w, True), rolled(F.stddev_pop("close"), "close", 20, w, True)
     moved = F.abs(F.col("close") - F.lag("close", 20).over(w))
     path = rolled(F.sum("_step"), "_step", 20, w, True)
     return bars.withColumns({
         "hh20": rolled(F.max("high"), "high", 20, w), "ll20": rolled(F.min("low"), "low", 20, w), "mean40": rolled(F.avg("close"), "close", 40, w), "sd40": rolled(F.stddev_pop("close"), "close", 40, w),
-        "bb_mid": mean20, "bb_up": mean20 + 2 * sd20, "bb_low": mean20 - 2 * sd20, "er20": F.when(path > 0, moved / path),
-        "vwap48": rolled(F.sum("_pv"), "_pv", 48, w, True) / rolled(F.sum("tick_volume"), "tick_volume", 48, w, True),
+        "bb_mid": mean20, "bb_up": mean20 + 2 * sd20, "bb_low": mean20 - 2 * sd20, "er20": F.when(path.isNotNull(), F.coalesce(F.try_divide(moved, path), F.lit(0.0))),
+        "vwap48": F.try_divide(rolled(F.sum("_pv"), "_pv", 48, w), rolled(F.sum("tick_volume"), "tick_volume", 48, w)),
     }).drop("_step", "_pv")
 
 

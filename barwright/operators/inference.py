@@ -6,7 +6,6 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +15,8 @@ EULER = 0.5772156649015329
 
 
 def drawn(sim: Column, k: Column, n: Column) -> Column:
-    """An index below n for draw k of a simulation, by a linear congruence (fixed values)."""
-    return F.pmod(F.pmod((sim * 7919 + k) * 1103515245 + 12345, F.lit(2**31)), n)
+    """An index below n for draw k of a simulation: 52 bits of a hash of both, so that simulations share no draws."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", sim.cast("string"), k.cast("string"))), 1, 13), 16, 10).cast("long"), n)
 
 
 def bootstrap(trades: DataFrame, sims: int) -> DataFrame:
@@ -51,22 +50,42 @@ def shuffled_drawdown(trades: DataFrame, sims: int, start: float) -> DataFrame:
 
 
 def moments(trades: DataFrame) -> DataFrame:
-    """n, mean, deviation, skewness and kurtosis (3 for a normal distribution) of each strategy's R."""
-    return trades.groupBy("strategy").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt"))
+    """n, mean, population deviation, skewness and kurtosis (3 for a normal distribution) of each strategy's R; the last two are null for constant results."""
+    return trades.groupBy("strategy").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurt"))
 
 
-def deflated_sharpe(m: DataFrame, trials: int, variance: float) -> DataFrame:
-    """Sharpe ratio of each row of moments, and its probability of passing the best of so many trials by luck."""
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution function: a series near 0, a continued fraction in the tails (both to 1e-12)."""
+    a = F.least(F.abs(z), F.lit(38.0))
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    term = F.struct(a.alias("t"), a.alias("s"))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), term, lambda s, i: F.struct((s["t"] * a * a / (2 * i + 1)).alias("t"), (s["s"] + s["t"] * a * a / (2 * i + 1)).alias("s")), lambda s: F.lit(0.5) + density * s["s"])
+    far = F.lit(1.0) - density / F.aggregate(F.sequence(F.lit(60), F.lit(1)), a, lambda s, i: a + i / s)
+    upper = F.when(a < 3, near).otherwise(far)
+    return F.when(z < 0, 1 - upper).when(z >= 0, upper)
+
+
+def expected_best(trials: int, variance: float) -> float:
+    """The greatest Sharpe ratio that so many trials without skill are expected to reach."""
     nd = NormalDist()
-    best = math.sqrt(variance) * ((1 - EULER) * nd.inv_cdf(1 - 1 / trials) + EULER * nd.inv_cdf(1 - 1 / (trials * math.e)))
+    return math.sqrt(variance) * ((1 - EULER) * nd.inv_cdf(1 - 1 / trials) + EULER * nd.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
+
+
+def deflated_sharpe(m: DataFrame, trials: int, variance: float) -> DataFrame:
+    """Sharpe ratio of each row of moments, and its probability of passing the best of so many trials by luck.
+
+    Fewer than three results, constant ones, and a ratio whose variance isn't positive give 0.
+    """
+    best = expected_best(trials, variance)
+    sr = F.try_divide("mean", "sd")
+    spread = 1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr
+    told = (F.col("n") >= 3) & (F.col("sd") > 0) & (spread > 0)
+    z = F.when(told, (sr - best) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(spread > 0, spread).otherwise(1.0)))
+    return m.select("strategy", F.coalesce(sr, F.lit(0.0)).alias("sharpe"), F.lit(best).alias("expected_best"), F.coalesce(normal_cdf(z), F.lit(0.0)).alias("deflated"))
 
-    @F.pandas_udf("double")
-    def phi(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: nd.cdf(v) if v == v else None)
 
-    sr = F.col("mean") / F.col("sd")
-    z = (sr - best) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr)
-    return m.select("strategy", sr.alias("sharpe"), F.lit(best).alias("expected_best"), phi(z).alias("deflated"))
+def bonferroni(p: Column, tests: int) -> Column:
+    return F.least(F.lit(1.0), p * tests)
 
 
 def effective_trials(wide: DataFrame, columns: list[str]) -> float:
@@ -86,8 +105,17 @@ def effective_trials(wide: DataFrame, columns: list[str]) -> float:
 
 
 def information(bars: DataFrame, feature: str, ahead: int, width: int) -> DataFrame:
-    """Correlation of a feature with the return some bars ahead, in windows of width bars: its mean, deviation and ratio."""
+    """Correlation of a feature with the return some bars ahead: over all rows (ic), and in windows of width rows that have both, without the one that ends at the last row, its mean over its population deviation (icir).
+
+    Fewer than two windows, or than twice the width of rows, give an icir of 0, fewer than two rows an ic of 0.
+    """
     w = Window.partitionBy("symbol").orderBy("time")
-    x = bars.withColumns({"_fwd": F.lead("close", ahead).over(w) / F.col("close") - 1, "_g": F.floor((F.row_number().over(w) - 1) / width)})
-    ic = x.where(F.col("_fwd").isNotNull() & F.col(feature).isNotNull()).groupBy("symbol", "_g").agg(correlation(feature, "_fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") == width)
-    return ic.groupBy("symbol").agg(F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_sd"), F.count("ic").alias("windows")).withColumn("icir", F.when(F.col("ic_sd") > 0, F.col("ic") / F.col("ic_sd")))
+    x = bars.withColumn("_fwd", F.try_divide(F.lead("close", ahead).over(w), F.col("close")) - 1).where(F.col("_fwd").isNotNull() & F.col(feature).isNotNull())
+    x = x.withColumn("_i", F.row_number().over(w) - 1)
+    every = x.groupBy("symbol").agg(F.coalesce(correlation(feature, "_fwd"), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("rows"))
+    parts = x.groupBy("symbol", F.floor(F.col("_i") / width).alias("_g")).agg(correlation(feature, "_fwd").alias("_ic"), F.count(F.lit(1)).alias("_n"))
+    held = parts.join(every.select("symbol", "rows"), "symbol").where((F.col("_n") == width) & (F.col("_g") * width < F.col("rows") - width))
+    ratio = held.groupBy("symbol").agg(F.avg("_ic").alias("mean"), F.stddev_pop("_ic").alias("sd"), F.count("_ic").alias("windows"))
+    out = every.join(ratio, "symbol", "left")
+    enough = (F.col("windows") >= 2) & (F.col("rows") >= 2 * width) & (F.col("sd") > 0)
+    return out.select("symbol", "ic", "rows", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce(F.when(enough, F.try_divide("mean", "sd")), F.lit(0.0)).alias("icir"))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.operators.frames import candle_parts, rolled, rolling_features, series
-from barwright.operators.recurrences import indicators
+from barwright.operators.folds import parabolic_sar, spaced
+from barwright.operators.recurrences import averages, ema, indicators
+from barwright.operators.structure import structure
 
 
 @dataclass(frozen=True)
@@ -29,13 +31,13 @@ RULES = [
     Rule("pullback_ema20", "trend", "ema50 > ema200 AND low_1 <= ema20 AND close > ema20", "ema50 < ema200 AND high_1 >= ema20 AND close < ema20"),
     Rule("momentum_roc", "trend", "(close - close_12) > 1.0 * atr14", "(close - close_12) < -1.0 * atr14"),
     Rule("zscore_revert", "reversion", "close - mean40 < -2 * sd40", "close - mean40 > 2 * sd40"),
-    Rule("bb_fade", "reversion", "low < bb_low AND close > bb_low", "high > bb_up AND close < bb_up"),
+    Rule("bb_fade", "reversion", "low < band_low AND close > band_low", "high > band_up AND close < band_up"),
     Rule("rsi_extreme", "reversion", "rsi_1 < 25 AND rsi14 >= 25", "rsi_1 > 75 AND rsi14 <= 75"),
     Rule("atr_exhaustion", "reversion", "(close - close_8) < -2.5 * atr14", "(close - close_8) > 2.5 * atr14"),
     Rule("range_rejection", "reversion", "low <= ll24 AND lower_wick > 0.5 * range", "high >= hh24 AND upper_wick > 0.5 * range"),
     Rule("failed_breakout", "reversion", "low < ll20 AND close > ll20 AND close > open", "high > hh20 AND close < hh20 AND close < open"),
     Rule("vwap_revert", "reversion", "(close - vwap48) < -1.5 * atr14", "(close - vwap48) > 1.5 * atr14"),
-    Rule("squeeze_break", "volatility", "squeeze_1 AND close > bb_up", "squeeze_1 AND close < bb_low"),
+    Rule("squeeze_break", "volatility", "squeeze_1 AND close > band_up", "squeeze_1 AND close < band_low"),
     Rule("atr_expansion", "volatility", "atr14 > 1.5 * atr_mean20 AND close > open", "atr14 > 1.5 * atr_mean20 AND close < open"),
     Rule("nr7_break", "volatility", "range_1 <= range_min7_1 AND close > high_1", "range_1 <= range_min7_1 AND close < low_1"),
     Rule("low_vol_revert", "volatility", "atr14 < 0.7 * atr_mean50 AND close - mean20 < -1.5 * sd20", "atr14 < 0.7 * atr_mean50 AND close - mean20 > 1.5 * sd20"),
@@ -52,6 +54,24 @@ RULES = [
     Rule("higher_high_structure", "trend", "hh10 > hh10_10 AND ll10 > ll10_10 AND close > ema20", "hh10 < hh10_10 AND ll10 < ll10_10 AND close < ema20"),
 ]
 
+#: Rules over states of the market: stop-and-reverse, structure breaks, order blocks. Conditions over state_features().
+STATE_RULES = [
+    Rule("ema_sar_full", "confluence", "ema7 > ema21 AND ema21 > ema200 AND close > ema7 AND close > sar AND adx14 > 25 AND low < ll5 AND tick_volume > volume_mean20", "ema7 < ema21 AND ema21 < ema200 AND close < ema7 AND close < sar AND adx14 > 25 AND high > hh5 AND tick_volume > volume_mean20"),
+    Rule("ema_sar_simple", "confluence", "close > ema200 AND close > sar", "close < ema200 AND close < sar"),
+    Rule("structure_break_choch", "structure", "event = 2", "event = -2"),
+    Rule("structure_break_bos", "structure", "event = 1", "event = -1"),
+    Rule("order_block", "structure", "low <= bull_high AND close >= bull_low AND close > open", "high >= bear_low AND close <= bear_high AND close < open"),
+]
+
+
+def state_features(bars: DataFrame, chunk: int = 30 * 86_400) -> DataFrame:
+    """Every column that STATE_RULES name."""
+    w = series()
+    x = indicators(candle_parts(bars), chunk)
+    x = parabolic_sar(averages(x, [ema("ema7", "close", 7), ema("ema21", "close", 21)], chunk))
+    x = x.withColumns({"hh5": rolled(F.max("high"), "high", 5, w), "ll5": rolled(F.min("low"), "low", 5, w), "volume_mean20": rolled(F.avg("tick_volume"), "tick_volume", 20, w)})
+    return structure(x)
+
 
 def features(bars: DataFrame) -> DataFrame:
     """Every column that RULES name."""
@@ -61,8 +81,9 @@ def features(bars: DataFrame) -> DataFrame:
     x = x.withColumns({
         "atr_mean20": rolled(F.avg("atr14"), "atr14", 20, w), "atr_mean50": rolled(F.avg("atr14"), "atr14", 50, w), "_min7": rolled(F.min("range"), "range", 7, w),
         "mean20": rolled(F.avg("close"), "close", 20, w), "sd20": rolled(F.stddev_pop("close"), "close", 20, w),
-        "_squeeze": (F.col("bb_up") < F.col("ema20") + 1.5 * F.col("atr14")) & (F.col("bb_low") > F.col("ema20") - 1.5 * F.col("atr14")),
     })
+    # bands of the 20 bars before, and whether they lie within a channel of 1.5 ranges around the same mean
+    x = x.withColumns({"band_up": F.col("mean20") + 2 * F.col("sd20"), "band_low": F.col("mean20") - 2 * F.col("sd20"), "_squeeze": 2 * F.col("sd20") < 1.5 * F.col("atr14")})
     lags = {f"{c}_{n}": F.lag(c, n).over(w) for c, n in [("open", 1), ("high", 1), ("low", 1), ("close", 1), ("high", 2), ("low", 2), ("close", 8), ("close", 12), ("range", 1), ("hh20", 1), ("ll20", 1), ("hh10", 10), ("ll10", 10)]}
     return x.withColumns(lags | {"rsi_1": F.lag("rsi14").over(w), "range_min7_1": F.lag("_min7").over(w), "squeeze_1": F.lag("_squeeze").over(w)}).drop("_min7", "_squeeze")
 
@@ -76,20 +97,7 @@ def signals(featured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def debounced(sig: DataFrame, bars_apart: int, seconds: int, keys: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
     """Signals at least so many bars after the last one kept, greedily: a state machine over signals, not over bars."""
-    import pandas as pd
-
-    schema = sig.schema
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        last, rows = None, []
-        for i, t in enumerate(pdf["time"]):
-            if last is None or t - last >= bars_apart * seconds:
-                rows.append(i)
-                last = t
-        return pdf.iloc[rows]
-
-    return sig.groupBy(*keys).applyInPandas(keep, schema)
+    return spaced(sig, list(keys), "time", None, bars_apart * seconds)
 
 
 def library_summary(rules: list[Rule], spark) -> DataFrame:

@@ -31,7 +31,7 @@ def buckets(trades: DataFrame, *keys: Column | str) -> DataFrame:
 
 
 def summary(trades: DataFrame, *keys: str) -> DataFrame:
-    """Rates, averages, medians, payoff, expectancy, R statistics, omega and Sortino ratio of each group."""
+    """Rates, averages, medians, payoff, expectancy, R statistics and Sortino ratio of each group."""
     pl = F.col("net_pl")
     win, loss = F.when(pl > 0, pl), F.when(pl < 0, -pl)
     s = trades.groupBy(*keys).agg(
@@ -41,20 +41,26 @@ def summary(trades: DataFrame, *keys: str) -> DataFrame:
     )
     return s.withColumns({
         "win_rate": 100.0 * F.col("wins") / F.col("trades"), "profit_factor": profit_factor(F.col("gross_profit"), F.col("gross_loss")), "payoff": safe_div(F.col("avg_win"), F.col("avg_loss")),
-        "breakeven": 100.0 * F.col("avg_loss") / (F.col("avg_win") + F.col("avg_loss")), "sortino": safe_div(F.col("expectancy"), F.col("downside")),
+        "breakeven": F.try_divide(100.0 * F.col("avg_loss"), F.col("avg_win") + F.col("avg_loss")), "sortino": safe_div(F.col("expectancy"), F.col("downside")),
     }).drop("downside")
 
 
 def drawdown(trades: DataFrame, start: float) -> DataFrame:
-    """Largest fall of each strategy's balance from its peak, that fall in per cent of the peak, and the longest time under a peak in days."""
-    w = Window.partitionBy("strategy").orderBy("entry_time", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = trades.withColumn("balance", start + F.sum("net_pl").over(w))
-    b = b.withColumn("peak", F.greatest(F.lit(start), F.max("balance").over(w)))
-    fall = F.col("peak") - F.col("balance")
-    at_peak = F.max(F.when(fall == 0, F.col("entry_time"))).over(w)
-    first = F.first("entry_time").over(w)
-    b = b.withColumns({"fall": fall, "days": (F.col("entry_time") - F.coalesce(at_peak, first)) / 86400.0})
-    return b.groupBy("strategy").agg(F.max("fall").alias("max_drawdown"), F.max_by(100.0 * F.col("fall") / F.col("peak"), F.struct("fall", -F.col("entry_time"))).alias("drawdown_pct"), F.max("days").alias("longest_days"), F.max_by("balance", F.struct("entry_time", "trade_id")).alias("end_balance"))
+    """Largest fall of each strategy's realized balance from its peak, that fall in per cent of the peak, the longest time under a peak in days, and net result over the fall.
+
+    The balance moves at exits, in order of exit; it begins at the first entry. A peak is renewed only by a higher
+    balance. Trades without an exit are open and have no part. A peak of zero gives 0 per cent, no fall a ratio of 0.
+    """
+    w = Window.partitionBy("strategy").orderBy("exit_time", "trade_id")
+    run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    t = trades.where("exit_time IS NOT NULL")
+    b = t.withColumns({"balance": start + F.sum("net_pl").over(run), "_began": F.min("entry_time").over(Window.partitionBy("strategy"))})
+    b = b.withColumn("_peak_before", F.greatest(F.lit(start), F.coalesce(F.max("balance").over(before), F.lit(start))))
+    b = b.withColumns({"peak": F.greatest("_peak_before", "balance"), "_renewed": F.when(F.col("balance") > F.col("_peak_before"), F.col("exit_time"))})
+    b = b.withColumns({"fall": F.col("peak") - F.col("balance"), "days": (F.col("exit_time") - F.coalesce(F.last("_renewed", ignorenulls=True).over(run), F.col("_began"))) / 86400.0})
+    pct = F.coalesce(F.try_divide(100.0 * F.col("fall"), F.col("peak")), F.lit(0.0))
+    out = b.groupBy("strategy").agg(F.max("fall").alias("max_drawdown"), F.max_by(pct, F.struct("fall", -F.col("exit_time"))).alias("drawdown_pct"), F.max("days").alias("longest_days"), F.max_by("balance", F.struct("exit_time", "trade_id")).alias("end_balance"), F.sum("net_pl").alias("_net"))
+    return out.withColumn("recovery", F.coalesce(F.try_divide("_net", "max_drawdown"), F.lit(0.0))).drop("_net")
 
 
 def streaks(trades: DataFrame) -> DataFrame:
@@ -74,18 +80,19 @@ def without_outliers(trades: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> Data
 
 
 def daily(trades: DataFrame, start: float) -> DataFrame:
-    """Result of each IST day, with the running balance over the days."""
-    d = trades.groupBy(cal.ist_day(F.col("entry_time")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("trades"), F.sum("net_pl").alias("net_pl"))
+    """Result of each IST day of exits, with the running balance over the days."""
+    d = trades.where("exit_time IS NOT NULL").groupBy(cal.ist_day(F.col("exit_time")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("trades"), F.sum("net_pl").alias("net_pl"))
     # one row a day: the only table that a single window may hold
     return d.withColumn("balance", start + F.sum("net_pl").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def rolling_factor(trades: DataFrame, n: int = 30) -> DataFrame:
-    """Profit factor of each strategy's last n trades, and which tripwire it crosses."""
+    """Profit factor of each strategy's last n trades, and which tripwire it crosses; none of both below n trades. Without a loss the factor has no limit: null and ok."""
     w = Window.partitionBy("strategy").orderBy(F.desc("entry_time"), F.desc("trade_id"))
     last = trades.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     b = buckets(last, "strategy")
-    return b.select("strategy", "trades", "profit_factor", F.when(F.col("profit_factor") < 0.8, "halt").when(F.col("profit_factor") < 1.0, "warn").otherwise("ok").alias("tripwire"))
+    full = F.col("trades") >= n
+    return b.select("strategy", "trades", F.when(full, F.col("profit_factor")).alias("profit_factor"), F.when(~full, None).when(F.col("profit_factor") < 0.8, "halt").when(F.col("profit_factor") < 1.0, "warn").otherwise("ok").alias("tripwire"))
 
 
 def leave_one_out(trades: DataFrame) -> DataFrame:
@@ -96,11 +103,11 @@ def leave_one_out(trades: DataFrame) -> DataFrame:
 
 
 def composite(trades: DataFrame) -> DataFrame:
-    """Strategies by a weighted score of their measures, each relative to the best."""
+    """Strategies by a weighted score of their measures, each relative to the best (0 where none has any)."""
     b = buckets(trades, "strategy")
     every = Window.partitionBy()
     parts = {"profit_factor": 0.3, "win_rate": 0.3, "gross_profit": 0.2, "trades": 0.2}
-    score = sum((F.lit(w) * F.col(c) / F.max(c).over(every) for c, w in parts.items()), F.lit(0.0))
+    score = sum((F.lit(w) * F.coalesce(F.try_divide(F.col(c), F.max(c).over(every)), F.lit(0.0)) for c, w in parts.items()), F.lit(0.0))
     return b.select("strategy", score.alias("score"), F.row_number().over(Window.orderBy(F.desc(score), "strategy")).alias("place"))
 
 

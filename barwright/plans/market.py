@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import calendar as cal
 from barwright.functions import costs, numeric
-from barwright.operators import barriers, bars, frames, inference, levels, recurrences, rules
+from barwright.operators import barriers, bars, frames, gates, inference, levels, recurrences, rules
 from barwright.shipping import ship
 from barwright.sources.market import manifest, ticks
 
@@ -111,8 +111,8 @@ def _full(f: str, c: str, n: int, current: bool = False) -> str:
 _ROLL = {
     "hh20": _full("max(high)", "high", 20), "ll20": _full("min(low)", "low", 20), "mean40": _full("avg(close)", "close", 40), "sd40": _full("stddev_pop(close)", "close", 40), "bb_mid": _full("avg(close)", "close", 20, True),
     "bb_up": f"{_full('avg(close)', 'close', 20, True)} + 2 * {_full('stddev_pop(close)', 'close', 20, True)}", "bb_low": f"{_full('avg(close)', 'close', 20, True)} - 2 * {_full('stddev_pop(close)', 'close', 20, True)}",
-    "er20": f"abs(close - lag(close, 20) OVER ({_PART})) / {_full('sum(step)', 'step', 20, True)}",
-    "vwap48": f"{_full('sum((high + low + close) / 3 * tick_volume)', 'close', 48, True)} / {_full('sum(tick_volume)', 'tick_volume', 48, True)}",
+    "er20": f"CASE WHEN {_full('sum(step)', 'step', 20, True)} = 0 THEN 0.0 ELSE abs(close - lag(close, 20) OVER ({_PART})) / {_full('sum(step)', 'step', 20, True)} END",
+    "vwap48": f"{_full('sum(close * tick_volume)', 'close', 48)} / {_full('sum(tick_volume)', 'tick_volume', 48)}",
 }
 
 
@@ -200,13 +200,6 @@ def _(spark, d):
     return levels.once_per(s, 2.5, 11.5).select("symbol", "time")
 
 
-@query("daily_bias_as_of", """WITH x AS (SELECT symbol, time AS dt, close AS dc FROM days) SELECT h.symbol, h.time, x.dt AS day_time, round(x.dc, 6) AS day_close FROM hours h ASOF LEFT JOIN x ON h.symbol = x.symbol AND h.time >= x.dt""", "hours", "days")
-def _(spark, d):
-    h = hourly(spark, d)
-    day = bars.coarser(h, 86_400, 19_800).select("symbol", F.col("time").alias("day_time"), F.col("close").alias("day_close"))
-    return bars.as_of(h.select("symbol", "time"), day, ["day_time", "day_close"], 7 * 86_400, right_time="day_time")
-
-
 @query("minutes_in_hours", """SELECT h.symbol, h.time, count(*) AS ticks, round(max(t.price), 6) AS most FROM hours h JOIN ticks t ON t.symbol = h.symbol AND t.t >= h.time AND t.t < h.time + 3600 GROUP BY 1, 2""", "hours")
 def _(spark, d):
     t = ticks(spark, d).withColumn("time", (F.floor(F.col("t") / HOUR) * HOUR).cast("long"))
@@ -227,6 +220,17 @@ def _recursive(name: str, value: str, p: int, k: float, source: str) -> str:
 {name}_r AS (SELECT n.symbol, n.time, n.rn, s.y FROM {name}_n n JOIN {name}_seed s ON s.symbol = n.symbol WHERE n.rn = {p} UNION ALL SELECT n.symbol, n.time, n.rn, r.y + {k!r} * (n.x - r.y) FROM {name}_r r JOIN {name}_n n ON n.symbol = r.symbol AND n.rn = r.rn + 1)"""
 
 
+_D1 = _recursive("d10", "close", 10, 2 / 11, "days")
+
+
+@query("daily_bias_as_of", f"""WITH {_D1}, x AS (SELECT days.symbol, days.time AS dt, days.time + 86400 AS closed, close AS dc, CASE WHEN close > y THEN 1 WHEN close < y THEN -1 WHEN y IS NOT NULL THEN 0 END AS bias FROM days LEFT JOIN d10_r ON d10_r.symbol = days.symbol AND d10_r.time = days.time)
+SELECT h.symbol, h.time, x.dt AS day_time, round(x.dc, 6) AS day_close, CASE x.bias WHEN 1 THEN 'up' WHEN -1 THEN 'down' WHEN 0 THEN 'even' END AS bias FROM hours h ASOF JOIN x ON h.symbol = x.symbol AND h.time >= x.closed""", "hours", "days")
+def _(spark, d):
+    h = hourly(spark, d)
+    named = F.when(F.col("bias") == 1, "up").when(F.col("bias") == -1, "down").when(F.col("bias") == 0, "even")
+    return gates.daily_bias(h, bars.coarser(h, 86_400, 19_800), 10).select("symbol", "time", "day_time", "day_close", named.alias("bias")).where("day_time IS NOT NULL")
+
+
 _MOVES = f"mv AS (SELECT *, close - lag(close) OVER ({_PART}) AS d, high - lag(high) OVER ({_PART}) AS u, lag(low) OVER ({_PART}) - low AS v FROM candles), mm AS (SELECT *, greatest(d, 0.0) AS g0, greatest(-d, 0.0) AS l0, CASE WHEN u > v AND u > 0 THEN u ELSE 0.0 END AS pl, CASE WHEN v > u AND v > 0 THEN v ELSE 0.0 END AS mi FROM mv), gl AS (SELECT * REPLACE (CASE WHEN d IS NOT NULL THEN g0 END AS g0, CASE WHEN d IS NOT NULL THEN l0 END AS l0) FROM mm)"
 _AVGS = [("atr14", "true_range", 14, 1 / 14, "gl"), ("ema20", "close", 20, 2 / 21, "gl"), ("ema50", "close", 50, 2 / 51, "gl"), ("ema200", "close", 200, 2 / 201, "gl"), ("fast", "close", 12, 2 / 13, "gl"), ("slow", "close", 26, 2 / 27, "gl"), ("up", "g0", 14, 1 / 14, "gl"), ("dn", "l0", 14, 1 / 14, "gl"), ("pdm", "pl", 14, 1 / 14, "gl"), ("mdm", "mi", 14, 1 / 14, "gl")]
 _FIRST = ", ".join(_recursive(*a) for a in _AVGS)
@@ -244,9 +248,38 @@ def _(spark, d):
 _CH = [(k, n) for k in ("hh", "ll") for n in (4, 10, 12, 24, 32, 96)]
 _FEAT = f"""{_ALL}, st AS (SELECT *, abs(close - lag(close) OVER ({_PART})) AS step FROM ind),
 f1 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _ROLL.items())}, {', '.join(f"{_full('max(high)' if k == 'hh' else 'min(low)', 'high' if k == 'hh' else 'low', n)} AS {k}{n}" for k, n in _CH)}, {_full('avg(atr14)', 'atr14', 20)} AS atr_mean20, {_full('avg(atr14)', 'atr14', 50)} AS atr_mean50, {_full('min(range)', 'range', 7)} AS min7, {_full('avg(close)', 'close', 20)} AS mean20, {_full('stddev_pop(close)', 'close', 20)} AS sd20 FROM st),
-f2 AS (SELECT *, bb_up < ema20 + 1.5 * atr14 AND bb_low > ema20 - 1.5 * atr14 AS squeeze FROM f1),
+f2 AS (SELECT *, mean20 + 2 * sd20 AS up20, mean20 - 2 * sd20 AS lo20, mean20 + 2 * sd20 < mean20 + 1.5 * atr14 AND mean20 - 2 * sd20 > mean20 - 1.5 * atr14 AS squeeze FROM f1),
 feat AS (SELECT *, lag(open) OVER w AS open_1, lag(high) OVER w AS high_1, lag(low) OVER w AS low_1, lag(close) OVER w AS close_1, lag(high, 2) OVER w AS high_2, lag(low, 2) OVER w AS low_2, lag(close, 8) OVER w AS close_8, lag(close, 12) OVER w AS close_12, lag(range) OVER w AS range_1, lag(hh20) OVER w AS hh20_1, lag(ll20) OVER w AS ll20_1, lag(hh10, 10) OVER w AS hh10_10, lag(ll10, 10) OVER w AS ll10_10, lag(rsi14) OVER w AS rsi_1, lag(min7) OVER w AS range_min7_1, lag(squeeze) OVER w AS squeeze_1 FROM f2 WINDOW w AS (PARTITION BY symbol ORDER BY time))"""
-_SIGS = "sigs AS (" + " UNION ALL ".join(f"SELECT symbol, time, '{r.name}' AS rule, '{r.family}' AS family, CASE WHEN {r.short} THEN -1 WHEN {r.long} THEN 1 ELSE 0 END AS signal FROM feat" for r in rules.RULES) + ")"
+#: The rules' conditions for long and short, written out from their definitions and not from operators.rules.
+_RULES = """ema_stack|trend|ema20 > ema50 AND ema50 > ema200 AND close > ema20|ema20 < ema50 AND ema50 < ema200 AND close < ema20
+donchian_break|trend|close > hh20|close < ll20
+donchian_break_adx|trend|close > hh20 AND adx14 > 25|close < ll20 AND adx14 > 25
+pullback_ema20|trend|ema50 > ema200 AND low_1 <= ema20 AND close > ema20|ema50 < ema200 AND high_1 >= ema20 AND close < ema20
+momentum_roc|trend|(close - close_12) / nullif(atr14, 0) > 1|(close - close_12) / nullif(atr14, 0) < -1
+higher_high_structure|trend|hh10 > hh10_10 AND ll10 > ll10_10 AND close > ema20|hh10 < hh10_10 AND ll10 < ll10_10 AND close < ema20
+zscore_revert|reversion|(close - mean40) / nullif(sd40, 0) < -2|(close - mean40) / nullif(sd40, 0) > 2
+bb_fade|reversion|low < lo20 AND close > lo20|high > up20 AND close < up20
+rsi_extreme|reversion|rsi_1 < 25 AND rsi14 >= 25|rsi_1 > 75 AND rsi14 <= 75
+atr_exhaustion|reversion|(close - close_8) / nullif(atr14, 0) < -2.5|(close - close_8) / nullif(atr14, 0) > 2.5
+range_rejection|reversion|low <= ll24 AND lower_wick / range > 0.5|high >= hh24 AND upper_wick / range > 0.5
+failed_breakout|reversion|low < ll20 AND close > ll20 AND close > open|high > hh20 AND close < hh20 AND close < open
+vwap_revert|reversion|(close - vwap48) / nullif(atr14, 0) < -1.5|(close - vwap48) / nullif(atr14, 0) > 1.5
+squeeze_break|volatility|squeeze_1 AND close > up20|squeeze_1 AND close < lo20
+atr_expansion|volatility|atr14 > 1.5 * atr_mean20 AND close > open|atr14 > 1.5 * atr_mean20 AND close < open
+nr7_break|volatility|range_1 <= range_min7_1 AND close > high_1|range_1 <= range_min7_1 AND close < low_1
+low_vol_revert|volatility|atr14 < 0.7 * atr_mean50 AND (close - mean20) / nullif(sd20, 0) < -1.5|atr14 < 0.7 * atr_mean50 AND (close - mean20) / nullif(sd20, 0) > 1.5
+opening_break|session|close > hh4|close < ll4
+session_sweep_revert|session|low < ll32 AND close > ll32|high > hh32 AND close < hh32
+prev_day_level|session|low <= ll96 AND close > ll96|high >= hh96 AND close < hh96
+displacement|structure|abs(close - open) > 1.5 * atr14 AND close > open|abs(close - open) > 1.5 * atr14 AND close < open
+fair_value_gap|structure|low > high_2|high < low_2
+fair_value_gap_macd|structure|low > high_2 AND macd > macd_signal|high < low_2 AND macd < macd_signal
+liquidity_sweep|structure|low < ll12 AND close > ll12 AND lower_wick / range > 0.4|high > hh12 AND close < hh12 AND upper_wick / range > 0.4
+break_retest|structure|close_1 > hh20_1 AND low <= hh20_1 AND close > hh20_1|close_1 < ll20_1 AND high >= ll20_1 AND close < ll20_1
+engulfing|structure|close > open AND close_1 < open_1 AND close > open_1 AND open < close_1|close < open AND close_1 > open_1 AND close < open_1 AND open > close_1
+inside_bar_break|structure|high_1 < high_2 AND low_1 > low_2 AND close > high_1|high_1 < high_2 AND low_1 > low_2 AND close < low_1"""
+_COND = [line.split("|") for line in _RULES.split("\n")]
+_SIGS = "sigs AS (" + " UNION ALL ".join(f"SELECT symbol, time, '{n}' AS rule, '{f}' AS family, CASE WHEN {short} THEN -1 WHEN {long} THEN 1 ELSE 0 END AS signal FROM feat" for n, f, long, short in _COND) + ")"
 
 
 @query("rule_signals", f"WITH {_FEAT}, {_SIGS} SELECT symbol, time, rule, family, CAST(signal AS BIGINT) AS signal FROM sigs WHERE signal <> 0", "hours", "candles")
@@ -259,20 +292,15 @@ def _(spark, d):
     return rules.library_summary(rules.RULES, spark)
 
 
-@query("signals_debounced", None)
-def _(spark, d):
-    return rules.debounced(rules.signals(rules.features(hourly(spark, d))), 4, HOUR)
-
-
 _NUM = f"WITH {_ALL}, nb AS (SELECT *, row_number() OVER ({_PART}) AS rn, lead(open) OVER ({_PART}) AS entry FROM ind)"
-_E = "en AS (SELECT symbol, rn, entry, atr14, CASE WHEN close > open THEN 1 ELSE -1 END AS side FROM nb WHERE entry IS NOT NULL AND atr14 > 0 AND rn % 3 = 0)"
+_E = "en AS (SELECT symbol, rn, entry, atr14, CASE WHEN close > open THEN 1 ELSE -1 END AS side FROM nb WHERE entry IS NOT NULL AND atr14 > 0)"
 _RACE = """ra AS (SELECT e.symbol, e.rn, e.side, any_value(e.entry) AS entry, any_value(e.atr14) AS atr14, min(CASE WHEN (e.side > 0 AND b.low <= e.entry - 1.5 * e.atr14) OR (e.side < 0 AND b.high >= e.entry + 1.5 * e.atr14) THEN b.rn END) AS s, min(CASE WHEN (e.side > 0 AND b.high >= e.entry + 3.0 * e.atr14) OR (e.side < 0 AND b.low <= e.entry - 3.0 * e.atr14) THEN b.rn END) AS t, max(b.rn) AS last
 FROM en e JOIN nb b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + 24 GROUP BY 1, 2, 3), oc AS (SELECT *, CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN -1 WHEN t IS NOT NULL THEN 1 ELSE 0 END AS outcome FROM ra)"""
 
 
 def _raced(spark, d):
     x = barriers.numbered(recurrences.indicators(frames.candle_parts(hourly(spark, d)), 5 * 86_400))
-    s = x.where("rn % 3 = 0").select("symbol", "time", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("signal"))
+    s = x.select("symbol", "time", F.when(F.col("close") > F.col("open"), 1).otherwise(-1).alias("signal"))
     e = barriers.entries_of(x, s)
     return x, barriers.race(x, e, F.col("entry") + F.col("side") * 3.0 * F.col("atr14"), F.col("entry") - F.col("side") * 1.5 * F.col("atr14"), 24)
 
@@ -282,11 +310,6 @@ def _(spark, d):
     return _raced(spark, d)[1].select("symbol", "rn", "side", "outcome", "exit_rn")
 
 
-@query("screen_one_at_a_time", None)
-def _(spark, d):
-    return barriers.one_at_a_time(_raced(spark, d)[1].select("symbol", "rn", "side", "outcome", "exit_rn"))
-
-
 @query("excursion_baseline", f"""{_NUM}, ex AS (SELECT symbol, entry, atr14, max(high) OVER w AS hi, min(low) OVER w AS lo, count(*) OVER w AS n FROM nb WINDOW w AS ({_PART} ROWS BETWEEN 1 FOLLOWING AND 32 FOLLOWING)), v AS (SELECT symbol, (hi - entry) / atr14 AS mfe, (entry - lo) / atr14 AS mae FROM ex WHERE n = 32 AND atr14 > 0)
 SELECT symbol, count(*) AS n, round(avg(mfe), 6) AS mfe, round(quantile_cont(mfe, 0.5), 6) AS mfe_median, round(avg(mae), 6) AS mae, round(quantile_cont(mae, 0.5), 6) AS mae_median FROM v GROUP BY 1""", "hours", "candles")
 def _(spark, d):
@@ -308,8 +331,9 @@ def _(spark, d):
     return g.where("bars >= 30")
 
 
-@query("information_coefficient", f"""WITH x AS (SELECT symbol, time, (close - open) AS f, lead(close, 4) OVER ({_PART}) / close - 1 AS y, CAST(floor((row_number() OVER ({_PART}) - 1) / 30) AS BIGINT) AS g FROM hours), c AS (SELECT symbol, g, CASE WHEN stddev_pop(f) > 0 AND stddev_pop(y) > 0 THEN corr(f, y) END AS ic, count(*) AS n FROM x WHERE y IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 30)
-SELECT symbol, round(avg(ic), 6) AS ic, round(stddev_samp(ic), 6) AS ic_sd, count(ic) AS windows, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 6) AS icir FROM c GROUP BY 1""", "hours")
+@query("information_coefficient", f"""WITH x AS (SELECT symbol, time, (close - open) AS f, lead(close, 4) OVER ({_PART}) / close - 1 AS y FROM hours), v AS (SELECT *, row_number() OVER ({_PART}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM x WHERE y IS NOT NULL),
+e AS (SELECT symbol, corr(f, y) AS ic, count(*) AS rows FROM v GROUP BY 1), c AS (SELECT symbol, i // 30 AS g, corr(f, y) AS ic FROM v WHERE (i // 30) * 30 < n - 30 GROUP BY 1, 2), r AS (SELECT symbol, count(ic) AS k, avg(ic) AS m, stddev_pop(ic) AS s FROM c GROUP BY 1)
+SELECT symbol, round(e.ic, 6) AS ic, e.rows, coalesce(k, 0) AS windows, round(CASE WHEN k >= 2 AND e.rows >= 60 AND s > 0 THEN m / s ELSE 0.0 END, 6) AS icir FROM e LEFT JOIN r USING (symbol)""", "hours")
 def _(spark, d):
     return inference.information(hourly(spark, d).withColumn("f", F.col("close") - F.col("open")), "f", 4, 30)
 

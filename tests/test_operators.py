@@ -89,8 +89,9 @@ def test_stop_wins_a_double_touch(spark):
 
 
 def test_one_at_a_time(spark):
+    # an entry on the bar that ended the last trade doesn't count: the search goes on with the bar after it
     e = spark.createDataFrame([("a", 1, 5), ("a", 3, 9), ("a", 5, 6), ("b", 2, 3)], "symbol string, rn int, exit_rn int")
-    assert sorted((r[0], r[1]) for r in barriers.one_at_a_time(e).collect()) == [("a", 1), ("a", 5), ("b", 2)]
+    assert sorted((r[0], r[1]) for r in barriers.one_at_a_time(e).collect()) == [("a", 1), ("b", 2)]
 
 
 def test_debounce(spark):
@@ -113,7 +114,7 @@ def test_gap_and_frame_guard(spark):
 
 
 def test_streak_zero_breaks_neither(spark):
-    t = spark.createDataFrame([("s", i, i, p, p) for i, p in enumerate([1.0, 0.0, 1.0, -1.0, 1.0])], "strategy string, trade_id int, entry_time int, net_pl double, r double")
+    t = spark.createDataFrame([("s", i, i, i + 1, p, p) for i, p in enumerate([1.0, 0.0, 1.0, -1.0, 1.0])], "strategy string, trade_id int, entry_time int, exit_time int, net_pl double, r double")
     assert tuple(trades.streaks(t).first()) == ("s", 2, 1)
     assert tuple(trades.drawdown(t, 10.0).select("max_drawdown", "end_balance").first()) == (1.0, 12.0)
 
@@ -143,3 +144,70 @@ def test_without_corpus_package(spark):
     import __spark_entry__ as e
 
     assert "bars_hourly" in e.queries() and "bars_hourly" in e.oracle_sql()
+
+
+def test_divisions_by_zero_have_results(spark):
+    """A balance of zero, strategies without a profit, constant results."""
+    from barwright.operators import inference
+
+    t = spark.createDataFrame([("s", i, i, i + 1, -1.0, -1.0) for i in range(5)], "strategy string, trade_id int, entry_time int, exit_time int, net_pl double, r double")
+    assert tuple(trades.drawdown(t, 0.0).select("max_drawdown", "drawdown_pct").first()) == (5.0, 0.0)
+    assert trades.composite(t).count() == 1
+    assert inference.deflated_sharpe(inference.moments(t), 10, 0.1).first()["deflated"] == 0.0
+    assert trades.rolling_factor(t).first()["tripwire"] is None
+
+
+def test_drawdown_follows_exits(spark):
+    # the trade that is entered first ends last: in order of exits the balance is 10, 13, 8; the tie doesn't renew the peak
+    t = spark.createDataFrame([("s", 1, 0, 4 * 86_400, -5.0), ("s", 2, 86_400, 2 * 86_400, 3.0), ("s", 3, 86_400, 3 * 86_400, 0.0)], "strategy string, trade_id int, entry_time int, exit_time int, net_pl double")
+    r = trades.drawdown(t, 10.0).first()
+    assert (r["max_drawdown"], r["end_balance"], r["longest_days"]) == (5.0, 8.0, 2.0) and abs(r["drawdown_pct"] - 500 / 13) < 1e-9
+
+
+def test_effective_trials_of_known_matrices(spark):
+    from barwright.operators import inference
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 3))
+    same = spark.createDataFrame([(float(a), float(a), float(2 * a)) for a, *_ in x], "a double, b double, c double")
+    apart = spark.createDataFrame(np.linalg.qr(x - x.mean(axis=0))[0].tolist(), "a double, b double, c double")
+    assert abs(inference.effective_trials(same, ["a", "b", "c"]) - 1) < 1e-6
+    assert abs(inference.effective_trials(apart, ["a", "b", "c"]) - 3) < 0.05
+
+
+def test_day_that_is_open_gives_no_bias(spark):
+    from barwright.operators import gates
+
+    h = make(spark, [float(i % 7) for i in range(24 * 30)])
+    before = gates.daily_bias(h, bars.coarser(h, 86_400, 19_800), 10).collect()
+    assert all(r["day_time"] is None or r["day_time"] + 86_400 <= r["time"] for r in before)
+    # what happens on a bar's own day doesn't change what it sees
+    changed = make(spark, [float(i % 7) if i < 24 * 29 else 99.0 for i in range(24 * 30)])
+    after = gates.daily_bias(changed, bars.coarser(changed, 86_400, 19_800), 10).collect()
+    seen = lambda rows: {r["time"]: (r["day_time"], r["day_close"], r["bias"]) for r in rows if r["time"] < (24 * 30 - 6) * 3600}
+    last = (24 * 29 * 3600 + 19_800) // 86_400 * 86_400 - 19_800 + 86_400  # the changed hours' first day ends here
+    old, new = seen(before), seen(after)
+    assert {t: v for t, v in old.items() if t < last} == {t: v for t, v in new.items() if t < last}
+
+
+def test_structure_by_hand(spark):
+    from barwright.operators import structure
+
+    closes = [5, 6, 9, 6, 5, 6, 10, 11, 8, 7, 4, 7, 8, 3, 2]
+    got = {r["time"] // 3600: (r["trend"], r["event"]) for r in structure.structure(make(spark, [float(c) for c in closes]), 2).collect()}
+    # pivot high of bar 2 (10.0 with its wick) is known at bar 4 and passed by the close of bar 7
+    assert got[6] == (-1, 0) and got[7] == (1, 2)
+    # pivot low of bar 4 (4.0) is known at bar 6, that of bar 10 (3.0) at bar 12; bar 14 closes below it
+    assert got[12][0] == 1 and got[13] == (1, 0) and got[14] == (-1, -2)
+
+
+def test_folds_over_batches(spark):
+    from barwright.operators import folds
+
+    b = make(spark, [float(10 + (i * 7) % 11) for i in range(400)]).unionByName(make(spark, [float(10 + (i * 5) % 13) for i in range(300)], "b"))
+    one = {(r["symbol"], r["time"]): r["sar"] for r in folds.parabolic_sar(b).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(r["symbol"], r["time"]): r["sar"] for r in folds.parabolic_sar(b).collect()} == one and len(one) == 700
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

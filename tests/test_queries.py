@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barwright.plans import market, portfolio, streams  # noqa: F401
+from barwright.plans import market, portfolio, research, streams  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 def rows(frame):
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("null" if v is None or v != v or str(v) in ("<NA>", "NaT") else f"{v:.7g}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if v is None or str(v) in ("<NA>", "NaT", "nan") else f"{v:.7g}" if isinstance(v, float) else str(v) for v in r))
     return sorted(out)
 
 
