@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.staging import staged
+
 
 @dataclass(frozen=True)
 class Average:
@@ -110,11 +112,12 @@ def indicators(bars: DataFrame, chunk: int = 30 * 86_400) -> DataFrame:
     })
     first = [wilder("atr14", "_tr", 14), ema("ema20", "close", 20), ema("ema50", "close", 50), ema("ema200", "close", 200), ema("_fast", "close", 12), ema("_slow", "close", 26)]
     first += [wilder("_up", "_gain", 14), wilder("_dn", "_loss", 14), wilder("_pdm", "_plus", 14), wilder("_mdm", "_minus", 14)]
-    x = averages(bars, first, chunk)
+    # each pass reads its input three times (sums, folds of chunks, folds with what comes in)
+    x = averages(staged(bars, "bars"), first, chunk)
     total = F.col("_pdm") + F.col("_mdm")
     x = x.withColumns({
         "rsi14": F.when(F.col("_dn").isNull(), None).when(F.col("_dn") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_up", "_dn"))),
         "macd": F.col("_fast") - F.col("_slow"), "_dx": F.when(total > 0, 100 * F.abs(F.col("_pdm") - F.col("_mdm")) / total).otherwise(0.0),
     })
-    x = averages(x, [ema("macd_signal", "macd", 9), wilder("adx14", "_dx", 14)], chunk)
+    x = averages(staged(x, "averages"), [ema("macd_signal", "macd", 9), wilder("adx14", "_dx", 14)], chunk)
     return x.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_gain", "_loss", "_tr", "_plus", "_minus", "_fast", "_slow", "_up", "_dn", "_pdm", "_mdm", "_dx")

@@ -14,6 +14,7 @@ from barwright.operators.frames import candle_parts, rolled, rolling_features, s
 from barwright.operators.folds import parabolic_sar, spaced
 from barwright.operators.recurrences import averages, ema, indicators
 from barwright.operators.structure import structure
+from barwright.staging import staged
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,9 @@ def state_features(bars: DataFrame, chunk: int = 30 * 86_400) -> DataFrame:
     """Every column that STATE_RULES name."""
     w = series()
     x = indicators(candle_parts(bars), chunk)
-    x = parabolic_sar(averages(x, [ema("ema7", "close", 7), ema("ema21", "close", 21)], chunk))
+    x = parabolic_sar(averages(staged(x, "indicators"), [ema("ema7", "close", 7), ema("ema21", "close", 21)], chunk))
     x = x.withColumns({"hh5": rolled(F.max("high"), "high", 5, w), "ll5": rolled(F.min("low"), "low", 5, w), "volume_mean20": rolled(F.avg("tick_volume"), "tick_volume", 20, w)})
-    return structure(x)
+    return structure(staged(x, "state"))
 
 
 def features(bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators import barriers, folds, frames, gates, recurrences, rules, structure
 from barwright.plans.market import _ALL, _D1, _FEAT, _PART, _SIGS, HOUR, _raced, _recursive, hourly, query
+from barwright.staging import staged
 
 _SAR = """nb0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS bn FROM hours),
 sar0 AS (SELECT symbol, bn, true AS up, CAST(0.02 AS DOUBLE) AS af, high AS top, low AS bottom, CAST(NULL AS DOUBLE) AS sar, high AS h, low AS lo FROM nb0 WHERE bn = 1
@@ -94,10 +95,10 @@ dd AS (SELECT rule, symbol, max(top - eq) AS fall FROM (SELECT grp AS rule, symb
 
 def _screen(spark, d) -> tuple[DataFrame, DataFrame]:
     b = barriers.numbered(hourly(spark, d)).withColumn("spread", 0.01 * (F.col("tick_volume") % 5))
-    x = rules.features(b)
+    x = staged(rules.features(b), "features")
     s = rules.signals(x).join(x.select("symbol", "time", "rn"), ["symbol", "time"]).where(F.col("rn") > WARM_UP).select("rule", "symbol", "rn", F.col("signal").alias("side"))
     bars = x.select("symbol", "rn", "open", "high", "low", "close", "spread", "atr14")
-    return bars, barriers.simulated(bars, s, TARGET, STOP, MOST, ("rule",))
+    return bars, staged(barriers.simulated(bars, s, TARGET, STOP, MOST, ("rule",)), "trades")
 
 
 @query("rule_screen", f"WITH {_SCREEN}, {_FOUND} SELECT rule, symbol, trades, wins, round(expectancy_r, 6) AS expectancy_r, round(total_r, 6) AS total_r, round(coalesce(pf, CASE WHEN wins = 0 THEN 0.0 END), 6) AS profit_factor, round(fall, 6) AS max_dd_r, round(bars_held, 6) AS bars_held, timeouts, ambiguous, longs FROM sc JOIN dd USING (rule, symbol)", "hours", "candles")
@@ -113,8 +114,8 @@ sg2 AS (SELECT c.rule || '#' || dr.rep AS grp, dr.symbol, dr.rn, CASE WHEN CAST(
 SELECT sc.rule, sc.symbol, sc.trades, round(sc.expectancy_r, 6) AS expectancy_r, round(m, 6) AS control_r, round(s, 6) AS control_sd, round(CASE WHEN s > 0 THEN sc.expectancy_r - m END, 6) AS edge_r, round(CASE WHEN s > 0 THEN (sc.expectancy_r - m) / s END, 5) AS edge_z FROM sc LEFT JOIN cc ON cc.rule = sc.rule AND cc.symbol = sc.symbol""", "hours", "candles")
 def _(spark, d):
     bars, trades = _screen(spark, d)
-    bars, found = bars.checkpoint() if spark.sparkContext.getCheckpointDir() else bars, barriers.screened(trades, "rule", "symbol")
-    controls = barriers.simulated(bars, barriers.random_entries(bars, found, 8, MOST, WARM_UP), TARGET, STOP, MOST, ("rule", "rep"))
+    found = staged(barriers.screened(trades, "rule", "symbol"), "screened")
+    controls = barriers.simulated(bars, staged(barriers.random_entries(bars, found, 8, MOST, WARM_UP), "entries"), TARGET, STOP, MOST, ("rule", "rep"))
     per = controls.groupBy("rule", "symbol", "rep").agg(F.count(F.lit(1)).alias("trades"), F.avg("r").alias("expectancy_r"))
     x = barriers.edges(found, per)
     return x.select("rule", "symbol", "trades", "expectancy_r", "control_r", "control_sd", "edge_r", F.round("edge_z", 5).alias("edge_z"))

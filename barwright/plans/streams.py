@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.plans.market import query
+from barwright.staging import folder
 from barwright.streaming.bars import closed_bars, cooled, deduplicated
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -27,7 +19,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, provider: str | None = None) -> DataFrame:
     """Everything that a stream gives until its source is read up."""
     spark = stream.sparkSession
-    at = folder(spark)
+    at = folder(spark, "stream")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     if provider:
