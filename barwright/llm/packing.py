@@ -44,25 +44,23 @@ class Bm25:
         self.n, self.forward, self.terms, self.term_weight = n, np.searchsorted(d, np.arange(n + 1)), t, weight
         order = np.argsort(t, kind="stable")
         self.docs, self.weights, self.begins = d[order], weight[order], np.concatenate([[0], np.cumsum(df)])
-        # terms that more than a quarter of the documents have are columns of a matrix (at most 4 times as many as a document has terms); the others are posting lists
+        # terms that more than a quarter of the documents have are rows of a matrix (at most 4 times as many as a document has terms); the others are posting lists
         often = np.flatnonzero(df * 4 > n)
-        self.column = np.full(vocabulary, -1)
-        self.column[often] = np.arange(len(often))
-        self.matrix = np.zeros((n, len(often)), np.float32)
-        own = self.column[t] >= 0
-        self.matrix[d[own], self.column[t[own]]] = weight[own]
+        self.row = np.full(vocabulary, -1)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), n), np.float32)
+        own = self.row[t] >= 0
+        self.matrix[self.row[t[own]], d[own]] = weight[own]
         self.alone = df < 2
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by their BM25 score for all of the seed's terms, best first; ties by place."""
         terms = self.terms[self.forward[seed] : self.forward[seed + 1]]
-        column = self.column[terms]
-        asked = np.zeros(self.matrix.shape[1], np.float32)
-        asked[column[column >= 0]] = 1
-        score = (self.matrix @ asked).astype(float)
-        rare = terms[(column < 0) & ~self.alone[terms]].tolist()
-        if rare:
-            parts = [slice(self.begins[t], self.begins[t + 1]) for t in rare]
+        row = self.row[terms]
+        score = self.matrix[row[row >= 0]].sum(axis=0).astype(float)
+        rare = terms[(row < 0) & ~self.alone[terms]]
+        if len(rare):
+            parts = list(map(slice, self.begins[rare].tolist(), self.begins[rare + 1].tolist()))
             score += np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         score = -score[found]

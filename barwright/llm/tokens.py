@@ -1,7 +1,7 @@
 """Token ids of many texts: each distinct word of a batch is encoded once.
 
 A blank between two characters that aren't white space always ends a pre-token of both tokenizers used here, as does
-the step from a Latin letter to a mark of punctuation, so a text's ids are those of its words, one after another. Texts
+the step from a Latin letter to a run of ASCII signs, so a text's ids are those of its words, one after another. Texts
 where that can't be seen from blanks alone (runs of white space, other white space than blank and newline) and texts that
 hold one of the tokenizer's added tokens are encoded whole. Words go to the tokenizer many at once: an id whose token
 begins with a blank begins a word; where blanks are dropped, a token that ends a word ends it, if the word is of Latin
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words joined to one text for the tokenizer, and words that a worker remembers before it starts afresh.
-JOINED, REMEMBERED = 128, 400_000
+JOINED, REMEMBERED = 128, 1_000_000
 #: Characters that are looked up at once, which bounds the memory of a call.
 PART = 8_000_000
 _ODD = re.compile(r"\A\Z|\n\n|\A\n|\n\Z|[^\S\n]")
-_MARKS = frozenset(".,;:!?")
-#: Latin letters that lower case keeps one letter: a mark after one of them is a pre-token of its own.
+#: ASCII signs: a run of them is a pre-token of its own.
+_SIGNS = string.punctuation
+#: Latin letters that lower case keeps one letter: signs after one of them, up to the piece's end, are a pre-token.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 _PLAIN = frozenset(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.lower()) == 1)
 
@@ -58,13 +60,13 @@ class Words:
         names = self.tok.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(names.values()) + 1, bool)  # tokens that end a word, or (where blanks stay) begin one
         self.border[[k for t, k in names.items() if (t.endswith("</w>") if blanks_dropped else t.startswith("\u0120"))]] = True
-        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, np.uint32) for m in _MARKS}
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.odd: set[int] = set()
+        self.runs: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self.ids, self.starts, self.counts = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
@@ -107,7 +109,7 @@ class Words:
             self._add(words, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
 
     def look_up(self, pieces: list[str]) -> np.ndarray:
-        """Places in the pool; encodes what is new. A new piece is a word, or a word and a mark."""
+        """Places in the pool; encodes what is new. A new piece is a word, or a word and a run of signs."""
         if len(self.at) > REMEMBERED:
             self.clear()
         at = self.at
@@ -121,20 +123,23 @@ class Words:
                 self._add(odd, np.zeros(0, np.uint32), np.zeros(len(odd), np.int64))
                 self.odd.update(k for k, p in enumerate(odd, n) if p or not self.fold)
                 new = [p for p in new if p not in at]
-            base_of = {p: p[:-1] if p[-1] in _MARKS and p[-2:-1] in _PLAIN else p for p in new}
+            bare = [p.rstrip(_SIGNS) for p in new]
+            bare = [b if b[-1:] in _PLAIN else p for b, p in zip(bare, new, strict=True)]
+            run = [p[len(b) :] for b, p in zip(bare, new, strict=True)]
             if self.fold:
-                base_of = {p: b.lower() if b.isascii() else b for p, b in base_of.items()}
-            if bases := [b for b in dict.fromkeys(base_of.values()) if b not in at]:
+                bare = [b.lower() if b.isascii() else b for b in bare]
+            if bases := [b for b in dict.fromkeys(bare) if b not in at]:
                 self._encode(bases)
-            if rest := [p for p in new if p not in at]:
-                ids, counts, starts = self.ids, self.counts, self.starts
-                none = np.zeros(0, np.uint32)
+            if runs := [r for r in dict.fromkeys(run) if r not in self.runs]:
+                self.runs.update(zip(runs, (np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)), strict=True))
+            if rest := [(p, at[b], r) for p, b, r in zip(new, bare, run, strict=True) if p not in at]:
+                ids, known = self.ids, self.runs
+                k = np.array([b for _, b, _ in rest])
                 parts = []
-                for p in rest:
-                    b = at[base_of[p]]
-                    parts += [ids[starts[b] : starts[b] + counts[b]], self.marks[p[-1]] if p[-1] in _MARKS and len(base_of[p]) < len(p) else none]
+                for a, e, (_, _, r) in zip(self.starts[k].tolist(), (self.starts[k] + self.counts[k]).tolist(), rest, strict=True):
+                    parts += (ids[a:e], known[r])
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(axis=1)
-                self._add(rest, _cat(parts, np.uint32), sizes)
+                self._add([p for p, _, _ in rest], _cat(parts, np.uint32), sizes)
         return np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
 
 
