@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import binary_output, fingerprints, html_text, mixing, neardup, packing, pii, quality, secret_scan, simhash, toxicity
+from barwright.llm import binary_output, collocations, conversations, fingerprints, html_text, mixing, neardup, packing, pii, quality, secret_scan, simhash, toxicity
 from barwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,12 +52,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op3_personal_data, op4_toxicity, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op8_page_text, op9_retrieval_packing, op10_token_files, op12_simhash_components)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.reported(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bloom_fingerprints, op2_mix_sources, op3_personal_data, op4_toxicity, op5_quality_outliers, op6_secret_ownership, op7_ngram_jaccard, op8_page_text, op9_retrieval_packing, op10_token_files, op11_collocations, op12_simhash_components, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.oracle(), "op6_secret_ownership": secret_scan.oracle()}
+    return {"op2_mix_sources": mixing.oracle(), "op6_secret_ownership": secret_scan.oracle(), "op11_collocations": collocations.oracle(), "op13_conversation_repair": conversations.oracle()}
