@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from barwright.llm.common import ship, shuffle_partitions, sliced, small, splitmix, staged, string_list
 
 LEAST, LONGEST, SHARE, TOP, UNKNOWN = 30, 4, 80, 2000, "und"
-MOST_BITS, SHARD, CHUNK = 28, 4_000_000, 1_000_000
+MOST_BITS, SHARD, CHUNK = 28, 16_000_000, 1_000_000
+#: Cells and phrases that a task holds before it emits their sums.
+CELLS, PHRASES = 16_000_000, 300_000
 _BLOCK = 16  # bits of a cell's place within a block
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _SEPARATORS, bytes(range(97, 123)) + b" " + b"\n" * len(_SEPARATORS))
@@ -106,12 +108,12 @@ class Sketch:
 
     def places(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
-        return (g & mask).astype(np.int64), ((g >> np.uint64(64 - self.bits)) + np.uint64(1 << self.bits)).astype(np.int64)
+        return (g & mask).astype(np.uint32), ((g >> np.uint64(64 - self.bits)) + np.uint64(1 << self.bits)).astype(np.uint32)
 
     def admits(self, g: np.ndarray) -> np.ndarray:
         ok = np.ones(len(g), bool)
         for p in self.places(g):
-            ok &= (self.cells[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            ok &= (self.cells[p >> np.uint32(3)] >> (p & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
         return ok
 
 
@@ -149,18 +151,33 @@ def _bundled(texts: Iterator[tuple[str, bytes]], size: int) -> Iterator[tuple[st
     yield from ((k, b"\n".join(v)) for k, v in held.items())
 
 
-def _cells(batches: Iterator[pa.RecordBatch], bits: int, least: int, low: tuple[int, np.ndarray] | None, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Sums of cells by block: places in the block (16 bits each), then sums (8 bits each)."""
+def packed(places: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending places of a block (16 bits) as steps, low bytes before high ones (nearly all 0), then sums of 8 bits: it compresses well."""
+    steps = np.diff(places, prepend=np.uint16(0)).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return steps.T.tobytes() + n.tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    parts = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
+    return np.cumsum(parts[0] + (parts[1] << 8)), parts[2]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], bits: int, least: int, low: tuple[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Sums of cells by block, cut off at the threshold."""
     sketch, first = Sketch(bits, np.zeros(0, np.uint8)), low and Sketch(*low)
     held, total = [], 0
 
     def emitted() -> pa.RecordBatch:
-        places, n = np.unique(np.concatenate(held), return_counts=True)
-        n = np.minimum(n, least).astype(np.uint8)
-        blocks, cut = np.unique(places >> _BLOCK, return_index=True)
-        low16 = (places & ((1 << _BLOCK) - 1)).astype("<u2")
+        cells = np.concatenate(held)
+        held.clear()
+        cells.sort()
+        new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        n = np.minimum(np.diff(new, append=len(cells)), least).astype(np.uint8)
+        places = cells[new]
+        blocks, cut = np.unique(places >> np.uint32(_BLOCK), return_index=True)
+        low16 = (places & np.uint32((1 << _BLOCK) - 1)).astype(np.uint16)
         ends = [*cut[1:].tolist(), len(places)]
-        return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([low16[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())], names=["block", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([packed(low16[a:b], n[a:b]) for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary())], names=["block", "sums"])
 
     for lang, text in _bundled(_texts(batches), CHUNK):
         seed = lang_seed(lang)
@@ -177,9 +194,9 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, least: int, low: tuple[
             for g in own:
                 held += sketch.places(g)
                 total += 2 * len(g)
-            if total >= flush:
+            if total >= CELLS:
                 yield emitted()
-                held, total = [], 0
+                total = 0
     if total:
         yield emitted()
 
@@ -198,8 +215,8 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                     yield row()
                 now = block
                 sums[:] = 0
-            n = len(data) // 3
-            sums[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, np.uint8, n, 2 * n)
+            at, n = unpacked(data)
+            sums[at] += n
     if now is not None and (sums >= least).any():
         yield row()
 
@@ -250,14 +267,25 @@ def _n_words(text: bytes) -> int:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], low: Sketch, high: Sketch) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, words, f of each shard; the empty phrase has the number of words."""
+    """lang, phrase, words, f of a task's shards, summed as far as its memory goes; the empty phrase has the number of words."""
+    sums: dict[str, Counter] = defaultdict(Counter)
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        for lang, found in sums.items():
+            phrases = list(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array(list(found.values()), pa.int64())],
+                names=["lang", "phrase", "words", "f"],
+            )
+        sums.clear()
+
     for lang, text in _bundled(_texts(batches), SHARD):
         n, found = counted(text, lang, low, high)
-        phrases = ["", *found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array([n, *found.values()], pa.int64())],
-            names=["lang", "phrase", "words", "f"],
-        )
+        sums[lang][""] += n
+        sums[lang].update(found)
+        if sum(map(len, sums.values())) >= PHRASES:
+            yield from emitted()
+    yield from emitted()
 
 
 def counts(docs: DataFrame, least: int = LEAST, most_bits: int = MOST_BITS) -> DataFrame:
