@@ -13,7 +13,8 @@ a longer one that has at least ``share`` percent of its count is dropped.
 2. A task takes its texts in shards of about ``shard`` bytes. The phrases in a shard that the sketches admit become one
    automaton for each lang. Words are guarded by delimiters (`` a b ``), so that a match covers whole words; pieces are
    divided by a line feed, which no phrase holds. The automaton's overlapping matches are counted.
-3. Counts are summed over shards, and thresholds, scores and ranks are taken of exact sums. Scores are decimals.
+3. Counts go sorted and compressed to buckets of phrases, which sum them over shards; thresholds, scores and ranks are
+   taken of exact sums. Scores are decimals.
 
 Nulls: a null text is empty, a null lang is ``und``. Empty texts and tables give nothing. Repeated rows count again. Texts
 of any length are hashed in overlapping chunks, which can only raise a bound. Extra columns are ignored.
@@ -22,6 +23,7 @@ of any length are hashed in overlapping chunks, which can only raise a bound. Ex
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
@@ -29,6 +31,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ from barwright.llm.common import ship, shuffle_partitions, sliced, small, splitm
 LEAST, LONGEST, SHARE, TOP, UNKNOWN = 30, 4, 80, 2000, "und"
 MOST_BITS, SHARD, CHUNK = 28, 16_000_000, 1_000_000
 #: Cells and phrases that a task holds before it emits their sums.
-CELLS, PHRASES = 16_000_000, 300_000
+CELLS, PHRASES = 16_000_000, 500_000
 _BLOCK = 16  # bits of a cell's place within a block
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _SEPARATORS, bytes(range(97, 123)) + b" " + b"\n" * len(_SEPARATORS))
@@ -266,17 +269,22 @@ def _n_words(text: bytes) -> int:
     return int((inside[1:] & ~inside[:-1]).sum() + inside[:1].sum())
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], low: Sketch, high: Sketch) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, words, f of a task's shards, summed as far as its memory goes; the empty phrase has the number of words."""
+def _scanned(batches: Iterator[pa.RecordBatch], low: Sketch, high: Sketch, buckets: int) -> Iterator[pa.RecordBatch]:
+    """lang, bucket and counts of a task's shards, summed as far as its memory goes. The phrases of a bucket go sorted and compressed; the empty phrase has the number of words."""
     sums: dict[str, Counter] = defaultdict(Counter)
+    pack = zstandard.ZstdCompressor(level=3).compress
 
     def emitted() -> Iterator[pa.RecordBatch]:
         for lang, found in sums.items():
-            phrases = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in phrases], pa.int32()), pa.array(list(found.values()), pa.int64())],
-                names=["lang", "phrase", "words", "f"],
-            )
+            dealt = defaultdict(list)
+            for p in found:
+                dealt[zlib.crc32(p.encode()) % buckets].append(p)
+            data = []
+            for own in dealt.values():
+                own.sort()
+                counts = np.array([found[p] for p in own], "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+                data.append(pack(len(own).to_bytes(8, "little") + counts + "\n".join(own).encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(data), pa.string()), pa.array(list(dealt), pa.int32()), pa.array(data, pa.binary())], names=["lang", "bucket", "counts"])
         sums.clear()
 
     for lang, text in _bundled(_texts(batches), SHARD):
@@ -288,6 +296,30 @@ def _scanned(batches: Iterator[pa.RecordBatch], low: Sketch, high: Sketch) -> It
     yield from emitted()
 
 
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, words, f of the phrases that reach the threshold, from rows in order of lang and bucket."""
+    now, sums = None, Counter()
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def rows() -> pa.RecordBatch:
+        own = {p: f for p, f in sums.items() if f >= least or not p}
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array([p.count(" ") + 1 if p else 0 for p in own], pa.int32()), pa.array(list(own.values()), pa.int64())], names=["lang", "phrase", "words", "f"])
+
+    for b in batches:
+        for lang, bucket, data in zip(*(b.column(c).to_pylist() for c in ("lang", "bucket", "counts")), strict=True):
+            if (lang, bucket) != now:
+                if now is not None:
+                    yield rows()
+                now, sums = (lang, bucket), Counter()
+            raw = unpack(data)
+            size = int.from_bytes(raw[:8], "little")
+            n = np.frombuffer(raw, np.uint8, 8 * size, 8).reshape(8, -1).T.copy().view("<u8").ravel()
+            for p, f in zip(raw[8 + 8 * size :].decode().split("\n"), n.tolist(), strict=True):
+                sums[p] += f
+    if now is not None:
+        yield rows()
+
+
 def counts(docs: DataFrame, least: int = LEAST, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, phrase, words, f: exact counts of all phrases of 1 to LONGEST words that occur least times or more; the empty phrase counts words."""
     spark = docs.sparkSession
@@ -298,9 +330,10 @@ def counts(docs: DataFrame, least: int = LEAST, most_bits: int = MOST_BITS) -> D
     low = sketched(read, bits, least)
     high = sketched(read, bits, least, low)
     both = spark.sparkContext.broadcast((low, high))
-    scanned = read.mapInArrow(lambda it: _scanned(it, Sketch(*both.value[0]), Sketch(*both.value[1])), "lang string, phrase string, words int, f long")
-    sums = scanned.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    return staged(sums.where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+    buckets = max(64, size // 50_000_000)
+    scanned = read.mapInArrow(lambda it: _scanned(it, Sketch(*both.value[0]), Sketch(*both.value[1]), buckets), "lang string, bucket int, counts binary")
+    dealt = scanned.repartition(shuffle_partitions(spark), "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return staged(dealt.mapInArrow(lambda it: _merged(it, least), "lang string, phrase string, words int, f long"), "phrases")
 
 
 def _runs(phrase: str, sizes: str) -> str:
