@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.numeric import correlation
-from barwright.operators.folds import spaced
+from barwright.operators.chunkmaps import spaced
 
 
 def numbered(bars: DataFrame) -> DataFrame:
@@ -75,15 +75,21 @@ def screened(trades: DataFrame, *keys: str) -> DataFrame:
 
 def random_entries(bars: DataFrame, wanted: DataFrame, reps: int, most: int, warm_up: int = 250) -> DataFrame:
     """Controls of screened rules: keys of wanted, rep, symbol, rn, side; twice as many bars as a rule has trades, drawn by
-    a hash of repetition and bar, with its share of longs. wanted: rule, symbol, trades, longs.
+    a hash of repetition and bar, with its share of longs. The first warm_up + 1 bars are left out; a symbol with fewer than
+    20 bars to draw from has no controls. wanted: rule, symbol, trades, longs.
     """
     w = Window.partitionBy("symbol")
-    eligible = bars.withColumn("_n", F.max("rn").over(w)).where((F.col("rn") > warm_up) & (F.col("rn") < F.col("_n") - most - 1) & F.col("atr14").isNotNull()).select("symbol", "rn")
+    eligible = bars.withColumn("_n", F.max("rn").over(w)).where((F.col("rn") > warm_up + 1) & (F.col("rn") < F.col("_n") - most - 1) & F.col("atr14").isNotNull())
+    eligible = eligible.withColumn("_all", F.count(F.lit(1)).over(w)).where("_all >= 20").select("symbol", "rn")
     drawn = eligible.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     order = F.md5(F.concat_ws(":", F.col("symbol"), F.col("rep").cast("string"), F.col("rn").cast("string")))
     drawn = drawn.withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(order, "rn")))
     coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("side"), F.col("rep").cast("string"), F.col("rn").cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
-    j = drawn.join(wanted.where("trades >= 20"), "symbol").where(F.col("_k") <= 2 * F.col("trades"))
+    wanted = wanted.where("trades >= 20")
+    # ranks that no rule of the symbol asks for don't meet the rules
+    needed = wanted.groupBy("symbol").agg((2 * F.max("trades")).alias("_most"))
+    drawn = drawn.join(needed, "symbol").where(F.col("_k") <= F.col("_most")).drop("_most")
+    j = drawn.join(wanted, "symbol").where(F.col("_k") <= 2 * F.col("trades"))
     return j.select("rule", "rep", "symbol", "rn", F.when(coin < F.col("longs") / F.col("trades"), 1).otherwise(-1).alias("side"))
 
 

@@ -48,56 +48,42 @@ def schema_of(df: DataFrame, *more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *more])
 
 
-def spaced(df: DataFrame, keys: list[str], at: str, until: str | None, gap: int) -> DataFrame:
-    """Greedy choice in order of ``at``: a row stays if it comes at least gap after the last one that stayed (after its ``until``, where given)."""
-
-    def start() -> Fold:
-        free: list = [None]
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            keep = np.zeros(len(pdf), bool)
-            ends = pdf[until if until else at].tolist()
-            for i, x in enumerate(pdf[at].tolist()):
-                if free[0] is None or x >= free[0]:
-                    keep[i], free[0] = True, ends[i] + gap
-            return pdf[keep]
-
-        return fold
-
-    return folded(df, keys, [at], start, schema_of(df))
+class StopAndReverse:
+    """Wilder's parabolic level: it nears the trend's extreme by a rate that grows with each new extreme, and turns where price passes it.
+
+    A bar's level comes from the bar before and never lies beyond the extremes of the last two bars. Only then is the bar
+    held against it: a bar that passes it turns the trend, and the level becomes the extreme of the trend that ended (or of
+    the bar, if that is further away).
+    """
+
+    def __init__(self, step: float, more: float, most: float):
+        self.step, self.more, self.most = step, more, most
+        self.side = 0  # 1: rising, -1: falling, 0: no bar yet
+
+    def next(self, high: float, low: float) -> float | None:
+        if not self.side:
+            self.side, self.rate, self.level, self.extreme, self.recent = 1, self.step, low, high, [(high, low)]
+            return None
+        beyond = min if self.side > 0 else max
+        ahead, behind = (high, low) if self.side > 0 else (low, high)
+        level = beyond(self.level + self.rate * (self.extreme - self.level), *(bar[self.side > 0] for bar in self.recent))
+        if self.side * (behind - level) < 0:
+            level = (max if self.side > 0 else min)(self.extreme, ahead)
+            self.side, self.extreme, self.rate = -self.side, behind, self.step
+        elif self.side * (ahead - self.extreme) > 0:
+            self.extreme, self.rate = ahead, min(self.rate + self.more, self.most)
+        self.level, self.recent = level, [*self.recent[-1:], (high, low)]
+        return level
 
 
 def parabolic_sar(bars: DataFrame, step: float = 0.02, more: float = 0.02, most: float = 0.2) -> DataFrame:
-    """bars with sar: null on a series' first bar; it begins long at the first low and turns where price passes it."""
+    """bars with sar: null on a series' first bar, from whose low it begins to rise."""
 
     def start() -> Fold:
-        s: dict = {}
+        level = StopAndReverse(step, more, most)
 
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = np.full(len(pdf), np.nan)
-            for i, (h, lo) in enumerate(zip(pdf["high"].tolist(), pdf["low"].tolist(), strict=True)):
-                if not s:
-                    s.update(long=True, af=step, top=h, bottom=lo, sar=None, h=h, lo=lo)
-                    continue
-                if s["long"]:
-                    x = s["bottom"] if s["sar"] is None else max(s["sar"], s["bottom"])
-                    if h > s["top"]:
-                        s["top"], s["af"] = h, min(s["af"] + more, most)
-                    x = min(x + s["af"] * (s["top"] - x), lo, lo if s["sar"] is None else s["lo"])
-                    if lo < x:
-                        x = s["top"]
-                        s.update(long=False, bottom=lo, af=step)
-                else:
-                    x = min(s["sar"], s["top"])
-                    if lo < s["bottom"]:
-                        s["bottom"], s["af"] = lo, min(s["af"] + more, most)
-                    x = max(x - s["af"] * (x - s["bottom"]), h, s["h"])
-                    if h > x:
-                        x = s["bottom"]
-                        s.update(long=True, top=h, af=step)
-                s.update(sar=x, h=h, lo=lo)
-                out[i] = x
-            return pdf.assign(sar=out)
+            return pdf.assign(sar=[np.nan if x is None else x for x in map(level.next, pdf["high"].tolist(), pdf["low"].tolist())])
 
         return fold
 

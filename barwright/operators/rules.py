@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.operators.frames import candle_parts, rolled, rolling_features, series
-from barwright.operators.folds import parabolic_sar, spaced
+from barwright.operators.chunkmaps import spaced
+from barwright.operators.folds import parabolic_sar
 from barwright.operators.recurrences import averages, ema, indicators
 from barwright.operators.structure import structure
 from barwright.staging import staged
@@ -96,9 +97,9 @@ def signals(featured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return featured.select("symbol", "time", F.explode(F.filter(each, lambda s: s["signal"] != 0)).alias("s")).select("symbol", "time", "s.rule", "s.family", "s.signal")
 
 
-def debounced(sig: DataFrame, bars_apart: int, seconds: int, keys: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
-    """Signals at least so many bars after the last one kept, greedily: a state machine over signals, not over bars."""
-    return spaced(sig, list(keys), "time", None, bars_apart * seconds)
+def debounced(sig: DataFrame, bars_apart: int, keys: tuple[str, ...] = ("symbol", "rule")) -> DataFrame:
+    """Signals (with rn, the number of their bar) at least so many bars after the last one kept, greedily."""
+    return spaced(sig, list(keys), "rn", None, bars_apart)
 
 
 def library_summary(rules: list[Rule], spark) -> DataFrame:

@@ -82,9 +82,9 @@ def _(spark, d):
     return bars.first_of(t, ["symbol", "minute"], ["micros", "event_id"]).select("symbol", "minute", "event_id")
 
 
-@query("bar_manifest_counts", "SELECT symbol, count(*) AS bars, min(time) AS first, max(time) AS last FROM hours GROUP BY 1", "hours")
+@query("bar_manifest_counts", "SELECT symbol, count(*) AS bars, min(time) AS first, max(time) AS last, CAST(sum(CAST(CAST('0x' || sha256(concat_ws('|', time, " + ", ".join(f"CAST(round({c} * 1000000) AS BIGINT)" for c in ("open", "high", "low", "close")) + ", tick_volume))[1:12] AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM hours GROUP BY 1", "hours")
 def _(spark, d):
-    return manifest(hourly(spark, d)).drop("digest")
+    return manifest(hourly(spark, d))
 
 
 @query("range_statistics", "SELECT symbol, round(avg(high - low), 6) AS mean, round(quantile_cont(high - low, 0.5), 6) AS p50, round(quantile_cont(high - low, 0.9), 6) AS p90, round(quantile_cont(high - low, 0.99), 6) AS p99, round(max(high - low), 6) AS most FROM hours GROUP BY 1", "hours")

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.operators import barriers, folds, frames, gates, recurrences, rules, structure
+from barwright.operators.blocks import numbered
 from barwright.plans.market import _ALL, _D1, _FEAT, _PART, _SIGS, HOUR, _raced, _recursive, hourly, query
 from barwright.staging import staged
 
 _SAR = """nb0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS bn FROM hours),
-sar0 AS (SELECT symbol, bn, true AS up, CAST(0.02 AS DOUBLE) AS af, high AS top, low AS bottom, CAST(NULL AS DOUBLE) AS sar, high AS h, low AS lo FROM nb0 WHERE bn = 1
-UNION ALL SELECT symbol, bn, CASE WHEN flip THEN NOT up ELSE up END, CASE WHEN flip THEN 0.02 ELSE af1 END, CASE WHEN up THEN top1 WHEN flip THEN h ELSE top END, CASE WHEN NOT up THEN bottom1 WHEN flip THEN lo ELSE bottom END, CASE WHEN flip AND up THEN top1 WHEN flip THEN bottom1 ELSE x2 END, h, lo
-FROM (SELECT *, CASE WHEN up THEN lo < x2 ELSE h > x2 END AS flip FROM (SELECT *, CASE WHEN up THEN least(x0 + af1 * (top1 - x0), lo, CASE WHEN sar IS NULL THEN lo ELSE plo END) ELSE greatest(x0 - af1 * (x0 - bottom1), h, ph) END AS x2
-FROM (SELECT n.symbol, n.bn, r.up, r.sar, r.top, r.bottom, r.h AS ph, r.lo AS plo, n.high AS h, n.low AS lo, greatest(r.top, n.high) AS top1, least(r.bottom, n.low) AS bottom1, CASE WHEN (r.up AND n.high > r.top) OR (NOT r.up AND n.low < r.bottom) THEN least(r.af + 0.02, 0.2) ELSE r.af END AS af1, CASE WHEN r.up THEN coalesce(greatest(r.sar, r.bottom), r.bottom) ELSE least(r.sar, r.top) END AS x0
-FROM sar0 r JOIN nb0 n ON n.symbol = r.symbol AND n.bn = r.bn + 1) a) b) c)"""
+sar0 AS (SELECT symbol, bn, true AS up, CAST(0.02 AS DOUBLE) AS af, high AS ep, low AS lev, CAST(NULL AS DOUBLE) AS sar, low AS l1, low AS l2, high AS h1, high AS h2 FROM nb0 WHERE bn = 1
+UNION ALL SELECT symbol, bn, up <> turn, CASE WHEN turn THEN 0.02 WHEN further THEN least(af + 0.02, 0.2) ELSE af END, CASE WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN further THEN CASE WHEN up THEN high ELSE low END ELSE ep END,
+CASE WHEN NOT turn THEN c WHEN up THEN greatest(ep, high) ELSE least(ep, low) END, CASE WHEN NOT turn THEN c WHEN up THEN greatest(ep, high) ELSE least(ep, low) END, low, l1, high, h1
+FROM (SELECT *, CASE WHEN up THEN low < c ELSE high > c END AS turn, CASE WHEN up THEN high > ep ELSE low < ep END AS further FROM (SELECT n.symbol, n.bn, r.up, r.af, r.ep, r.l1, r.h1, n.high, n.low, CASE WHEN r.up THEN least(r.lev + r.af * (r.ep - r.lev), r.l1, r.l2) ELSE greatest(r.lev + r.af * (r.ep - r.lev), r.h1, r.h2) END AS c
+FROM sar0 r JOIN nb0 n ON n.symbol = r.symbol AND n.bn = r.bn + 1) a) b)"""
 
 #: Pivots by counting, breaks by comparison, trend and order blocks by recursion over bars: not the frames that the operator uses.
 _STRUCT = """sn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS bn, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY time), close) AS before FROM hours),
@@ -68,10 +69,12 @@ def _(spark, d):
 _GREEDY = "SELECT {0} FROM (SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY pos) AS k FROM {2}) WHERE k = 1 UNION ALL SELECT {3} FROM gr JOIN {2} n ON {4} AND n.pos = gr.nxt"
 
 
-@query("signals_debounced", f"""WITH {_FEAT}, {_SIGS}, sd AS (SELECT symbol, time AS pos, rule, family, signal, min(time) OVER (PARTITION BY symbol, rule ORDER BY time RANGE BETWEEN 14400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM sigs WHERE signal <> 0),
-gr AS ({_GREEDY.format("symbol, pos, rule, family, signal, nxt", "symbol, rule", "sd", "n.*", "n.symbol = gr.symbol AND n.rule = gr.rule")}) SELECT symbol, pos AS time, rule, family, CAST(signal AS BIGINT) AS signal FROM gr""", "hours", "candles")
+@query("signals_debounced", f"""WITH {_FEAT}, {_SIGS}, bo AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) AS bn FROM hours), sd AS (SELECT s.symbol, bn AS pos, s.time, rule, family, signal, min(bn) OVER (PARTITION BY s.symbol, rule ORDER BY bn RANGE BETWEEN 4 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM sigs s JOIN bo ON bo.symbol = s.symbol AND bo.time = s.time WHERE signal <> 0),
+gr AS ({_GREEDY.format("symbol, pos, time, rule, family, signal, nxt", "symbol, rule", "sd", "n.*", "n.symbol = gr.symbol AND n.rule = gr.rule")}) SELECT symbol, time, rule, family, CAST(signal AS BIGINT) AS signal FROM gr""", "hours", "candles")
 def _(spark, d):
-    return rules.debounced(rules.signals(rules.features(hourly(spark, d))), 4, HOUR)
+    x = staged(numbered(hourly(spark, d), span=5 * 86_400), "bars")
+    found = rules.signals(rules.features(x.drop("rn"))).join(x.select("symbol", "time", "rn"), ["symbol", "time"])
+    return rules.debounced(found, 4).drop("rn")
 
 
 def _race_sql(tag: str, entries: str, target: float, stop: float, most: int) -> str:
@@ -106,7 +109,7 @@ def _(spark, d):
     return barriers.screened(_screen(spark, d)[1], "rule", "symbol")
 
 
-_CONTROL = f"""dr AS (SELECT symbol, rn, rep, row_number() OVER (PARTITION BY symbol, rep ORDER BY md5(symbol || ':' || rep || ':' || rn), rn) AS k FROM bb, range(8) q(rep) WHERE rn > {WARM_UP} AND rn < total - {MOST} - 1 AND atr14 IS NOT NULL),
+_CONTROL = f"""dr AS (SELECT symbol, rn, rep, row_number() OVER (PARTITION BY symbol, rep ORDER BY md5(symbol || ':' || rep || ':' || rn), rn) AS k FROM bb, range(8) q(rep) WHERE rn > {WARM_UP + 1} AND rn < total - {MOST} - 1 AND atr14 IS NOT NULL AND symbol IN (SELECT symbol FROM bb WHERE rn > {WARM_UP + 1} AND rn < total - {MOST} - 1 AND atr14 IS NOT NULL GROUP BY 1 HAVING count(*) >= 20)),
 sg2 AS (SELECT c.rule || '#' || dr.rep AS grp, dr.symbol, dr.rn, CASE WHEN CAST(CAST('0x' || md5('side:' || dr.rep || ':' || dr.rn)[1:13] AS UBIGINT) AS DOUBLE) / {float(2**52)} < c.longs / c.trades THEN 1 ELSE -1 END AS side FROM dr JOIN sc c ON c.symbol = dr.symbol AND c.trades >= 20 AND dr.k <= 2 * c.trades)"""
 
 

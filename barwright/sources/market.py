@@ -23,7 +23,9 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 
 def manifest(bars: DataFrame) -> DataFrame:
-    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("time", "open", "high", "low", "close", "tick_volume")]), 256)
+    """Rows, first and last time, and a sum of hashes of each symbol's bars, their prices in millionths."""
+    price = lambda c: F.round(F.col(c) * 1_000_000).cast("long").cast("string")
+    row = F.sha2(F.concat_ws("|", F.col("time").cast("string"), *map(price, ("open", "high", "low", "close")), F.col("tick_volume").cast("string")), 256)
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.min("time").alias("first"), F.max("time").alias("last"), F.sum(part).cast("string").alias("digest"))
 

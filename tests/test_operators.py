@@ -95,8 +95,9 @@ def test_one_at_a_time(spark):
 
 
 def test_debounce(spark):
-    s = spark.createDataFrame([("a", "r", t * 3600) for t in (0, 1, 3, 4, 8)], "symbol string, rule string, time long")
-    assert sorted(r["time"] // 3600 for r in rules.debounced(s, 4, 3600).collect()) == [0, 4, 8]
+    # bars, not hours: the series has a gap of 20 hours after bar 3
+    s = spark.createDataFrame([("a", "r", n, (n + 20 * (n > 3)) * 3600) for n in (0, 1, 3, 4, 7, 8)], "symbol string, rule string, rn long, time long")
+    assert sorted(r["rn"] for r in rules.debounced(s, 4).collect()) == [0, 4, 8]
 
 
 def test_as_of_over_buckets(spark):

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barwright.plans import market, portfolio, reports, research, streams  # noqa: F401
+from barwright.plans import market, portfolio, reports, research, series, streams  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
