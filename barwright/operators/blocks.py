@@ -28,13 +28,15 @@ def numbered(df: DataFrame, key: str = "symbol", time: str = "time", span: int =
     return x.withColumn("_own", own).join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s"))).withColumn("rn", F.col("_before") + F.col("_own")).drop("_span", "_k", "_s", "_own", "_before")
 
 
-def framed(df: DataFrame, columns: dict[str, Column], before: int, after: int = 0, key: str = "symbol", rn: str = "rn", size: int = CHUNK) -> DataFrame:
-    """df with columns over beside(): each chunk of rows also gets the rows just before and after it. size is raised where the frame is longer."""
+def framed(df: DataFrame, columns: dict[str, Column] | list[dict[str, Column]], before: int, after: int = 0, key: str = "symbol", rn: str = "rn", size: int = CHUNK) -> DataFrame:
+    """df with columns over beside(), one step after another: each chunk of rows also gets the rows just before and after it. size is raised where the frames are longer."""
     size = max(size, before + after)
     at = F.col(rn)
     chunks = F.array_distinct(F.array(F.floor(at / size), F.floor((at + before) / size), F.floor((at - after) / size)))
     dealt = df.withColumn("_chunk", F.explode(chunks))
-    out = dealt.withColumns(columns)
+    out = dealt
+    for step in columns if isinstance(columns, list) else [columns]:
+        out = out.withColumns(step)
     return out.where(F.col("_chunk") == F.floor(at / size)).drop("_chunk")
 
 
