@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,38 +16,82 @@ from barwright.functions.numeric import correlation
 EULER = 0.5772156649015329
 
 
-def drawn(sim: Column, k: Column, n: Column) -> Column:
-    """An index below n for draw k of a simulation: 52 bits of a hash of both, so that simulations share no draws."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", sim.cast("string"), k.cast("string"))), 1, 13), 16, 10).cast("long"), n)
+def mixed(trade: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """32 bits for each pair of a trade's number and a simulation's, by products below 2^63 and shifts that any engine has."""
+    h = ((trade % 2147483647) * 1103515245 + 12345) % 2147483648 ^ (sim * 69069 + 362437) % 2147483648
+    for a, c, shift in ((1664525, 1013904223, 15), (22695477, 1, 13), (1103515245, 12345, 16)):
+        h = (h * a + c) % 4294967296
+        h = h ^ (h >> shift)
+    return h
 
 
-def bootstrap(trades: DataFrame, sims: int) -> DataFrame:
+#: Distribution function of the Poisson distribution with mean 1, up to where 32 bits end.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def bootstrap(trades: DataFrame, sims: int, block: int = 256) -> DataFrame:
     """Mean result and profit factor of resampled sets of each strategy's trades, by simulation.
 
-    Each trade is numbered within its strategy; draws are generated as rows and fetch their trade by an equi-join.
+    Each trade draws how often it counts in a simulation from a Poisson distribution with mean 1, inverted at a hash of both:
+    one pass over the trades, in which a task keeps four sums for each simulation of the strategies it meets. Only these
+    sums are shuffled. A simulation that draws no trade has no mean.
     """
-    w = Window.partitionBy("strategy").orderBy("entry_time", "trade_id")
-    t = trades.select("strategy", (F.row_number().over(w) - 1).cast("long").alias("i"), "net_pl")
-    sizes = t.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
-    sim = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    draws = sim.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picked = draws.select("strategy", "sim", drawn(F.col("sim"), F.col("k"), F.col("n")).alias("i")).groupBy("strategy", "sim", "i").agg(F.count(F.lit(1)).alias("times"))
-    pl = F.col("net_pl") * F.col("times")
-    out = picked.join(t, ["strategy", "i"]).groupBy("strategy", "sim").agg((F.sum(pl) / F.sum("times")).alias("expectancy"), F.sum(F.when(pl > 0, pl).otherwise(0.0)).alias("gain"), F.sum(F.when(pl < 0, -pl).otherwise(0.0)).alias("loss"))
-    return out.select("strategy", "sim", "expectancy", F.when(F.col("loss") > 0, F.col("gain") / F.col("loss")).alias("profit_factor"))
+    bounds = [p * 2**32 for p in POISSON]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        sim = np.arange(sims, dtype=np.int64)[None, :]
+
+        def emitted() -> Iterator[pd.DataFrame]:
+            for name, x in held.items():
+                yield pd.DataFrame({"strategy": name, "sim": np.arange(sims), "n": x[:, 0], "total": x[:, 1], "gain": x[:, 2], "loss": x[:, 3]})
+            held.clear()
+
+        for pdf in batches:
+            for name, own in pdf.groupby("strategy", dropna=False):
+                name = None if pd.isna(name) else name
+                for lo in range(0, len(own), block):
+                    part = own.iloc[lo : lo + block]
+                    h = mixed(part["trade_id"].to_numpy(np.int64)[:, None], sim)
+                    times = np.zeros(h.shape)
+                    for b in bounds:
+                        times += h >= b
+                    pl = part["net_pl"].to_numpy(float)
+                    held[name] = held.get(name, 0.0) + times.T @ np.stack([np.ones(len(pl)), pl, np.maximum(pl, 0.0), np.maximum(-pl, 0.0)], axis=1)
+                if len(held) >= 64:
+                    yield from emitted()
+        yield from emitted()
+
+    parts = trades.select("strategy", "trade_id", "net_pl").where("net_pl IS NOT NULL").mapInPandas(partial, "strategy string, sim long, n double, total double, gain double, loss double")
+    sums = parts.groupBy("strategy", "sim").agg(*[F.sum(c).alias(c) for c in ("n", "total", "gain", "loss")])
+    return sums.select("strategy", "sim", F.try_divide("total", "n").alias("expectancy"), F.try_divide("gain", "loss").alias("profit_factor"))
 
 
 def interval(sims: DataFrame) -> DataFrame:
     return sims.groupBy("strategy").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_p{round(q * 100):02d}") for c in ("expectancy", "profit_factor") for q in (0.05, 0.5, 0.95)])
 
 
-def shuffled_drawdown(trades: DataFrame, sims: int, start: float) -> DataFrame:
-    """Largest drawdown of each strategy's trades in random orders (by a hash of simulation and trade)."""
-    t = trades.select("strategy", "trade_id", "net_pl").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    w = Window.partitionBy("strategy", "sim").orderBy(F.md5(F.concat_ws(":", F.col("sim").cast("string"), F.col("trade_id").cast("string"))), "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = t.withColumn("balance", start + F.sum("net_pl").over(w))
-    b = b.withColumn("fall", F.greatest(F.lit(start), F.max("balance").over(w)) - F.col("balance"))
-    per = b.groupBy("strategy", "sim").agg(F.max("fall").alias("drawdown"), F.min("balance").alias("lowest"))
+def shuffled_drawdown(trades: DataFrame, sims: int, start: float, block: int = 250) -> DataFrame:
+    """Largest drawdown of each strategy's trades in random orders (by a hash of simulation and trade).
+
+    A task takes ``block`` simulations of a strategy; of its trades it holds two numbers each.
+    """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // block)))
+
+    def paths(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_id")
+        ids, pl = pdf["trade_id"].to_numpy(np.int64), pdf["net_pl"].to_numpy(float)
+        first = int(pdf["block"].iloc[0]) * block
+        out = []
+        for sim in range(first, min(first + block, sims)):
+            balance = start + np.cumsum(pl[np.argsort(mixed(ids, np.int64(sim)), kind="stable")])
+            peak = np.maximum(np.maximum.accumulate(balance), start)
+            out.append((sim, float((peak - balance).max()), float(balance.min())))
+        frame = pd.DataFrame(out, columns=["sim", "drawdown", "lowest"])
+        frame.insert(0, "strategy", pdf["strategy"].iloc[0])
+        return frame
+
+    per = trades.select("strategy", "trade_id", "net_pl", blocks.alias("block")).groupBy("strategy", "block").applyInPandas(paths, "strategy string, sim long, drawdown double, lowest double")
     return per.groupBy("strategy").agg(F.percentile("drawdown", F.lit(0.5)).alias("drawdown_p50"), F.percentile("drawdown", F.lit(0.95)).alias("drawdown_p95"), F.avg(F.when(F.col("lowest") <= 0, 1.0).otherwise(0.0)).alias("ruin"))
 
 
@@ -84,8 +130,71 @@ def deflated_sharpe(m: DataFrame, trials: int, variance: float) -> DataFrame:
     return m.select("strategy", F.coalesce(sr, F.lit(0.0)).alias("sharpe"), F.lit(best).alias("expected_best"), F.coalesce(normal_cdf(z), F.lit(0.0)).alias("deflated"))
 
 
+def log_gamma(z: Column) -> Column:
+    """The logarithm of the gamma function for z > 0: Stirling's series twelve further up (to 1e-13)."""
+    far = z + 12
+    below = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0.0), lambda s, i: s + F.log(z + i))
+    series = sum(F.lit(c) / F.pow(far, F.lit(2 * k + 1)) for k, c in enumerate((1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)))
+    return (far - 0.5) * F.log(far) - far + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use() of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 800) -> Column:
+    """The regularized incomplete beta function by its continued fraction, on the side where that converges fast."""
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def fraction(s: Column) -> Column:
+        """Lentz's way through the fraction; odd and even terms have weights of their own."""
+        p, q, y = s["p"], s["q"], s["y"]
+
+        def step(now: Column, k: Column) -> Column:
+            m = F.floor(k / 2).cast("double")
+            weight = F.when(k % 2 == 0, m * (q - m) * y / ((p + k - 1) * (p + k))).otherwise(-(p + m) * (p + q + m) * y / ((p + k - 1) * (p + k)))
+            parts = lambda w: F.struct(safe(1 + w * now["d"]).alias("d"), safe(1 + w / now["c"]).alias("c"))
+            return let(let(weight, parts), lambda n: F.struct((1 / n["d"]).alias("d"), n["c"].alias("c"), (now["h"] * n["c"] / n["d"]).alias("h")))
+
+        first = F.struct(F.lit(1.0).alias("d"), F.lit(1 / tiny).alias("c"), F.lit(1.0).alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first, step, lambda now: now["h"])
+
+    def whole(s: Column) -> Column:
+        p, q, y = s["p"], s["q"], s["y"]
+        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(y) + q * F.log(1 - y))
+        return let(front / p * fraction(s), lambda part: F.when(s["near"], part).otherwise(1 - part))
+
+    def sided(s: Column) -> Column:
+        near = s["x"] < (s["a"] + 1) / (s["a"] + s["b"] + 2)
+        pick = lambda u, v: F.when(near, u).otherwise(v)
+        inner = let(F.struct(pick(s["a"], s["b"]).alias("p"), pick(s["b"], s["a"]).alias("q"), pick(s["x"], 1 - s["x"]).alias("y"), near.alias("near")), whole)
+        return F.when(s["x"] <= 0, 0.0).when(s["x"] >= 1, 1.0).otherwise(inner)
+
+    return let(F.struct(a.alias("a"), b.alias("b"), x.alias("x")), sided)
+
+
+def student_tail(t: Column, df: Column) -> Column:
+    """The chance that a Student variable with df degrees of freedom passes t."""
+
+    def tail(s: Column) -> Column:
+        half = incomplete_beta(s["v"] / 2, F.lit(0.5), s["v"] / (s["v"] + s["t"] * s["t"]))
+        return let(0.5 * half, lambda h: F.when(s["t"] >= 0, h).otherwise(1 - h))
+
+    return let(F.struct(t.alias("t"), df.cast("double").alias("v")), tail)
+
+
+def mean_tests(trades: DataFrame, tests: int, least: int = 10) -> DataFrame:
+    """strategy, n, t, p, corrected: is the mean R above 0? Student's test with the population deviation; p times the number of tests, at most 1. Fewer than ``least`` results, and constant ones, have none."""
+    m = trades.groupBy("strategy").agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"))
+    x = m.withColumn("t", F.when((F.col("n") >= least) & (F.col("_s") > 0), F.try_divide("_m", "_s") * F.sqrt("n")))
+    x = x.withColumn("p", F.when(F.col("t").isNotNull(), student_tail(F.col("t"), F.col("n") - 1)))
+    return x.select("strategy", "n", "t", "p", bonferroni(F.col("p"), tests).alias("corrected"))
+
+
 def bonferroni(p: Column, tests: int) -> Column:
-    return F.least(F.lit(1.0), p * tests)
+    return F.when(p.isNotNull(), F.least(F.lit(1.0), p * tests))
 
 
 def effective_trials(wide: DataFrame, columns: list[str]) -> float:

@@ -19,7 +19,7 @@ def replayed(rows: DataFrame, time: str, make: Callable[[DataFrame], DataFrame],
     """What make() gives of a stream of rows: files in order of time, one a batch; the query ends after half of them and starts again from its checkpoint."""
     spark = rows.sparkSession
     at, rows = folder(spark, "replay"), staged(rows, "rows")
-    cuts = rows.select(F.col(time).cast("long").alias("t")).approxQuantile("t", [k / batches for k in range(1, batches)], 0.001)
+    cuts = rows.select(F.col(time).cast("long").alias("t")).approxQuantile("t", [k / batches for k in range(1, batches)], 0.001) if batches > 1 else []
     edges = [None, *sorted(set(cuts)), None]
     before = spark.conf.get(KEY, None)
     spark.conf.set(KEY, ROCKS)

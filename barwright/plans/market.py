@@ -32,8 +32,8 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; volume-weighted prices, which often end in a tie, to more places."""
-    return df.select(*[F.round(c, 9 if c == "vwap48" else places).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded for comparison; ratios that often end in a tie (volume-weighted prices, means over a power of two) to more places."""
+    return df.select(*[F.round(c, 9 if c in ("vwap48", "drawn_mean") else places).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None, *uses: str):

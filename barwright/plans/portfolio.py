@@ -123,25 +123,47 @@ def _(spark, d):
     return tr.compared(side(F.col("is_buy")), side(~F.col("is_buy")))
 
 
-_BOOT = """WITH n AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY entry_time, trade_id) - 1 AS i, net_pl FROM trades), z AS (SELECT strategy, count(*) AS n FROM n GROUP BY 1), d AS (SELECT z.strategy, s.sim, CAST(CAST('0x' || md5(s.sim || ':' || k.k)[1:13] AS UBIGINT) AS BIGINT) % z.n AS i FROM z, range(200) s(sim), LATERAL (SELECT unnest(range(z.n)) AS k) k),
-b AS (SELECT d.strategy, d.sim, avg(n.net_pl) AS e, sum(CASE WHEN n.net_pl > 0 THEN n.net_pl ELSE 0.0 END) AS g, sum(CASE WHEN n.net_pl < 0 THEN -n.net_pl ELSE 0.0 END) AS l FROM d JOIN n ON n.strategy = d.strategy AND n.i = d.i GROUP BY 1, 2)"""
+SIMS = 5000
 
 
-@query("bootstrap", f"{_BOOT} SELECT strategy, sim, round(e, 6) AS expectancy, round(g / l, 6) AS profit_factor FROM b", "trades")
+def _hash_sql(first: str, sim: str, rest: str) -> str:
+    """A chain of SELECTs that ends in h, 32 bits of trade_id and the simulation."""
+    out = f"SELECT {rest}, xor(((trade_id % 2147483647) * 1103515245 + 12345) % 2147483648, (CAST({sim} AS BIGINT) * 69069 + 362437) % 2147483648) AS h FROM {first}"
+    for a, c, shift in ((1664525, 1013904223, 15), (22695477, 1, 13), (1103515245, 12345, 16)):
+        out = f"SELECT {rest}, xor(g, g >> {shift}) AS h FROM (SELECT {rest}, (h * {a} + {c}) % 4294967296 AS g FROM ({out}))"
+    return out
+
+
+_TIMES = " + ".join(f"CASE WHEN h >= {p * 2**32!r} THEN 1 ELSE 0 END" for p in inference.POISSON)
+_BOOT = f"""WITH d AS (SELECT strategy, sim, net_pl, {_TIMES} AS k FROM ({_hash_sql(f"trades, range({SIMS}) r(sim)", "sim", "strategy, sim, net_pl, trade_id")})),
+b AS (SELECT strategy, sim, sum(k * net_pl) / sum(k) AS e, sum(k * greatest(net_pl, 0.0)) AS g, sum(k * greatest(-net_pl, 0.0)) AS l FROM d GROUP BY 1, 2)"""
+
+
+@query("bootstrap", f"{_BOOT} SELECT strategy, sim, round(e, 9) AS drawn_mean, round(g / l, 6) AS profit_factor FROM b", "trades")
 def _(spark, d):
-    return inference.bootstrap(_trades(spark, d), 200)
+    return inference.bootstrap(_trades(spark, d), SIMS).withColumnRenamed("expectancy", "drawn_mean")
 
 
 @query("bootstrap_intervals", f"{_BOOT} SELECT strategy, " + ", ".join(f"round(quantile_cont({x}, {q}), 6) AS {name}_p{round(q * 100):02d}" for name, x in (("expectancy", "e"), ("profit_factor", "g / l")) for q in (0.05, 0.5, 0.95)) + " FROM b GROUP BY 1", "trades")
 def _(spark, d):
-    return inference.interval(inference.bootstrap(_trades(spark, d), 200))
+    return inference.interval(inference.bootstrap(_trades(spark, d), SIMS))
 
 
-@query("shuffled_drawdown", """WITH s AS (SELECT strategy, trade_id, net_pl, sim FROM trades, range(200) r(sim)), b AS (SELECT *, 1000.0 + sum(net_pl) OVER w AS balance FROM s WINDOW w AS (PARTITION BY strategy, sim ORDER BY md5(sim || ':' || trade_id), trade_id ROWS UNBOUNDED PRECEDING)),
-f AS (SELECT *, greatest(1000.0, max(balance) OVER w) - balance AS fall FROM b WINDOW w AS (PARTITION BY strategy, sim ORDER BY md5(sim || ':' || trade_id), trade_id ROWS UNBOUNDED PRECEDING)), p AS (SELECT strategy, sim, max(fall) AS dd, min(balance) AS low FROM f GROUP BY 1, 2)
+@query("shuffled_drawdown", f"""WITH s AS ({_hash_sql(f"trades, range({SIMS}) r(sim)", "sim", "strategy, sim, net_pl, trade_id")}), b AS (SELECT strategy, sim, h, trade_id, 1000.0 + sum(net_pl) OVER w AS balance FROM s WINDOW w AS (PARTITION BY strategy, sim ORDER BY h, trade_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT strategy, sim, balance, greatest(1000.0, max(balance) OVER w) - balance AS fall FROM b WINDOW w AS (PARTITION BY strategy, sim ORDER BY h, trade_id ROWS UNBOUNDED PRECEDING)), p AS (SELECT strategy, sim, max(fall) AS dd, min(balance) AS low FROM f GROUP BY 1, 2)
 SELECT strategy, round(quantile_cont(dd, 0.5), 6) AS drawdown_p50, round(quantile_cont(dd, 0.95), 6) AS drawdown_p95, round(avg(CASE WHEN low <= 0 THEN 1.0 ELSE 0.0 END), 6) AS ruin FROM p GROUP BY 1""", "trades")
 def _(spark, d):
-    return inference.shuffled_drawdown(_trades(spark, d), 200, 1000.0)
+    return inference.shuffled_drawdown(_trades(spark, d), SIMS, 1000.0)
+
+
+#: Student's tail by its finite series for whole degrees of freedom.
+_TAIL = """CASE WHEN v % 2 = 0 THEN sin(a) * list_sum(list_transform(range(v // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + 2 * k * ln(cos(a))) / sqrt(pi())))
+ELSE 2 / pi() * (a + sin(a) * cos(a) * coalesce(list_sum(list_transform(range((v - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + 2 * k * ln(cos(a))) * sqrt(pi()) / 2)), 0)) END"""
+
+
+@query("mean_tests", f"WITH m AS (SELECT strategy, count(r) AS n, avg(r) / stddev_pop(r) * sqrt(count(r)) AS t FROM trades GROUP BY 1), x AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS a FROM m), y AS (SELECT *, (1 - {_TAIL}) / 2 AS half FROM x), z AS (SELECT *, CASE WHEN t >= 0 THEN half ELSE 1 - half END AS p FROM y) SELECT strategy, n, round(t, 6) AS t, round(p, 6) AS p, round(least(1.0, p * 5), 6) AS corrected FROM z", "trades")
+def _(spark, d):
+    return inference.mean_tests(_trades(spark, d), 5)
 
 
 @query("result_moments", "SELECT strategy, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS sd, round(avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5), 6) AS skew, round(avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2), 6) AS kurt FROM (SELECT strategy, r, avg(r) OVER (PARTITION BY strategy) AS m FROM trades) GROUP BY 1", "trades")

@@ -47,7 +47,7 @@ class FirstSeen(Processor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.seen = handle, handle.getValueState("seen", "at long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last, kept = (_value(self.seen) or (None,))[0], []
         for t, seq in self.frame(rows)[["t", "seq"]].itertuples(index=False):
             if last is None or t - last >= self.seconds:
@@ -58,15 +58,15 @@ class FirstSeen(Processor):
             self.handle.registerTimer((last + self.seconds) * 1000)
         yield self.result(kept)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # a later row may have passed since the timer was set
-        if (last := _value(self.seen)) and (last[0] + self.seconds) * 1000 <= expired.getExpiryTimeInMs():
+        if (last := _value(self.seen)) and (last[0] + self.seconds) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.seen.clear()
         yield self.result([])
 
 
 def first_seen(rows: DataFrame, keys: list[str], seconds: int, late: str = "10 minutes") -> DataFrame:
-    """rows (ts, t, seq and keys) of a stream without those that repeat a key within so many seconds: key, t, seq."""
+    """rows (ts, t: its epoch seconds, seq and keys) of a stream without those that repeat a key within so many seconds: key, t, seq."""
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("key")
     return rows.withWatermark("ts", late).select("ts", key, "t", "seq").groupBy("key").transformWithStateInPandas(FirstSeen(seconds), "key string, t long, seq long", "Append", "EventTime")
 
@@ -98,7 +98,7 @@ class RiskGate(Processor):
         self.streak = handle.getValueState("streak", "losses long, paused_until long, stopped_day long")
         self.halt = handle.getValueState("halt", "reason string")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         peak, day, day_balance, losers, week, week_balance, month, month_balance = _value(self.rolling) or (0.0, None, 0.0, 0, None, 0.0, None, 0.0)
         losses, paused, stopped = _value(self.streak) or (0, 0, -1)
         halted, out = _value(self.halt) is not None, []
@@ -150,7 +150,7 @@ class Confirmation(Processor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.waiting = handle, handle.getValueState("waiting", "time long, side long, level double")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         wait, out = _value(self.waiting), []
         for time, close, side in self.frame(rows)[["time", "close", "side"]].itertuples(index=False):
             if wait:
@@ -167,9 +167,9 @@ class Confirmation(Processor):
             self.waiting.clear()
         yield self.result(out)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         wait, out = _value(self.waiting), []
-        if wait and (wait[0] + self.seconds) * 1000 <= expired.getExpiryTimeInMs():
+        if wait and (wait[0] + self.seconds) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             out.append((key[0], wait[0], wait[1], "expired", wait[0] + self.seconds))
             self.waiting.clear()
         yield self.result(out)
@@ -193,7 +193,7 @@ class GapBoxes(Processor):
         self.recent = handle.getListState("recent", "high double, low double, close double")
         self.sums = handle.getValueState("sums", "total double, bars long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         boxes = [tuple(b) for b in self.boxes.get()] if self.boxes.exists() else []
         recent = [tuple(b) for b in self.recent.get()] if self.recent.exists() else []
         total, n = _value(self.sums) or (0.0, 0)
@@ -233,7 +233,7 @@ class Tripwire(Processor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getListState("last", "pl double")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last, out = [b[0] for b in self.last.get()] if self.last.exists() else [], []
         for t, seq, pl in self.frame(rows)[["t", "seq", "pl"]].itertuples(index=False):
             last = [*last, float(pl)][-self.n :]
