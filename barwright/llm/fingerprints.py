@@ -1,25 +1,23 @@
 """Document fingerprints by invertible Bloom lookup tables.
 
-A text's paragraphs are its lines; a paragraph of several sentences has a cell entry for each sentence, and a sentence of
-more than ``LONG`` words is cut after words whose hash says so (content-defined, so that an edit touches the cuts near it
-alone). Each piece, with its number among equal pieces, has a 64-bit digest of which ``SIZE_BITS`` bits are its length in
-code points. The digests are added to the cells of a table (three sub-tables; a cell keeps a count, the XOR of digests and
-the XOR of their check sums): the text's fingerprint. A sub-table has a power of two of cells, as many as the text has
-digests at least, so that the difference of two versions of like size can be peeled.
-
-Two tables subtract cell by cell; peeling cells that hold a single digest recovers the digests, and so the lengths of the
-paragraphs, in which the texts differ. Where tables have unequal sizes, or peeling stalls, both are built anew with twice
-the cells, until it ends. Likeness is 1 - (length of what differs) / (length of both).
-
-Nulls: a null text is empty; two texts without pieces are alike (1.0). Rows that repeat an id come in order of their texts.
-A null id comes last. Empty tables give empty results; extra columns are ignored.
+A text's paragraphs are its lines; each, with its number among equal ones, has a 64-bit digest and a length in code points.
+Digests are added to the cells of a table: three sub-tables, whose cells keep a count and the XOR of digests, of lengths
+and of check sums. The table is the text's fingerprint. A sub-table has a power of two of cells, half as many as the text
+has paragraphs at least; a paragraph's cell is given by low bits, so that a table folds to half its cells by adding halves.
+
+Two fingerprints are folded to the smaller one's size and subtracted cell by cell; peeling the cells that hold a single
+digest recovers the digests, and so the lengths, of the paragraphs in which the texts differ. Where peeling stalls, both
+tables are built anew with twice the cells of the larger, again and again until it ends. Likeness is 1 - (length of what
+differs) / (length of both).
+
+Nulls: a null text is empty; two texts without paragraphs are alike (1.0). Rows that repeat an id come in order of their
+texts. A null id comes last. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,72 +28,65 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import bucket_of, id_order, range_bounds, ship, shuffle_partitions, sliced, splitmix, string_list
 
-#: Ends of paragraphs and of sentences.
-PARAGRAPH = re.compile(r"\n+|(?<=[.!?])[ \t]+")
-#: Words beyond which a sentence is cut, one of how many words ends a cut, and bits of a digest that hold a length.
-LONG, EVERY, SIZE_BITS = 24, 8, 20
-#: Least cells of each of the three sub-tables of a fingerprint; most cells before digests are compared themselves.
-CELLS, MOST = 8, 1 << 20
-_CHECK = np.uint64(0xA0761D6478BD642F)
-_SIZE = (1 << SIZE_BITS) - 1
+#: Least cells of a sub-table, and how many times a paragraph's cells a table may have before digests are held against each other.
+CELLS, LARGEST = 2, 4096
+_CHECK, _STEP, _LOW = np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFF)
+_STEPS = [np.uint64(0x9E3779B97F4A7C15 * t % 2**64) for t in (1, 2, 3)]
 
+#: Digests and lengths of a text's paragraphs.
+Keys = tuple[np.ndarray, np.ndarray]
+#: Counts and the XORs of digests, lengths and check sums, by cell.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def pieces(text: str) -> list[str]:
-    out = []
-    for p in PARAGRAPH.split(text):
-        if not p:
-            continue
-        if p.count(" ") < LONG:
-            out.append(p)
-            continue
-        words, lo = p.split(" "), 0
-        for k, w in enumerate(words, 1):
-            if k < len(words) and xxhash.xxh32_intdigest(w) % EVERY == 0:
-                out.append(" ".join(words[lo:k]))
-                lo = k
-        out.append(" ".join(words[lo:]))
-    return [p for p in out if p]
-
-
-def digests(text: str) -> list[int]:
-    """64-bit digests of a text's pieces, the low bits being lengths; equal pieces are told apart by their number."""
-    out, seen = [], {}
-    for p in pieces(text):
+
+def paragraphs(text: str) -> list[str]:
+    return [p for p in text.split("\n") if p]
+
+
+def digests(text: str) -> Keys:
+    """Equal paragraphs are told apart by their number."""
+    keys, sizes, seen = [], [], {}
+    for p in paragraphs(text):
         k = seen.get(p, 0)
         seen[p] = k + 1
-        out.append((xxhash.xxh64_intdigest(p, k) & ~_SIZE) | min(len(p), _SIZE))
-    return out
+        keys.append(xxhash.xxh64_intdigest(p, k))
+        sizes.append(len(p))
+    return np.array(keys, np.uint64), np.array(sizes, np.uint64)
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    """Three times 21 bits: the cells of each key."""
-    return splitmix(keys + np.uint64(0x9E3779B97F4A7C15))
+def _sums(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """32-bit check sums of digests and lengths."""
+    return splitmix(keys ^ splitmix(sizes + _STEP) ^ _CHECK) & _LOW
 
 
-def _cell(places: np.ndarray, t: int, cells: int) -> np.ndarray:
-    return t * cells + ((places >> np.uint64(21 * t)) & np.uint64(cells - 1)).astype(np.int64)
+def _cell(keys: np.ndarray, t: int, cells: int) -> np.ndarray:
+    return t * cells + (splitmix(keys + _STEPS[t]) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def sketches(owner: np.ndarray, keys: np.ndarray, n: int, cells: int, sign: np.ndarray | int = 1, places: np.ndarray | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """count, key and check arrays (n, 3 * cells) of n texts' tables. owner: the text of each key; cells: a power of two; sign: 1 adds a key, -1 subtracts it."""
-    count, key, check = np.zeros((n, 3 * cells), np.int64), np.zeros((n, 3 * cells), np.uint64), np.zeros((n, 3 * cells), np.uint64)
-    places = _places(keys) if places is None else places
-    sums = splitmix(keys ^ _CHECK) if sums is None else sums
+def sketches(owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, n: int, cells: int, sign: np.ndarray | int = 1) -> Table:
+    """Tables (n, 3 * cells) of n texts. owner: the text of each key; cells: a power of two; sign: 1 adds a key, -1 subtracts it."""
+    count, *xors = np.zeros((n, 3 * cells), np.int64), *(np.zeros((n, 3 * cells), np.uint64) for _ in range(3))
+    values = (keys, sizes, _sums(keys, sizes))
     for t in range(3):
-        at = owner * (3 * cells) + _cell(places, t, cells)
+        at = owner * (3 * cells) + _cell(keys, t, cells)
         np.add.at(count.reshape(-1), at, sign)
-        np.bitwise_xor.at(key.reshape(-1), at, keys)
-        np.bitwise_xor.at(check.reshape(-1), at, sums)
-    return count, key, check
+        for x, v in zip(xors, values, strict=True):
+            np.bitwise_xor.at(x.reshape(-1), at, v)
+    return count, *xors
+
+
+def folded(table: Table, cells: int) -> Table:
+    """A text's table with fewer cells: the cells whose low bits agree, added."""
+    parts = [x.reshape(3, -1, cells) for x in table]
+    return parts[0].sum(axis=1).reshape(-1), *(np.bitwise_xor.reduce(x, axis=1).reshape(-1) for x in parts[1:])
 
 
-def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many digests each difference has, the sum of their lengths, and whether all were recovered."""
+def peel(count: np.ndarray, key: np.ndarray, size: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many digests each difference has, the sum of their lengths, and whether all were recovered. The tables are emptied."""
     n, width = count.shape
     cells = width // 3
-    found, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live = np.arange(n)
-    flat_count, flat_key, flat_check = count.reshape(-1), key.reshape(-1), check.reshape(-1)
+    found, length, live = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    flat = [x.reshape(-1) for x in (count, key, size, check)]
     for _ in range(4 * width):
         moved = np.zeros(n, bool)
         for t in range(3):  # in one sub-table a digest has one cell
@@ -103,89 +94,102 @@ def peel(count: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndar
             rows, cols = np.nonzero(np.abs(count[:, part] if len(live) == n else count[live, part]) == 1)
             rows = live[rows]
             at = rows * width + t * cells + cols
-            keys, sums = flat_key[at], flat_check[at]
-            pure = splitmix(keys ^ _CHECK) == sums
-            rows, at, keys, sums = rows[pure], at[pure], keys[pure], sums[pure]
-            sign, places = flat_count[at], _places(keys)
+            keys, sizes, sums = (x[at] for x in flat[1:])
+            pure = (_sums(keys, sizes) == sums) & (_cell(keys, t, cells) == t * cells + cols)
+            rows, at, keys, sizes, sums = rows[pure], at[pure], keys[pure], sizes[pure], sums[pure]
+            sign = flat[0][at]
             found += np.bincount(rows, minlength=n)
-            length += np.bincount(rows, (keys & np.uint64(_SIZE)).astype(np.int64), n).astype(np.int64)
+            np.add.at(length, rows, sizes.astype(np.int64))
             moved[rows] = True
             for u in range(3):
-                to = rows * width + _cell(places, u, cells)
-                np.subtract.at(flat_count, to, sign)
-                np.bitwise_xor.at(flat_key, to, keys)
-                np.bitwise_xor.at(flat_check, to, sums)
+                to = rows * width + _cell(keys, u, cells)
+                np.subtract.at(flat[0], to, sign)
+                for x, v in zip(flat[1:], (keys, sizes, sums), strict=True):
+                    np.bitwise_xor.at(x, to, v)
         live = np.flatnonzero(moved)
         if not len(live):
             break
-    return found, length, ~(count.any(axis=1) | key.any(axis=1) | check.any(axis=1))
+    return found, length, ~(count.any(axis=1) | key.any(axis=1) | size.any(axis=1) | check.any(axis=1))
 
 
 def cells_of(n: int) -> int:
-    """Cells of each sub-table for so many digests."""
-    return max(CELLS, 1 << max(n - 1, 0).bit_length())
-
+    """Cells of each sub-table for so many paragraphs."""
+    return max(CELLS, 1 << max((n + 1) // 2 - 1, 0).bit_length())
+
+
+def _parts(some: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """In parts whose tables fit in memory."""
+    step = max(1, (1 << 20) // (3 * cells))
+    for lo in range(0, len(some), step):
+        yield some[lo : lo + step]
+
+
+def tables(texts: list[Keys]) -> list[Table]:
+    """Each text's table."""
+    out: list = [None] * len(texts)
+    width = np.array([cells_of(len(k)) for k, _ in texts], np.int64)
+    for w in np.unique(width).tolist():
+        for some in _parts(np.flatnonzero(width == w), w):
+            owner = np.repeat(np.arange(len(some)), [len(texts[i][0]) for i in some])
+            made = sketches(owner, *(np.concatenate([texts[i][j] for i in some]) for j in (0, 1)), len(some), w)
+            for k, i in enumerate(some.tolist()):
+                out[i] = tuple(x[k] for x in made)
+    return out
 
-def differences(a: list, b: list, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """How many digests the pairs of sets differ by and their lengths, by subtracting and peeling; larger tables where that stalls.
 
-    The first tables are those of the larger set's fingerprint.
-    """
+def differences(a: list[Keys], b: list[Keys], first: list[Table] | None = None, second: list[Table] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """How many paragraphs the pairs of texts differ by, their lengths, and how many pairs needed larger tables than their fingerprints."""
+    first, second = first or tables(a), second or tables(b)
     out, length = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    one, two = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    begins = np.cumsum(one + two) - (one + two)
-    keys = np.concatenate([np.asarray(x, np.uint64) for pair in zip(a, b, strict=True) for x in pair] or [np.zeros(0, np.uint64)])
-    places, sums = _places(keys), splitmix(keys ^ _CHECK)
-    width = np.array([min(cells_of(n), most) for n in np.maximum(one, two).tolist()], np.int64)
-    todo = np.arange(len(a))
-    while len(todo):
-        stalled = []
-        for w in np.unique(width[todo]).tolist():
-            same = todo[width[todo] == w]
-            step = max(1, (1 << 20) // (3 * w))  # in parts whose tables fit in memory
-            for k in range(0, len(same), step):
-                some = same[k : k + step]
-                size = one[some] + two[some]
-                owner = np.repeat(np.arange(len(some)), size)
-                nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-                at = nth + np.repeat(begins[some], size)
-                sign = np.where(nth < one[some][owner], 1, -1)
-                n, size_of, ok = peel(*sketches(owner, keys[at], len(some), w, sign, places[at], sums[at]))
-                out[some[ok]], length[some[ok]] = n[ok], size_of[ok]
-                stalled.append(some[~ok])
-        todo = np.concatenate(stalled)
-        if len(todo) and (last := todo[width[todo] > most]).size:
-            for i in last:  # equal check sums of unequal digests: compare the digests themselves
-                apart = {int(v) for v in a[i]} ^ {int(v) for v in b[i]}
-                out[i], length[i] = len(apart), sum(v & _SIZE for v in apart)
-            todo = todo[width[todo] <= most]
-        width[todo] *= 2
-    return out, length
-
-
-def fingerprint_of(keys: list) -> list[str]:
-    """Number of digests and the table's cells (32-bit count, 64-bit XOR, 32-bit check XOR), base64."""
-    out = [""] * len(keys)
-    cell = np.dtype([("n", "<u4"), ("k", "<u8"), ("c", "<u4")])
-    size = np.array([cells_of(len(k)) for k in keys], np.int64)
-    for w in np.unique(size).tolist():
-        same = np.flatnonzero(size == w)
-        step = max(1, (1 << 20) // (3 * w))
-        for lo in range(0, len(same), step):
-            some = same[lo : lo + step].tolist()
-            owner = np.repeat(np.arange(len(some)), [len(keys[i]) for i in some])
-            count, key, check = sketches(owner, np.concatenate([np.asarray(keys[i], np.uint64) for i in some]), len(some), w)
-            table = np.zeros(count.shape, cell)
-            table["n"], table["k"], table["c"] = count, key, check & np.uint64(0xFFFFFFFF)
-            for i, t in zip(some, table, strict=True):
-                out[i] = f"{len(keys[i])}." + base64.b64encode(t.tobytes()).decode()
+    wide = np.array([[len(t[0]) // 3 for t in x] for x in (first, second)], np.int64).reshape(2, -1)
+    least, todo = wide.min(axis=0), []
+    for w in np.unique(least).tolist():
+        for some in _parts(np.flatnonzero(least == w), w):
+            one, two = ([folded(x[i], w) for i in some] for x in (first, second))
+            minus = [np.stack([x[0] - y[0] for x, y in zip(one, two, strict=True)]), *(np.stack([x[j] ^ y[j] for x, y in zip(one, two, strict=True)]) for j in (1, 2, 3))]
+            n, size, ok = peel(*minus)
+            out[some[ok]], length[some[ok]] = n[ok], size[ok]
+            todo.append(some[~ok])
+    left = np.concatenate(todo) if todo else np.zeros(0, np.int64)
+    stalled, width = len(left), 2 * wide.max(axis=0)
+    while len(left):
+        todo = []
+        for w in np.unique(width[left]).tolist():
+            for some in _parts(left[width[left] == w], w):
+                sizes = [len(x[i][0]) for i in some for x in (a, b)]
+                owner, sign = np.repeat(np.arange(len(some)), np.array(sizes).reshape(-1, 2).sum(axis=1)), np.repeat(np.resize([1, -1], len(sizes)), sizes)
+                n, size, ok = peel(*sketches(owner, *(np.concatenate([x[i][j] for i in some for x in (a, b)]) for j in (0, 1)), len(some), w, sign))
+                out[some[ok]], length[some[ok]] = n[ok], size[ok]
+                todo.append(some[~ok])
+        left = np.concatenate(todo)
+        for i in left[width[left] > LARGEST * (wide.max(axis=0)[left] + 1)]:  # unequal paragraphs with one digest never come apart
+            apart = set(zip(*(x.tolist() for x in a[i]), strict=True)) ^ set(zip(*(x.tolist() for x in b[i]), strict=True))
+            out[i], length[i] = len(apart), sum(s for _, s in apart)
+            left = left[left != i]
+        width[left] *= 2
+    return out, length, stalled
+
+
+def fingerprint_of(texts: list[Keys], made: list[Table] | None = None) -> list[str]:
+    """Number of paragraphs and the table's cells (count of 16 bits, of 32 from 2^15 paragraphs on; digests of 64, lengths of 32, check sums of 32 bits), base64."""
+    out = []
+    for (keys, _), t in zip(texts, made or tables(texts), strict=True):
+        cell = np.zeros(len(t[0]), np.dtype([("n", "<i2" if len(keys) < 1 << 15 else "<i4"), ("k", "<u8"), ("s", "<u4"), ("c", "<u4")]))
+        cell["n"], cell["k"], cell["s"], cell["c"] = t
+        out.append(f"{len(keys)}." + base64.b64encode(cell.tobytes()).decode())
     return out
 
 
-def likeness(a: list, b: list) -> np.ndarray:
-    size = lambda keys: float((np.asarray(keys, np.uint64) & np.uint64(_SIZE)).sum()) if len(keys) else 0.0
-    total = np.array([size(x) + size(y) for x, y in zip(a, b, strict=True)])
-    return np.where(total > 0, 1 - differences(a, b)[1] / np.maximum(total, 1), 1.0)
+def table_of(fingerprint: str) -> Table:
+    """The table of a fingerprint."""
+    n, data = fingerprint.split(".")
+    cell = np.frombuffer(base64.b64decode(data), np.dtype([("n", "<i2" if int(n) < 1 << 15 else "<i4"), ("k", "<u8"), ("s", "<u4"), ("c", "<u4")]))
+    return cell["n"].astype(np.int64), *(cell[c].astype(np.uint64) for c in "ksc")
+
+
+def likeness(a: list[Keys], b: list[Keys], first: list[Table] | None = None, second: list[Table] | None = None) -> np.ndarray:
+    total = np.array([float(x[1].sum() + y[1].sum()) for x, y in zip(a, b, strict=True)])
+    return np.where(total > 0, 1 - differences(a, b, first, second)[1] / np.maximum(total, 1), 1.0)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -201,11 +205,12 @@ def _rows(chunk: list[tuple[int | None, str]], following: str) -> pa.RecordBatch
     texts = [t for _, t in chunk]
     nexts = [*texts[1:], following]
     edited = [edited_text(t, x) for t, x in zip(texts, nexts, strict=True)]
-    own, new = ([np.array(digests(t), np.uint64) for t in x] for x in (texts, edited))
-    other = [*own[1:], np.array(digests(following), np.uint64)]
+    own, new = ([digests(t) for t in x] for x in (texts, edited))
+    other, own_tables, new_tables = [*own[1:], digests(following)], tables(own), tables(new)
+    other_tables = [*own_tables[1:], *tables(other[-1:])]
     sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
-    cols = [pa.array([i for i, _ in chunk], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(fingerprint_of(own), pa.string()), pa.array(fingerprint_of(new), pa.string())]
-    cols += [pa.array(likeness(own, new)), pa.array(likeness(own, other)), pa.array([len(k) for k in own], pa.int64())]
+    cols = [pa.array([i for i, _ in chunk], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(fingerprint_of(own, own_tables), pa.string()), pa.array(fingerprint_of(new, new_tables), pa.string())]
+    cols += [pa.array(likeness(own, new, own_tables, new_tables)), pa.array(likeness(own, other, own_tables, other_tables)), pa.array([len(k) for k, _ in own], pa.int64())]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
