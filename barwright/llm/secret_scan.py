@@ -6,7 +6,7 @@ more hold is a widely copied example, anything else looks like a live credential
 (assign, access, hex) are always reported; the further kinds are added where they look live. A private key is its whole
 block, and its hash that of the body; a header without a body is no key.
 
-Spans are in code points, end exclusive. A null text is empty, a null lang or source counts as one of its own. Repeated
+Spans are in code points, end exclusive. A null text is empty; a null source is the owner '', a null lang the empty one. Repeated
 rows are reported each. Overlapping spans of different kinds are all reported; redaction merges them. Empty tables
 give empty results; extra columns pass through redaction untouched, whatever their names.
 """

@@ -28,6 +28,26 @@ def test_inversion(spark):
     assert all(r["k"] == slow(r["u"], r["m"]) for r in df.collect())
 
 
+def test_high_rates_are_poisson(spark):
+    """Mean and variance are the rate, also where it is far above one part's."""
+    from pyspark.sql import functions as F
+
+    for rate in (0.0, 7.9, 8.1, 60.0, 900.0):
+        df = spark.range(4000).select(mixing.copies(F.concat(F.lit("s:"), F.col("id").cast("string")), F.lit(rate)).alias("k"))
+        mean, var = df.agg(F.avg("k"), F.var_samp("k")).first()
+        assert abs(mean - rate) <= 4 * math.sqrt(rate / 4000) and abs(var - rate) <= 5 * rate * math.sqrt(2 / 4000) + 5 * math.sqrt(rate / 4000)
+
+
+def test_high_rates_match_sql(spark, duck):
+    rows = [(i, "x" * (4000 if i < 3 else 2), "en", "big" if i < 3 else "small", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pdf = df.toPandas()  # noqa: F841  DuckDB finds it by name
+    duck.register("few", pdf)
+    want = sorted(r[0] for r in duck.execute(f"SELECT mix_key FROM ({mixing.oracle('few', temperature=0.0)})").fetchall())
+    got = sorted(r["mix_key"] for r in mixing.mixed(df, temperature=0.0).collect())
+    assert got == want and len(got) > 500
+
+
 def test_shares_follow_target_weights(spark):
     rows = [(i, "x" * 10, "en", "a" if i % 10 else "b") for i in range(20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
