@@ -120,7 +120,7 @@ a break &eacute;&#8212;and more words in it.</p><aside class="ad"><p>Buy now!</p
 
 def test_article_without_the_rest(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    field = html_text.field_from([r["html"] or "" for r in pages.limit(100).collect()], 300)
+    field = html_text.field_from([r["html"] or "" for r in pages.limit(150).collect()], 1500)  # as in production
     found = html_text.blocks(PAGE)
     text = "\n\n".join(b[2] for b, y in zip(found, field.decode(found), strict=True) if y)
     assert text == "A & B\n\nFirst paragraph with a break é—and more words in it.\n\nSecond one, which goes on for a while and ends here."
