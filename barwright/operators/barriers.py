@@ -61,6 +61,35 @@ def simulated(bars: DataFrame, signals: DataFrame, target: float, stop: float, m
     return one_at_a_time(signals.select(*keys, "symbol", "rn", "side").join(x, ["symbol", "rn", "side"]), (*keys, "symbol"))
 
 
+def simulated_each(bars: DataFrame, signals: DataFrame, keys: tuple[str, ...], longest: int) -> DataFrame:
+    """Trades as simulated(), of signals that bring their own target, stop (in ranges) and hold (in bars, at most longest).
+
+    An entry is raced once for each exit that is asked of it. Its bars come from its block of ``longest`` bar numbers and
+    the next, whatever its own hold.
+    """
+    w = Window.partitionBy("symbol").orderBy("rn")
+    ahead = bars.select("symbol", "rn", "atr14", F.lead("open").over(w).alias("_open"), F.lead("spread").over(w).alias("_spread"), F.lead("rn", 2).over(w).alias("_third"))
+    own = ["symbol", "rn", "side", "target", "stop", "hold"]
+    e = signals.select(*own).distinct().join(ahead.where("atr14 > 0 AND _third IS NOT NULL"), ["symbol", "rn"])
+    long = F.col("side") > 0
+    e = e.withColumn("entry", F.col("_open") + F.when(long, F.col("_spread")).otherwise(0.0)).drop("_open", "_spread", "_third")
+    e = e.withColumns({"_target": F.col("entry") + F.col("side") * F.col("target") * F.col("atr14"), "_stop": F.col("entry") - F.col("side") * F.col("stop") * F.col("atr14")})
+    blocks = F.array_distinct(F.array(F.floor((F.col("rn") + 1) / longest), F.floor((F.col("rn") + F.col("hold")) / longest)))
+    b = bars.select(F.col("symbol").alias("_s"), F.col("rn").alias("_rn"), "high", "low", "close", F.col("spread").alias("_sp"), F.floor(F.col("rn") / longest).alias("_b"))
+    j = e.withColumn("_block", F.explode(blocks)).join(b, (F.col("symbol") == F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_rn") > F.col("rn")) & (F.col("_rn") <= F.col("rn") + F.col("hold")))
+    up = F.when(long, F.lit(0.0)).otherwise(F.col("_sp"))
+    stopped = F.when(long, F.col("low") <= F.col("_stop")).otherwise(F.col("high") + F.col("_sp") >= F.col("_stop"))
+    won = F.when(long, F.col("high") >= F.col("_target")).otherwise(F.col("low") + F.col("_sp") <= F.col("_target"))
+    first = lambda c: F.min(F.when(c, F.col("_rn")))
+    r = j.groupBy(*own, "entry", "atr14").agg(first(stopped).alias("_s"), first(won).alias("_t"), first(stopped & won).alias("_w"), F.max("_rn").alias("_last"), F.max_by(F.col("close") + up, "_rn").alias("_close"))
+    lost = F.col("_s").isNotNull() & (F.col("_t").isNull() | (F.col("_s") <= F.col("_t")))
+    r = r.withColumn("outcome", F.when(lost, -1).when(F.col("_t").isNotNull(), 1).otherwise(0))
+    r = r.withColumn("exit_rn", F.when(F.col("outcome") < 0, F.col("_s")).when(F.col("outcome") > 0, F.col("_t")).otherwise(F.col("_last")))
+    moved = F.when(F.col("outcome") > 0, F.col("target")).when(F.col("outcome") < 0, -F.col("stop")).otherwise(F.col("side") * (F.col("_close") - F.col("entry")) / F.col("atr14"))
+    x = r.select(*own, "exit_rn", "outcome", F.coalesce(F.col("_w") <= F.col("exit_rn"), F.lit(False)).alias("both"), (moved / F.col("stop")).alias("r"))
+    return one_at_a_time(signals.select(*keys, *own).join(x, own), (*keys, "symbol"))
+
+
 def screened(trades: DataFrame, *keys: str) -> DataFrame:
     """Figures of simulated trades: counts, win rate, R, profit factor (null without a loss), drawdown in R, bars held, timeouts, sides."""
     w = Window.partitionBy(*keys).orderBy("rn")

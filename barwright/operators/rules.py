@@ -90,6 +90,15 @@ def features(bars: DataFrame) -> DataFrame:
     return x.withColumns(lags | {"rsi_1": F.lag("rsi14").over(w), "range_min7_1": F.lag("_min7").over(w), "squeeze_1": F.lag("_squeeze").over(w)}).drop("_min7", "_squeeze")
 
 
+def every_feature(bars: DataFrame, chunk: int = 30 * 86_400) -> DataFrame:
+    """What RULES and STATE_RULES name, with the indicators computed once."""
+    w = series()
+    x = staged(features(bars), "features")
+    x = parabolic_sar(averages(x, [ema("ema7", "close", 7), ema("ema21", "close", 21)], chunk))
+    x = x.withColumns({"hh5": rolled(F.max("high"), "high", 5, w), "ll5": rolled(F.min("low"), "low", 5, w), "volume_mean20": rolled(F.avg("tick_volume"), "tick_volume", 20, w)})
+    return structure(staged(x.drop("rn"), "state"))
+
+
 def signals(featured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """symbol, time, rule, family, signal: a row for each rule that fires. One pass over the bars, no join."""
     side = lambda r: F.when(F.coalesce(F.expr(r.short), F.lit(False)), -1).when(F.coalesce(F.expr(r.long), F.lit(False)), 1).otherwise(0)
