@@ -18,13 +18,8 @@ _FIRST = registry.candidates()
 _OLD = ", ".join(f"('{i}', '{r}', {registry.HOURS[s][0]}, {registry.HOURS[s][1]}, {t}e0, {x}e0)" for i, r, s, t, x in _FIRST)
 _NEW = ", ".join(f"('{c['id']}', '{c['session'].lower()}', {c['target']}e0, {c['stop']}e0, {c['hold']})" for c in _LISTED)
 _WITHIN = "CASE c.session " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in _IN.items()) + " END"
-_SCREENED = f"""{_FEAT}, {_SIGS}, {_STATE.removeprefix(_ALL + ', ')}, {_LIB.removeprefix(_ALL + ', ')}, {_FIRED}, {_WRAPPED}, {_BARS},
-old(id, rule, a, b, target, stop) AS (VALUES {_OLD}), new(id, session, target, stop, hold) AS (VALUES {_NEW}),
-every AS (SELECT o.id, s.symbol, b.rn, s.signal AS side, o.target, o.stop, {HOLD} AS hold FROM (SELECT symbol, time, rule, signal FROM sigs UNION ALL SELECT symbol, time, rule, signal FROM ss) s JOIN old o ON o.rule = s.rule JOIN bb b ON b.symbol = s.symbol AND b.time = s.time
-WHERE s.signal <> 0 AND b.rn > {WARM_UP} AND ((s.time + 19800) % 86400) / 3600.0 >= o.a AND ((s.time + 19800) % 86400) / 3600.0 < o.b
-UNION ALL SELECT c.id, s.symbol, b.rn, s.signal, c.target, c.stop, c.hold FROM (SELECT symbol, time, id, signal FROM l1 UNION ALL SELECT symbol, time, id, signal FROM l3) s JOIN new c ON c.id = s.id JOIN bb b ON b.symbol = s.symbol AND b.time = s.time JOIN x1 ON x1.symbol = s.symbol AND x1.time = s.time
-WHERE b.rn > {WARM_UP} AND {_WITHIN.replace("hr ", "x1.hr ")}),
-asked AS (SELECT DISTINCT s.symbol, s.rn, s.side, s.target, s.stop, s.hold, b.o1 + CASE WHEN s.side > 0 THEN b.sp1 ELSE 0 END AS entry, b.atr14 AS a FROM every s JOIN bb b ON b.symbol = s.symbol AND b.rn = s.rn WHERE b.atr14 > 0 AND b.third IS NOT NULL),
+#: From signals (id, symbol, rn, side, target, stop, hold) in every, and bars in bb, to trades, one at a time.
+_EXITS = """asked AS (SELECT DISTINCT s.symbol, s.rn, s.side, s.target, s.stop, s.hold, b.o1 + CASE WHEN s.side > 0 THEN b.sp1 ELSE 0 END AS entry, b.atr14 AS a FROM every s JOIN bb b ON b.symbol = s.symbol AND b.rn = s.rn WHERE b.atr14 > 0 AND b.third IS NOT NULL),
 met AS (SELECT e.*, b.rn AS j, b.close + CASE WHEN e.side > 0 THEN 0 ELSE b.spread END AS c, CASE WHEN e.side > 0 THEN b.low <= e.entry - e.stop * e.a ELSE b.high + b.spread >= e.entry + e.stop * e.a END AS s, CASE WHEN e.side > 0 THEN b.high >= e.entry + e.target * e.a ELSE b.low + b.spread <= e.entry - e.target * e.a END AS t FROM asked e JOIN bb b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + e.hold),
 ran AS (SELECT symbol, rn, side, target, stop, hold, any_value(entry) AS entry, any_value(a) AS a, min(j) FILTER (s) AS sj, min(j) FILTER (t) AS tj, min(j) FILTER (s AND t) AS bj, max(j) AS lj, arg_max(c, j) AS lc FROM met GROUP BY ALL),
 out AS (SELECT *, CASE WHEN sj <= coalesce(tj, sj) THEN -1 WHEN tj IS NOT NULL THEN 1 ELSE 0 END AS outcome FROM ran),
@@ -32,6 +27,13 @@ oth AS (SELECT *, CASE outcome WHEN -1 THEN sj WHEN 1 THEN tj ELSE lj END AS exi
 joi AS (SELECT e.id, e.symbol, e.rn, e.side, o.outcome, o.exit_rn, o.r, coalesce(o.bj <= o.exit_rn, false) AS amb FROM every e JOIN oth o ON o.symbol = e.symbol AND o.rn = e.rn AND o.side = e.side AND o.target = e.target AND o.stop = e.stop AND o.hold = e.hold),
 nxt AS (SELECT a.*, (SELECT min(b.rn) FROM joi b WHERE b.id = a.id AND b.symbol = a.symbol AND b.rn > a.exit_rn) AS nx, row_number() OVER (PARTITION BY id, symbol ORDER BY rn) AS k FROM joi a),
 trd AS (SELECT id, symbol, rn, side, outcome, exit_rn, r, amb, nx FROM nxt WHERE k = 1 UNION ALL SELECT n.id, n.symbol, n.rn, n.side, n.outcome, n.exit_rn, n.r, n.amb, n.nx FROM trd g JOIN nxt n ON n.id = g.id AND n.symbol = g.symbol AND n.rn = g.nx)"""
+_SCREENED = f"""{_FEAT}, {_SIGS}, {_STATE.removeprefix(_ALL + ', ')}, {_LIB.removeprefix(_ALL + ', ')}, {_FIRED}, {_WRAPPED}, {_BARS},
+old(id, rule, a, b, target, stop) AS (VALUES {_OLD}), new(id, session, target, stop, hold) AS (VALUES {_NEW}),
+every AS (SELECT o.id, s.symbol, b.rn, s.signal AS side, o.target, o.stop, {HOLD} AS hold FROM (SELECT symbol, time, rule, signal FROM sigs UNION ALL SELECT symbol, time, rule, signal FROM ss) s JOIN old o ON o.rule = s.rule JOIN bb b ON b.symbol = s.symbol AND b.time = s.time
+WHERE s.signal <> 0 AND b.rn > {WARM_UP} AND ((s.time + 19800) % 86400) / 3600.0 >= o.a AND ((s.time + 19800) % 86400) / 3600.0 < o.b
+UNION ALL SELECT c.id, s.symbol, b.rn, s.signal, c.target, c.stop, c.hold FROM (SELECT symbol, time, id, signal FROM l1 UNION ALL SELECT symbol, time, id, signal FROM l3) s JOIN new c ON c.id = s.id JOIN bb b ON b.symbol = s.symbol AND b.time = s.time JOIN x1 ON x1.symbol = s.symbol AND x1.time = s.time
+WHERE b.rn > {WARM_UP} AND {_WITHIN.replace("hr ", "x1.hr ")}),
+{_EXITS}"""
 _PF = "CASE WHEN sum(r) FILTER (r < 0) < 0 THEN coalesce(sum(r) FILTER (r > 0), 0) / -sum(r) FILTER (r < 0) WHEN coalesce(sum(r) FILTER (r > 0), 0) = 0 THEN 0.0 END"
 
 

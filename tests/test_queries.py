@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from barwright.plans import library, live, market, portfolio, reports, research, screens, series, sources, strategies, streams  # noqa: F401
+from barwright.plans import library, live, market, portfolio, reports, research, screens, series, sources, strategies, streams, validation  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
