@@ -111,6 +111,6 @@ def debounced(sig: DataFrame, bars_apart: int, keys: tuple[str, ...] = ("symbol"
     return spaced(sig, list(keys), "rn", None, bars_apart)
 
 
-def library_summary(rules: list[Rule], spark) -> DataFrame:
-    """Rules by family, and in all (family null)."""
-    return spark.createDataFrame([(r.name, r.family) for r in rules], "rule string, family string").rollup("family").count()
+def library_summary(sig: DataFrame) -> DataFrame:
+    """What a library fires by family, and in all (family null): rules, signals, longs, symbols."""
+    return sig.rollup("family").agg(F.count_distinct("rule").alias("rules"), F.count(F.lit(1)).alias("signals"), F.count_if(F.col("signal") > 0).alias("longs"), F.count_distinct("symbol").alias("symbols"))

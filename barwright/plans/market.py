@@ -287,9 +287,9 @@ def _(spark, d):
     return rules.signals(rules.features(hourly(spark, d)))
 
 
-@query("rule_library", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {n})" for f, n in sorted({f: sum(r.family == f for r in rules.RULES) for f in {r.family for r in rules.RULES}}.items())) + f", (NULL, {len(rules.RULES)})) t(family, \"count\")")
+@query("rule_library", f"WITH {_FEAT}, {_SIGS} SELECT family, count(DISTINCT rule) AS rules, count(*) AS signals, count(*) FILTER (signal > 0) AS longs, count(DISTINCT symbol) AS symbols FROM sigs WHERE signal <> 0 GROUP BY ROLLUP (family)", "hours", "candles")
 def _(spark, d):
-    return rules.library_summary(rules.RULES, spark)
+    return rules.library_summary(rules.signals(rules.features(hourly(spark, d))))
 
 
 _NUM = f"WITH {_ALL}, nb AS (SELECT *, row_number() OVER ({_PART}) AS rn, lead(open) OVER ({_PART}) AS entry FROM ind)"
