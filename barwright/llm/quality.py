@@ -180,7 +180,7 @@ def estimates(fitted: DataFrame, support: float = 0.75, tolerance: float = 0.01,
     """(scales, model): each group's medians t and scales w of the statistics, and its estimate of the scaled ones.
 
     fitted: g_lang, g_source and the statistics. tolerance: a fall of the logarithm of the determinant that is none (quantiles are sketched within 0.1 %).
-    steps: beyond so many steps an error is raised.
+    steps: an estimate that still falls after so many steps is taken as it is. One whose determinant would rise stays as it was.
     """
     names, group = list(FEATURES), ["g_lang", "g_source"]
     spread = lambda i: (F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349  # noqa: E731  a normal row's deviation by the quartiles
@@ -213,8 +213,9 @@ def estimates(fitted: DataFrame, support: float = 0.75, tolerance: float = 0.01,
         if not going.take(1):
             return scales, done
         model = step(going)
-        done = done.union(model.where(F.col("fall") <= tolerance))
-    raise RuntimeError("the determinants did not settle")
+        rose = going.join(model.where("fall < 0").select(*KEYS), KEYS, "left_semi").select(*going.columns)
+        done = done.union(model.where((F.col("fall") >= 0) & (F.col("fall") <= tolerance))).union(rose)
+    return scales, done.union(model.where(F.col("fall") > tolerance))
 
 
 def judged(docs: DataFrame, keep: list[str], support: float = 0.75, false_share: float = 1e-9, min_group: int = 200) -> DataFrame:
