@@ -14,7 +14,7 @@ at least the threshold; sets without n-grams are alike to each other only.
 4. Components of the forests are the classes.
 
 Nulls: a null text is empty; a null id is allowed and never a class's id if the class has another. Repeated rows are
-rows of one node. Empty tables give empty results. Extra columns are ignored.
+rows of one node; of rows that are equal in id, text, lang and source, one stands for all (``one_of_each`` keeps one of them). Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import ship, sliced, small, staged, string_list
@@ -183,11 +183,17 @@ def _products(left: list[np.ndarray], right: list[np.ndarray], columns: int = 81
     return both.astype(np.int64)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of a row's id, text, and lang and source where it has them."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    own = [text(c) for c in ("lang", "source") if c in docs.columns]
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), *own, F.coalesce("text", F.lit("")))))
+
+
 def signed_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, row_key (of id and text), node, bands, grams: staged."""
+    """doc_id, row_key, node, bands, grams: staged."""
     ship(docs.sparkSession)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    read = read.select("doc_id", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))).alias("row_key"), "text")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     return staged(read.mapInArrow(lambda it: _signed(it, bands, rows), "doc_id long, row_key binary, node binary, bands array<long>, grams long"), "minhash")
 
 
@@ -210,8 +216,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.999
     sizes = cand.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("grams").alias("all_grams"))
     placed = cand.join(sizes, "root").withColumn("n_blocks", F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("all_grams") / block_grams), F.lit(1)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).checkpoint()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))).alias("row_key"), "text")
+    texts = docs.select(_row_key(docs).alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     # few candidates go to the texts; many meet them by a shuffle
     with_text = texts.join(small(placed.withColumn("row_key", F.col("rep.row_key"))), "row_key").dropDuplicates(["row_key"])
     tasks = with_text.select(
@@ -251,5 +256,5 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0
     while name in docs.columns:
         name += "_"
     kept = nodes.where(F.col("rep_key").isNotNull()).select(F.col("rep_key").alias(name))
-    keyed = docs.withColumn(name, F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))))
+    keyed = docs.withColumn(name, _row_key(docs))
     return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

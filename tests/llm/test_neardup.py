@@ -70,3 +70,14 @@ def test_odd_rows(odd):
     one = neardup.one_of_each(odd)
     assert one.columns == odd.columns and one.count() == len({c for _, c, _ in brute(rows)})
     assert neardup.joined(odd.limit(0)).count() == 0 and neardup.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_and_text_keep_the_same_row(spark):
+    """Rows that differ in lang or source alone: which one stays doesn't depend on their order."""
+    rows = [(1, "one two three four five six seven", lang, source, 33) for lang in ("en", "de", None) for source in ("a", "b", None)]
+    kept = set()
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        got = neardup.one_of_each(spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)).collect()
+        assert len(got) == 1
+        kept.add((got[0]["lang"], got[0]["source"]))
+    assert len(kept) == 1
