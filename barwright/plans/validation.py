@@ -86,7 +86,7 @@ def _(spark, d):
     return out.withColumn("stands", F.round("profit_factor", 6) > 1.2)
 
 
-@query("cost_stress", " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_tried('(1, 3e0, 1.5e0)').replace('0.01 * (tick_volume % 5) AS spread', f'{m}e0 * (0.01 * (tick_volume % 5)) AS spread')} SELECT {m}e0 AS cost, {_STATS} FROM trd)" for m in COSTS), "hours", "candles")
+@query("cost_stress", " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_tried('(1, 3e0, 1.5e0)').replace('0.01 * (tick_volume % 5) AS spread', f'{m}e0 * (0.01 * (tick_volume % 5)) AS spread')} SELECT {m}e0 AS cost, {_STATS} FROM trd HAVING count(*) > 0)" for m in COSTS), "hours", "candles")
 def _(spark, d):
     bars, s = _signals(spark, d)
     return _stats(validation.cost_stress(bars, s.withColumns({"target": F.lit(3.0), "stop": F.lit(1.5)}), list(COSTS), GRID_HOLD), "cost")
