@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,6 +85,14 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, chars: int = 2_000_00
             lo = hi
 
 
+def give_back() -> None:
+    """Returns the worker's free memory to the system: workers live on between stages, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df, hinted for broadcast where it has at most so many rows; else Spark joins it by a shuffle and splits hot keys. df is staged or checkpointed, so that counting it is cheap."""
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).groupBy().count().where(F.col("count") <= most).take(1)) else df

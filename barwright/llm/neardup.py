@@ -19,7 +19,6 @@ rows of one node; of rows that are equal in id, text, lang and source, one stand
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import ship, sliced, small, staged, string_list
+from barwright.llm.common import give_back, ship, sliced, small, staged, string_list
 from barwright.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -91,14 +90,6 @@ class MinHash:
         return key.view(np.int64)
 
 
-def _give_back() -> None:
-    """Returns the worker's free memory to the system: workers live on between stages, beside the JVM's heap."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
@@ -112,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             [b.column("doc_id"), b.column("row_key"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())],
             names=["doc_id", "row_key", "node", "bands", "grams"],
         )
-    _give_back()
+    give_back()
 
 
 def _verify(texts: list[str], keys: list[bytes], weights: list[int], blocks: list[int], pair: tuple[int, int], mh: MinHash, threshold: float) -> tuple[np.ndarray, list[int]]:
@@ -240,7 +231,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = 0.999
         links, roots = _verify(pdf["text"].tolist(), pdf["node"].tolist(), pdf["members"].tolist(), pdf["block"].tolist(), (key[1], key[2]), mh, threshold)
         out = pd.DataFrame({"node": pdf["node"], "root": pdf["node"].iloc[roots].to_numpy(), "links": links, "split": (pdf["n_blocks"] > 1).to_numpy()})
         if len(pdf) >= 128:
-            _give_back()
+            give_back()
         return out
 
     verified = tasks.groupBy("root", "lo", "hi").applyInPandas(verify, "node binary, root binary, links long, split boolean").checkpoint()

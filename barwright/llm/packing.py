@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barwright.llm.common import ship, sliced, string_list
+from barwright.llm.common import give_back, ship, sliced, string_list
 from barwright.llm.tokens import encode, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
@@ -34,9 +34,14 @@ class Bm25:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = len(lengths)
-        doc = np.repeat(np.arange(n, dtype=np.uint64), lengths)
-        pairs, tf = np.unique(doc << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
-        d, t = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        # pairs of document and id, in place and in numbers of 32 bits from there on: a shard's memory is two workers' at once
+        pairs = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), lengths)
+        pairs |= ids.astype(np.uint32, copy=False)
+        pairs.sort()
+        new = np.flatnonzero(np.concatenate([[len(pairs) > 0], pairs[1:] != pairs[:-1]]))
+        tf, pairs = np.diff(new, append=len(pairs)), pairs[new]
+        d, t = (pairs >> np.uint64(32)).astype(np.int32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        del pairs, new
         vocabulary = int(t.max()) + 1 if len(t) else 1
         df = np.bincount(t, minlength=vocabulary)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
@@ -158,16 +163,18 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
         sequence = TaskContext.get().partitionId() << 36
         for doc_ids, texts in _shards(batches, shard_docs, shard_chars):
             ids, lengths = encode(path, texts, end_id, True)
+            texts.clear()
+            give_back()
             begins = np.cumsum(lengths) - lengths
             pieces = np.array(pack(Bm25(ids, lengths), lengths, window), np.int64).reshape(-1, 6)
-            raw = ids.astype("<u4").tobytes()
-            at = (begins[pieces[:, 0]] + pieces[:, 1]) * 4
-            crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), pieces[:, 2].tolist(), strict=True)]
+            raw = ids.astype("<u4", copy=False)
+            at = begins[pieces[:, 0]] + pieces[:, 1]
+            crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), pieces[:, 2].tolist(), strict=True)]
             cols = [pa.array([doc_ids[d] for d in pieces[:, 0].tolist()], pa.int64()), pa.array(pieces[:, 1]), pa.array(pieces[:, 2]), pa.array(crc, pa.int64()), pa.array(lengths[pieces[:, 0]])]
             cols += [pa.array(pieces[:, 3] + sequence), pa.array(pieces[:, 4]), pa.array([doc_ids[d] for d in pieces[:, 5].tolist()], pa.int64())]
             names = SCHEMA.replace(" long", "").split(", ")
             if with_ids:
-                cols.append(pa.array([ids[a // 4 : a // 4 + n].astype(np.int32) for a, n in zip(at.tolist(), pieces[:, 2].tolist(), strict=True)], pa.list_(pa.int32())))
+                cols.append(pa.array([ids[a : a + n].astype(np.int32) for a, n in zip(at.tolist(), pieces[:, 2].tolist(), strict=True)], pa.list_(pa.int32())))
                 names = [*names, "ids"]
             sequence += int(pieces[-1, 3]) + 1 if len(pieces) else 0
             yield pa.RecordBatch.from_arrays(cols, names=names)
