@@ -116,11 +116,30 @@ def momentum_flip(g: Graph) -> tuple[str, str]:
     return f"{before} < 0 AND trend > 0", f"{before} > 0 AND trend < 0"
 
 
+def asia_sweep(g: Graph) -> tuple[str, str]:
+    """Through an edge of the morning's range and back inside by the close."""
+    gate = "range_bars >= 4 AND atr14 > 0 AND range_high - range_low >= 0.3 * atr14"
+    return f"{gate} AND low < range_low AND close > range_low", f"{gate} AND high > range_high AND close < range_high"
+
+
+def session_mean(g: Graph) -> tuple[str, str]:
+    """Far from the mean of the evening's closes so far."""
+    gate, far = "evening_bars >= 4 AND evening_sd >= 0.5", "(close - evening_mean) / nullif(evening_sd, 0)"
+    return f"{gate} AND {far} < -1.7 AND rsi14 < 35", f"{gate} AND {far} > 1.7 AND rsi14 > 65"
+
+
+def day_raid(g: Graph) -> tuple[str, str]:
+    """Beyond an extreme of the calendar day before and back, unless price has run far from its average."""
+    gate = "day_bars >= 4 AND atr14 > 0 AND coalesce(abs(close - ema20) <= 3 * atr14, true)"
+    return f"{gate} AND low < day_low - 0.05 * atr14 AND close > day_low", f"{gate} AND high > day_high + 0.05 * atr14 AND close < day_high"
+
+
 STRATEGIES = [
     Strategy("trend_pullback", trend_pullback, (11.5, 21.5), "edge"), Strategy("band_reversion", band_reversion, (17.5, 21.5)), Strategy("session_breakout", session_breakout, (11.5, 13.5), "edge"),
     Strategy("asia_volatile_break", asia_volatile_break, (11.5, 23.5), "ist"), Strategy("daily_open_momentum", daily_open_momentum, (5.5, 23.5), "utc"), Strategy("open_drive", open_drive, (12.5, 13.5)),
     Strategy("range_fade", range_fade, (2.0, 9.0)), Strategy("overlap_momentum", overlap_momentum, (18.0, 22.0)), Strategy("keltner_break", keltner_break), Strategy("macd_cross", macd_cross), Strategy("volume_pullback", volume_pullback, (15.5, 21.5)),
     Strategy("ribbon", ribbon), Strategy("ribbon_asia", ribbon, (2.5, 11.5), "edge"), Strategy("previous_day_break", previous_day_break), Strategy("morning_range_break", morning_range_break), Strategy("trend_flip", trend_flip), Strategy("momentum_flip", momentum_flip, (11.5, 15.5)),
+    Strategy("asia_sweep", asia_sweep, (11.5, 15.5)), Strategy("session_mean", session_mean, (17.5, 21.5)), Strategy("day_raid", day_raid, (11.5, 21.5)),
 ]
 
 
@@ -137,6 +156,11 @@ def _days(x: DataFrame) -> DataFrame:
     ist = x.where(asia).groupBy(F.col("symbol").alias("_k"), F.col("ist_day").alias("_d")).agg(F.max("high").alias("asia_high"), F.min("low").alias("asia_low"), F.count(F.lit(1)).alias("asia_bars"))
     x = x.join(utc, F.col("symbol").eqNullSafe(F.col("_k")) & (F.col("utc_day") == F.col("_d"))).drop("_k", "_d")
     x = x.join(ist, F.col("symbol").eqNullSafe(F.col("_k")) & (F.col("ist_day") == F.col("_d")), "left").drop("_k", "_d")
+    day = x.groupBy(F.col("symbol").alias("_k"), (F.col("ist_day") + 1).alias("_d")).agg(F.max("high").alias("day_high"), F.min("low").alias("day_low"), F.count(F.lit(1)).alias("day_bars"))
+    x = x.join(day, F.col("symbol").eqNullSafe(F.col("_k")) & (F.col("ist_day") == F.col("_d")), "left").drop("_k", "_d")
+    evening = F.col("ist_hour") >= 17.5
+    so_far = Window.partitionBy("symbol", "ist_day", evening).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({n: F.when(evening, f.over(so_far)) for n, f in (("evening_mean", F.avg("close")), ("evening_sd", F.stddev_pop("close")), ("evening_bars", F.count(F.lit(1))))})
     # a bar of the session itself doesn't know the session's range
     return x.withColumns({c: F.when(F.col("ist_hour") >= 11.5, F.col(c)) for c in ("asia_high", "asia_low", "asia_bars")})
 
