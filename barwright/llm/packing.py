@@ -34,7 +34,7 @@ class Bm25:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, k1: float = 1.2, b: float = 0.75):
         n = len(lengths)
-        # pairs of document and id, in place and in numbers of 32 bits from there on: a shard's memory is two workers' at once
+        # pairs of document and id, in place and in numbers of 32 bits until the index stands (which is read as whole words): a shard's memory is two workers' at once
         pairs = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), lengths)
         pairs |= ids.astype(np.uint32, copy=False)
         pairs.sort()
@@ -46,9 +46,9 @@ class Bm25:
         df = np.bincount(t, minlength=vocabulary)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[d] / max(lengths.mean(), 1)))
-        self.n, self.forward, self.terms, self.term_weight = n, np.searchsorted(d, np.arange(n + 1)), t, weight
+        self.n, self.forward, self.terms, self.term_weight = n, np.searchsorted(d, np.arange(n + 1)), t.astype(np.int64), weight
         order = np.argsort(t, kind="stable")
-        self.docs, self.weights, self.begins = d[order], weight[order], np.concatenate([[0], np.cumsum(df)])
+        self.docs, self.weights, self.begins = d[order].astype(np.int64), weight[order], np.concatenate([[0], np.cumsum(df)])
         # terms that more than a quarter of the documents have are rows of a matrix (at most 4 times as many as a document has terms); the others are posting lists
         often = np.flatnonzero(df * 4 > n)
         self.row = np.full(vocabulary, -1)
