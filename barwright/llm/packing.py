@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from barwright.llm.common import ship, sliced, string_list
+from barwright.llm.common import give_back, ship, sliced, string_list
 from barwright.llm.tokens import encode, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
@@ -164,6 +164,7 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
         for doc_ids, texts in _shards(batches, shard_docs, shard_chars):
             ids, lengths = encode(path, texts, end_id, True)
             texts.clear()
+            give_back()
             begins = np.cumsum(lengths) - lengths
             pieces = np.array(pack(Bm25(ids, lengths), lengths, window), np.int64).reshape(-1, 6)
             raw = ids.astype("<u4", copy=False)
