@@ -37,38 +37,56 @@ class Processor(StatefulProcessor):
 
 
 class FirstSeen(Processor):
-    """Passes a key's row unless one passed less than ``seconds`` before. A timer clears the state of a key that stays away."""
+    """Passes a key's row unless one passed less than ``seconds`` before.
 
-    out = ("key", "t", "seq")
+    A state holds the keys of one bucket that passed within those seconds; the older ones go with each batch, and by a timer
+    where no batch comes.
+    """
+
+    order, out = ("ts", "seq"), ("key", "t", "seq")
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "at long")
+        self.handle, self.seen = handle, handle.getListState("seen", "key string, at long")
+
+    def keep(self, seen: dict[str, int], timerValues) -> None:  # noqa: N803
+        """Holds what can still stop a row: none comes from before the watermark."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = [(k, at) for k, at in seen.items() if (at + self.seconds) * 1000 > mark]
+        if held:
+            self.seen.put(held)
+            self.handle.registerTimer((max(at for _, at in held) + self.seconds) * 1000)
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, kept = (_value(self.seen) or (None,))[0], []
-        for t, seq in self.frame(rows)[["t", "seq"]].itertuples(index=False):
+        seen, kept = dict(map(tuple, self.seen.get())) if self.seen.exists() else {}, []
+        frame = self.frame(rows)
+        for k, t, seq in zip(frame["key"].tolist(), frame["t"].tolist(), frame["seq"].tolist(), strict=True):
+            last = seen.get(k)
             if last is None or t - last >= self.seconds:
-                last = int(t)
-                kept.append((key[0], last, int(seq)))
-        self.seen.update((last,))
-        if kept:
-            self.handle.registerTimer((last + self.seconds) * 1000)
+                seen[k] = t
+                kept.append((k, t, seq))
+        self.keep(seen, timerValues)
         yield self.result(kept)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # a later row may have passed since the timer was set
-        if (last := _value(self.seen)) and (last[0] + self.seconds) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
+        # later rows may have passed since the timer was set
+        if self.seen.exists():
+            self.keep(dict(map(tuple, self.seen.get())), timerValues)
         yield self.result([])
 
 
-def first_seen(rows: DataFrame, keys: list[str], seconds: int, late: str = "10 minutes") -> DataFrame:
-    """rows (ts, t: its epoch seconds, seq and keys) of a stream without those that repeat a key within so many seconds: key, t, seq."""
+def first_seen(rows: DataFrame, keys: list[str], seconds: int, late: str = "10 minutes", buckets: int = 64) -> DataFrame:
+    """rows (ts, t: its epoch seconds, seq and keys) of a stream without those that repeat a key within so many seconds: key, t, seq.
+
+    A call of a processor costs tens of milliseconds, so that keys share ``buckets`` states.
+    """
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]).alias("key")
-    return rows.withWatermark("ts", late).select("ts", key, "t", "seq").groupBy("key").transformWithStateInPandas(FirstSeen(seconds), "key string, t long, seq long", "Append", "EventTime")
+    x = rows.withWatermark("ts", late).select("ts", key, "t", "seq").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return x.groupBy("bucket").transformWithStateInPandas(FirstSeen(seconds), "key string, t long, seq long", "Append", "EventTime")
 
 
 #: Limits of the risk gate; fixed values.

@@ -52,6 +52,14 @@ def test_duplicates_expire(spark, batches):
     assert sorted(t - MONDAY for k, t in got if k.endswith("0")) == [0, 7200, 40_000] and len(got) == 6
 
 
+def test_duplicates_of_many_keys_in_order_of_time(spark):
+    """The earliest row of a second passes, not the least seq; keys that share a state don't stop each other."""
+    rows = [(MONDAY + 0.9, MONDAY, 2 * k, k) for k in range(300)] + [(MONDAY + 0.1, MONDAY, 2 * k + 1, k) for k in range(300)] + [(MONDAY + 7200.5, MONDAY + 7200, 1000 + k, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "s double, t long, seq long, k long").select(F.timestamp_seconds("s").alias("ts"), "t", "seq", "k")
+    got = plans.replayed(df, "ts", lambda s: live.first_seen(s, ["k"], 7200), 2).collect()
+    assert sorted((int(r["key"]), r["seq"]) for r in got) == sorted([(k, 2 * k + 1) for k in range(300)] + [(k, 1000 + k) for k in range(300)])
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_confirmations(spark, batches):
     bars = [(0, 10.0, 1), (1, 11.0, 0), (2, 11.0, -1), (3, 11.5, 1), (4, 11.5, 1), (9, 20.0, 0), (10, 21.0, -1)]
