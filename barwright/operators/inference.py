@@ -16,55 +16,135 @@ from barwright.functions.numeric import correlation
 EULER = 0.5772156649015329
 
 
-def mixed(trade: np.ndarray, sim: np.ndarray) -> np.ndarray:
-    """32 bits for each pair of a trade's number and a simulation's, by products below 2^63 and shifts that any engine has."""
-    h = ((trade % 2147483647) * 1103515245 + 12345) % 2147483648 ^ (sim * 69069 + 362437) % 2147483648
+def seeds(trade: np.ndarray) -> np.ndarray:
+    """What a trade's number brings to mixed(): 31 bits."""
+    return (((trade % 2147483647) * 1103515245 + 12345) % 2147483648).astype(np.uint32)
+
+
+def mixed(seed: np.ndarray, sim: np.ndarray, out: np.ndarray | None = None, spare: np.ndarray | None = None) -> np.ndarray:
+    """32 bits for each pair of a trade's seeds() and a simulation's number, by products and shifts that any engine has; here they wrap at 32 bits."""
+    h = np.bitwise_xor(seed, ((np.asarray(sim, np.int64) * 69069 + 362437) % 2147483648).astype(np.uint32), out=out)
+    spare = np.empty_like(h) if spare is None else spare
     for a, c, shift in ((1664525, 1013904223, 15), (22695477, 1, 13), (1103515245, 12345, 16)):
-        h = (h * a + c) % 4294967296
-        h = h ^ (h >> shift)
+        np.multiply(h, np.uint32(a), out=h)
+        np.add(h, np.uint32(c), out=h)
+        np.bitwise_xor(h, np.right_shift(h, np.uint32(shift), out=spare), out=h)
     return h
 
 
+class Fall:
+    """Largest fall of a balance from its peak (or that fall over the peak) and least balance, of results that come in pieces.
+
+    A row of 64 balances whose bounds can't reach the largest fall so far isn't looked at one by one.
+    """
+
+    WIDTH = 64
+
+    def __init__(self, start: float, relative: bool = False):
+        self.peak, self.balance, self.least, self.most, self.relative = start, start, math.inf, 0.0, relative
+
+    def fell(self, peak: np.ndarray, balance: np.ndarray) -> np.ndarray:
+        return (peak - balance) / peak if self.relative else peak - balance
+
+    def add(self, results: np.ndarray) -> None:
+        n = len(results)
+        if not n:
+            return
+        balance = np.empty(-(-n // self.WIDTH) * self.WIDTH)
+        np.cumsum(results, out=balance[:n])
+        balance[:n] += self.balance
+        balance[n:] = balance[n - 1]
+        self.balance = float(balance[n - 1])
+        if math.isnan(self.balance):
+            self.most = self.least = math.nan
+            return
+        rows = balance.reshape(-1, self.WIDTH)
+        high, low = rows.max(axis=1), rows.min(axis=1)
+        after = np.maximum(np.maximum.accumulate(high), self.peak)
+        before = np.concatenate([[self.peak], after[:-1]])
+        a, b = self.fell(before, low), self.fell(after, low)
+        # the fall at a row's lowest balance lies between the two
+        floor = max(self.most, float(np.minimum(a, b).max()))
+        look = np.flatnonzero(np.maximum(a, b) >= floor - 1e-9 * abs(floor))
+        peaks = np.maximum(np.maximum.accumulate(rows[look], axis=1), before[look][:, None])
+        self.most = max(self.most, float(self.fell(peaks, rows[look]).max(initial=0.0)))
+        self.peak, self.least = float(after[-1]), min(self.least, float(low.min()))
+
+
+PIECE = 32_768
+
+
+def packed(trades: DataFrame) -> DataFrame:
+    """strategy, ids, pl: trade_id and net_pl of up to some thousand trades as arrays in bytes, 16 bytes a trade; a missing result moves no balance."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(None if pd.isna(name) else name, own["trade_id"].to_numpy(np.int64).tobytes(), own["net_pl"].to_numpy(float).tobytes()) for name, own in pdf.groupby("strategy", dropna=False)]
+            yield pd.DataFrame(out, columns=["strategy", "ids", "pl"])
+
+    return trades.select("strategy", "trade_id", F.coalesce("net_pl", F.lit(0.0)).alias("net_pl")).mapInPandas(pack, "strategy string, ids binary, pl binary")
+
+
+def by_block(trades: DataFrame, blocks: int) -> DataFrame:
+    """packed() trades for each of so many blocks of simulations, dealt out so that each block of a strategy is together."""
+    x = packed(trades).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return x.repartition(4 * x.sparkSession.sparkContext.defaultParallelism, "strategy", "block")
+
+
+def unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """trade_id and net_pl of packed() rows, in order of trade_id."""
+    ids, pl = np.frombuffer(b"".join(pdf["ids"]), np.int64), np.frombuffer(b"".join(pdf["pl"]), float)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], pl[order]
+
+
 #: Distribution function of the Poisson distribution with mean 1, up to where 32 bits end.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
-def bootstrap(trades: DataFrame, sims: int, block: int = 256) -> DataFrame:
+def bootstrap(trades: DataFrame, sims: int, block: int = 16) -> DataFrame:
     """Mean result and profit factor of resampled sets of each strategy's trades, by simulation.
 
     Each trade draws how often it counts in a simulation from a Poisson distribution with mean 1, inverted at a hash of both:
-    one pass over the trades, in which a task keeps four sums for each simulation of the strategies it meets. Only these
-    sums are shuffled. A simulation that draws no trade has no mean.
+    one pass over the trades, dealt out evenly, in which a task keeps three sums for each simulation of the strategies it
+    meets and ``block`` trades' draws. Only these sums are shuffled. A simulation that draws no trade has no mean.
     """
-    bounds = [p * 2**32 for p in POISSON]
+    bounds = [np.uint32(b) for b in (math.ceil(p * 2**32) for p in POISSON) if b < 2**32]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         sim = np.arange(sims, dtype=np.int64)[None, :]
+        h, spare, over, drawn, times = (np.empty((block, sims), t) for t in (np.uint32, np.uint32, bool, np.uint8, float))
 
         def emitted() -> Iterator[pd.DataFrame]:
             for name, x in held.items():
-                yield pd.DataFrame({"strategy": name, "sim": np.arange(sims), "n": x[:, 0], "total": x[:, 1], "gain": x[:, 2], "loss": x[:, 3]})
+                yield pd.DataFrame({"strategy": name, "sim": np.arange(sims), "n": x[0], "gain": x[1], "loss": x[2]})
             held.clear()
 
         for pdf in batches:
             for name, own in pdf.groupby("strategy", dropna=False):
                 name = None if pd.isna(name) else name
-                for lo in range(0, len(own), block):
-                    part = own.iloc[lo : lo + block]
-                    h = mixed(part["trade_id"].to_numpy(np.int64)[:, None], sim)
-                    times = np.zeros(h.shape)
+                seed, pl = seeds(own["trade_id"].to_numpy(np.int64)), own["net_pl"].to_numpy(float)
+                weights = np.stack([np.ones(len(pl)), np.maximum(pl, 0.0), np.maximum(-pl, 0.0)])
+                total = held.setdefault(name, np.zeros((3, sims)))
+                for lo in range(0, len(pl), block):
+                    n = min(block, len(pl) - lo)
+                    mixed(seed[lo : lo + n, None], sim, h[:n], spare[:n])
+                    drawn[:n] = 0
                     for b in bounds:
-                        times += h >= b
-                    pl = part["net_pl"].to_numpy(float)
-                    held[name] = held.get(name, 0.0) + times.T @ np.stack([np.ones(len(pl)), pl, np.maximum(pl, 0.0), np.maximum(-pl, 0.0)], axis=1)
+                        np.greater_equal(h[:n], b, out=over[:n])
+                        np.add(drawn[:n], over[:n].view(np.uint8), out=drawn[:n])
+                    times[:n] = drawn[:n]
+                    total += weights[:, lo : lo + n] @ times[:n]
                 if len(held) >= 64:
                     yield from emitted()
         yield from emitted()
 
-    parts = trades.select("strategy", "trade_id", "net_pl").where("net_pl IS NOT NULL").mapInPandas(partial, "strategy string, sim long, n double, total double, gain double, loss double")
-    sums = parts.groupBy("strategy", "sim").agg(*[F.sum(c).alias(c) for c in ("n", "total", "gain", "loss")])
-    return sums.select("strategy", "sim", F.try_divide("total", "n").alias("expectancy"), F.try_divide("gain", "loss").alias("profit_factor"))
+    x = trades.select("strategy", "trade_id", "net_pl").where("net_pl IS NOT NULL")
+    x = x.repartition(4 * x.sparkSession.sparkContext.defaultParallelism, "trade_id")
+    parts = x.mapInPandas(partial, "strategy string, sim long, n double, gain double, loss double")
+    sums = parts.groupBy("strategy", "sim").agg(*[F.sum(c).alias(c) for c in ("n", "gain", "loss")])
+    return sums.select("strategy", "sim", F.try_divide(F.col("gain") - F.col("loss"), F.col("n")).alias("expectancy"), F.try_divide("gain", "loss").alias("profit_factor"))
 
 
 def interval(sims: DataFrame) -> DataFrame:
@@ -76,22 +156,28 @@ def shuffled_drawdown(trades: DataFrame, sims: int, start: float, block: int = 2
 
     A task takes ``block`` simulations of a strategy; of its trades it holds two numbers each.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // block)))
 
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_id")
-        ids, pl = pdf["trade_id"].to_numpy(np.int64), pdf["net_pl"].to_numpy(float)
+        ids, pl = unpacked(pdf)
+        seed, places = seeds(ids), np.arange(len(ids), dtype=np.uint64)
+        h, spare, keys = np.empty_like(seed), np.empty_like(seed), np.empty(len(ids), np.uint64)
         first = int(pdf["block"].iloc[0]) * block
         out = []
         for sim in range(first, min(first + block, sims)):
-            balance = start + np.cumsum(pl[np.argsort(mixed(ids, np.int64(sim)), kind="stable")])
-            peak = np.maximum(np.maximum.accumulate(balance), start)
-            out.append((sim, float((peak - balance).max()), float(balance.min())))
+            # hash and place in one number: sorted, equal hashes stand in order of trade_id
+            keys[:] = mixed(seed, np.int64(sim), h, spare)
+            np.left_shift(keys, np.uint64(32), out=keys)
+            np.bitwise_or(keys, places, out=keys)
+            keys.sort()
+            fall = Fall(start)
+            for lo in range(0, len(keys), PIECE):
+                fall.add(pl[(keys[lo : lo + PIECE] & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+            out.append((sim, fall.most, fall.least))
         frame = pd.DataFrame(out, columns=["sim", "drawdown", "lowest"])
         frame.insert(0, "strategy", pdf["strategy"].iloc[0])
         return frame
 
-    per = trades.select("strategy", "trade_id", "net_pl", blocks.alias("block")).groupBy("strategy", "block").applyInPandas(paths, "strategy string, sim long, drawdown double, lowest double")
+    per = by_block(trades, (sims - 1) // block + 1).groupBy("strategy", "block").applyInPandas(paths, "strategy string, sim long, drawdown double, lowest double")
     return per.groupBy("strategy").agg(F.percentile("drawdown", F.lit(0.5)).alias("drawdown_p50"), F.percentile("drawdown", F.lit(0.95)).alias("drawdown_p95"), F.avg(F.when(F.col("lowest") <= 0, 1.0).otherwise(0.0)).alias("ruin"))
 
 

@@ -11,7 +11,7 @@ from barwright.functions import calendar as cal
 from barwright.operators.bars import as_of
 from barwright.operators.barriers import simulated_each
 from barwright.operators.blocks import beside, framed
-from barwright.operators.inference import mixed
+from barwright.operators.inference import PIECE, Fall, by_block, mixed, seeds, unpacked
 
 #: Four hours UTC, midnight in New York in summer.
 MIDNIGHT = 4 * 3600
@@ -92,30 +92,29 @@ def resampled_paths(trades: DataFrame, sims: int, start: float, floors: tuple[fl
     """strategy, sim, profit_factor, drawdown_pct and touch_<per cent> of paths of n trades drawn with replacement from a strategy's n, in order of drawing.
 
     Draws come from a hash of place and simulation. A task takes ``block`` simulations of a strategy; of its trades it holds
-    two numbers each, and of paths those of 16 simulations at most.
+    two numbers each, and of a path some thousand places at a time.
     """
     names = [f"touch_{round(100 * f)}" for f in floors]
 
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pl = pdf.sort_values("trade_id")["net_pl"].to_numpy(float)
+        pl = unpacked(pdf)[1]
+        count, seed = np.uint32(len(pl)), seeds(np.arange(len(pl), dtype=np.int64))
         first, out = int(pdf["block"].iloc[0]) * block, []
-        places = np.arange(len(pl), dtype=np.int64)[None, :]
-        for lo in range(first, min(first + block, sims), 16):
-            sim = np.arange(lo, min(lo + 16, first + block, sims), dtype=np.int64)[:, None]
-            drawn = pl[mixed(places, sim) % len(pl)]
-            balance = start + np.cumsum(drawn, axis=1)
-            peak = np.maximum(np.maximum.accumulate(balance, axis=1), start)
-            won, lost = np.maximum(drawn, 0.0).sum(axis=1), np.maximum(-drawn, 0.0).sum(axis=1)
-            least = balance.min(axis=1)
-            cols = [sim[:, 0], np.divide(won, lost, out=np.full(len(won), np.nan), where=lost > 0), ((peak - balance) / peak).max(axis=1) * 100, *(least <= start * f for f in floors)]
-            out.append(pd.DataFrame(dict(zip(["sim", "profit_factor", "drawdown_pct", *names], cols, strict=True))))
-        frame = pd.concat(out, ignore_index=True)
+        for sim in range(first, min(first + block, sims)):
+            fall, won, lost = Fall(start, relative=True), 0.0, 0.0
+            for lo in range(0, len(pl), PIECE):
+                h = mixed(seed[lo : lo + PIECE], np.int64(sim))
+                # the remainder; numpy divides faster than it takes one
+                drawn = pl[h - h // count * count]
+                fall.add(drawn)
+                won, lost = won + float(np.maximum(drawn, 0.0).sum()), lost + float(np.maximum(-drawn, 0.0).sum())
+            out.append((sim, won / lost if lost > 0 else np.nan, fall.most * 100, *(fall.least <= start * f for f in floors)))
+        frame = pd.DataFrame(out, columns=["sim", "profit_factor", "drawdown_pct", *names])
         frame.insert(0, "strategy", pdf["strategy"].iloc[0])
         return frame
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // block)))
     schema = "strategy string, sim long, profit_factor double, drawdown_pct double, " + ", ".join(f"{n} boolean" for n in names)
-    x = trades.select("strategy", "trade_id", "net_pl", blocks.alias("block")).groupBy("strategy", "block").applyInPandas(paths, schema)
+    x = by_block(trades, (sims - 1) // block + 1).groupBy("strategy", "block").applyInPandas(paths, schema)
     return x.withColumn("profit_factor", F.when(~F.isnan("profit_factor"), F.col("profit_factor")))
 
 

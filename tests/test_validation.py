@@ -87,3 +87,35 @@ def test_what_strategies_remember(fired):
     # an edge isn't followed by the same signal a bar later
     edge = {t: one[t, "ribbon_asia"] for t in times("ribbon_asia")}
     assert edge and not any(edge.get(t + 900) == s for t, s in edge.items())
+
+
+def test_falls_in_pieces():
+    """The bounded search finds what every peak and balance say, however the results are cut; a task no longer sorts pairs or holds whole paths."""
+    import numpy as np
+
+    from barwright.operators.inference import Fall
+
+    rng = np.random.default_rng(5)
+    for drift in (-1.0, 0.0, 0.3, 3.0):
+        x = rng.normal(drift, 20.0, 5000)
+        balance = 1000.0 + np.cumsum(x)
+        peak = np.maximum(np.maximum.accumulate(balance), 1000.0)
+        for relative, want in ((False, (peak - balance).max()), (True, ((peak - balance) / peak).max())):
+            for size in (1, 63, 64, 1000, 5000):
+                fall = Fall(1000.0, relative)
+                for lo in range(0, len(x), size):
+                    fall.add(x[lo : lo + size])
+                assert abs(fall.most - want) <= 1e-9 * want and abs(fall.least - balance.min()) < 1e-8
+
+
+def test_draws_wrap_at_32_bits():
+    import numpy as np
+
+    from barwright.operators.inference import mixed, seeds
+
+    ids, sims = np.array([0, 1, 2**31 - 2, 2**31 - 1, 2**40 + 7], np.int64), np.arange(0, 5000, 617, dtype=np.int64)
+    h = ((ids[:, None] % 2147483647) * 1103515245 + 12345) % 2147483648 ^ (sims * 69069 + 362437) % 2147483648
+    for a, c, shift in ((1664525, 1013904223, 15), (22695477, 1, 13), (1103515245, 12345, 16)):
+        h = (h * a + c) % 4294967296
+        h = h ^ (h >> shift)
+    assert (mixed(seeds(ids)[:, None], sims[None, :]).astype(np.int64) == h).all()
