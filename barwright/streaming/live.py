@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,8 +269,77 @@ def tripwire(closes: DataFrame, n: int = 30) -> DataFrame:
     return closes.groupBy("account").transformWithStateInPandas(Tripwire(n), "account string, t long, seq long, factor double, level string", "Append", "None")
 
 
-def closes_of(orders: DataFrame, closes: DataFrame, within: str = "2 hours", late: str = "10 minutes") -> DataFrame:
-    """Each order with each close of its ticket in time; an order without one comes with null once the watermark says that none can follow. orders: ticket, ts, order_id; closes: ticket, ts, close_id."""
-    o = orders.withWatermark("ts", late).alias("o")
-    c = closes.select(F.col("ticket").alias("c_ticket"), F.col("ts").alias("c_ts"), "close_id").withWatermark("c_ts", late)
-    return o.join(c, F.expr(f"ticket = c_ticket AND c_ts >= ts AND c_ts <= ts + INTERVAL {within}"), "leftOuter").select("order_id", "close_id")
+class Closes(Processor):
+    """Each order of a ticket with each close in time; one without comes with null once the watermark says that none can follow.
+
+    State: orders whose time isn't over, with whether they have met a close, and closes not before the watermark.
+    """
+
+    order, out = ("m",), ("order_id", "close_id")
+
+    def __init__(self, within: int, most: int = 100_000):
+        self.within, self.most = within, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.orders, self.closes = handle.getListState("orders", "m long, id long, met boolean"), handle.getListState("closes", "m long, id long")
+
+    def held(self, state, names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in state.get()] if state.exists() else [], columns=names)
+
+    def over(self, orders: pd.DataFrame, mark: int) -> np.ndarray:
+        return (orders["m"].to_numpy(np.int64) + self.within) // 1000 < mark
+
+    def keep(self, orders: pd.DataFrame, closes: pd.DataFrame | None, mark: int) -> None:
+        if closes is not None:
+            closes = closes[closes["m"].to_numpy(np.int64) >= mark * 1000]
+            self.closes.put(list(zip(closes["m"].tolist(), closes["id"].tolist(), strict=True))) if len(closes) else self.closes.clear()
+        if len(orders):
+            self.orders.put(list(zip(orders["m"].tolist(), orders["id"].tolist(), map(bool, orders["met"].tolist()), strict=True)))
+            self.handle.registerTimer((int(orders["m"].min()) + self.within) // 1000)
+        else:
+            self.orders.clear()
+
+    def met(self, orders: pd.DataFrame, closes: pd.DataFrame, seen: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of orders, in order of time, and closes; at most about ``most`` at once. seen marks the orders met."""
+        m, at = orders["m"].to_numpy(np.int64), closes["m"].to_numpy(np.int64)
+        lo, hi = np.searchsorted(m, at - self.within, "left"), np.searchsorted(m, at, "right")
+        ids, close_ids, n = orders["id"].to_numpy(np.int64), closes["id"].to_numpy(np.int64), hi - lo
+        part = np.cumsum(n) // self.most
+        for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+            ends = np.cumsum(n[own])
+            if len(own) and ends[-1]:
+                which = np.repeat(lo[own] - (ends - n[own]), n[own]) + np.arange(ends[-1])
+                seen[which] = True
+                yield pd.DataFrame({"order_id": ids[which], "close_id": np.repeat(close_ids[own], n[own])})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = self.frame(rows)
+        orders, closes = self.held(self.orders, ["m", "id", "met"]), self.held(self.closes, ["m", "id"])
+        new, came = frame.loc[frame["is_order"], ["m", "id"]].assign(met=False), frame.loc[~frame["is_order"], ["m", "id"]]
+        if key[0] is None or pd.isna(key[0]):
+            came = came[:0]
+        fresh, whole = np.zeros(len(new), bool), None
+        yield from self.met(new, closes, fresh)
+        new = new.assign(met=fresh)
+        whole = (pd.concat([orders, new]) if len(orders) else new).sort_values("m", kind="stable")
+        seen = whole["met"].to_numpy(bool).copy()
+        yield from self.met(whole, came, seen)
+        self.keep(whole.assign(met=seen), pd.concat([closes, came]) if len(closes) else came, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark, orders = timerValues.getCurrentWatermarkInMs(), self.held(self.orders, ["m", "id", "met"])
+        done = self.over(orders, mark)
+        alone = orders[done & ~orders["met"].to_numpy(bool)]
+        self.keep(orders[~done], None, mark)
+        yield pd.DataFrame({"order_id": alone["id"].to_numpy(np.int64), "close_id": pd.array([None] * len(alone), "Int64")})
+
+
+def closes_of(orders: DataFrame, closes: DataFrame, within: int = 7200, late: str = "10 minutes") -> DataFrame:
+    """Each order with each close of its ticket within so many seconds; an order without one comes with null once the watermark, the less of both, says that none can follow. orders: ticket, ts, order_id; closes: ticket, ts, close_id.
+
+    A join of the streams would try each pair of a ticket in state; here both are sorted by time.
+    """
+    of = lambda x, name: x.where("ts IS NOT NULL").withWatermark("ts", late).select("ts", "ticket", F.unix_micros("ts").alias("m"), F.col(name).alias("id"), F.lit(name == "order_id").alias("is_order"))
+    both = of(orders, "order_id").unionByName(of(closes, "close_id"))
+    return both.groupBy("ticket").transformWithStateInPandas(Closes(within * 1_000_000), "order_id long, close_id long", "Append", "EventTime")

@@ -95,3 +95,16 @@ def test_gap_boxes_in_any_batches(spark):
     for batches in (1, 6):
         assert collected(plans.replayed(df.select("symbol", "time", "high", "low", "close"), "time", lambda s: live.gap_boxes(s, 0.0005), batches)) == want
     assert max(r[2] for r in want) > 1
+
+
+def test_pairs_of_closes_come_in_parts():
+    """Many orders and closes of one ticket: each pair once, no part much above the limit."""
+    import numpy as np
+    import pandas as pd
+
+    orders, closes = pd.DataFrame({"m": np.arange(200), "id": np.arange(200)}), pd.DataFrame({"m": np.arange(0, 400, 3)[::-1].copy(), "id": np.arange(134)})
+    seen = np.zeros(200, bool)
+    parts = list(live.Closes(50, most=100).met(orders, closes, seen))
+    want = {(o, c) for o, m in zip(orders["id"], orders["m"]) for c, at in zip(closes["id"], closes["m"]) if m <= at <= m + 50}
+    got = [tuple(r) for p in parts for r in p.itertuples(index=False)]
+    assert len(got) == len(want) and set(got) == want and max(map(len, parts)) <= 151 and seen.all()
