@@ -95,11 +95,15 @@ PEAK_FALL, MONTH_FALL, WEEK_FALL, DAY_FALL, DAY_FALL_EARLY = 0.30, 0.25, 0.15, 0
 EARLY_BALANCE, EARLY_LOSERS, PAUSE_LOSSES, STOP_LOSSES, PAUSE_SECONDS, MARGIN_SHARE = 400.0, 2, 3, 5, 4 * 3600, 0.20
 
 
-def anchors(t: int) -> tuple[int, int, int]:
+def anchors(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """IST day, the Monday of its week (both in days since the epoch), and year * 12 + month."""
     day = (t + IST) // DAY
-    date = pd.Timestamp(day * DAY, unit="s")
-    return day, day - (day + 3) % 7, date.year * 12 + date.month
+    return day, day - (day + 3) % 7, day.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64) + 1970 * 12 + 1
+
+
+def latest(hit: np.ndarray) -> np.ndarray:
+    """The place of the last hit up to each row, -1 before the first."""
+    return np.maximum.accumulate(np.where(hit, np.arange(len(hit)), -1))
 
 
 class RiskGate(Processor):
@@ -120,37 +124,48 @@ class RiskGate(Processor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         peak, day, day_balance, losers, week, week_balance, month, month_balance = _value(self.rolling) or (0.0, None, 0.0, 0, None, 0.0, None, 0.0)
         losses, paused, stopped = _value(self.streak) or (0, 0, -1)
-        halted, out = _value(self.halt) is not None, []
-        fell = lambda start, equity, limit: start > 0 and (start - equity) / start >= limit
-        for t, seq, balance, equity, margin, pl in self.frame(rows)[["t", "seq", "balance", "equity", "margin", "pl"]].itertuples(index=False):
-            today, monday, this_month = anchors(int(t))
-            if today != day:
-                day, day_balance, losers = today, balance, 0
-            if monday != week:
-                week, week_balance = monday, balance
-            if this_month != month:
-                month, month_balance = this_month, balance
-            peak = max(peak, balance)
-            if pl is not None and not pd.isna(pl):
-                losses, losers = (losses + 1, losers + 1) if pl < 0 else (0, losers)
-                if pl < 0 and losses >= STOP_LOSSES:
-                    stopped = today
-                elif pl < 0 and losses >= PAUSE_LOSSES:
-                    paused = int(t) + PAUSE_SECONDS
-            early = balance < EARLY_BALANCE
-            reason = "halted" if halted else "peak" if fell(peak, equity, PEAK_FALL) else "month" if fell(month_balance, equity, MONTH_FALL) else None
-            if reason in ("peak", "month"):
-                halted = True
-                self.halt.update((reason,))
-            checks = (
-                (fell(week_balance, equity, WEEK_FALL), "week"), (stopped == today, "stopped"), (fell(day_balance, equity, DAY_FALL_EARLY if early else DAY_FALL), "day"), (early and losers >= EARLY_LOSERS, "losers"),
-                (paused > t, "paused"), (equity <= 0 or margin / equity > MARGIN_SHARE, "margin"), (True, "allowed"),
-            )
-            reason = reason or next(name for hit, name in checks if hit)
-            out.append((key[0], int(t), int(seq), reason, int(losers), int(losses), float(peak), int(paused)))
-        self.rolling.update((float(peak), int(day), float(day_balance), int(losers), int(week), float(week_balance), int(month), float(month_balance)))
-        self.streak.update((int(losses), int(paused), int(stopped)))
-        yield self.result(out)
+        halted = _value(self.halt) is not None
+        frame = self.frame(rows)
+        t, seq = (frame[c].to_numpy(np.int64) for c in ("t", "seq"))
+        balance, equity, margin, pl = (frame[c].to_numpy(float) for c in ("balance", "equity", "margin", "pl"))
+        today, monday, this_month = anchors(t)
+
+        def since(period: np.ndarray, now: int | None, value: float) -> tuple[np.ndarray, np.ndarray]:
+            """Where each row's period began, -1 in an earlier batch, and the balance there."""
+            at = latest(np.concatenate([[now is None or period[0] != now], period[1:] != period[:-1]]))
+            return at, np.where(at >= 0, balance[at], value)
+
+        def fell(start: np.ndarray, limit: np.ndarray | float) -> np.ndarray:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return (start > 0) & ((start - equity) / start >= limit)
+
+        began, day_start = since(today, day, day_balance)
+        _, week_start = since(monday, week, week_balance)
+        _, month_start = since(this_month, month, month_balance)
+        peaks = np.fmax(np.fmax.accumulate(balance), peak)
+        lost = pl < 0
+        total = np.cumsum(lost)
+        day_losers = total - np.where(began >= 0, total[began] - lost[began], -losers)
+        won = latest(pl >= 0)
+        streak = total - np.where(won >= 0, total[won], -losses)
+        pause, stop = latest(lost & (streak >= PAUSE_LOSSES) & (streak < STOP_LOSSES)), latest(lost & (streak >= STOP_LOSSES))
+        until, stopped_day = np.where(pause >= 0, t[pause] + PAUSE_SECONDS, paused), np.where(stop >= 0, today[stop], stopped)
+        early = balance < EARLY_BALANCE
+        from_peak, in_month = fell(peaks, PEAK_FALL), fell(month_start, MONTH_FALL)
+        kill = from_peak | in_month
+        after = halted | (np.cumsum(kill) - kill > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            margins = (equity <= 0) | (margin / equity > MARGIN_SHARE)
+        checks = {
+            "halted": after, "peak": from_peak, "month": in_month, "week": fell(week_start, WEEK_FALL), "stopped": stopped_day == today, "day": fell(day_start, np.where(early, DAY_FALL_EARLY, DAY_FALL)),
+            "losers": early & (day_losers >= EARLY_LOSERS), "paused": until > t, "margin": margins,
+        }
+        reason = np.select(list(checks.values()), [np.array(k, object) for k in checks], np.array("allowed", object))
+        if kill.any() and not halted:
+            self.halt.update((reason[int(np.argmax(kill))],))
+        self.rolling.update((float(peaks[-1]), int(today[-1]), float(day_start[-1]), int(day_losers[-1]), int(monday[-1]), float(week_start[-1]), int(this_month[-1]), float(month_start[-1])))
+        self.streak.update((int(streak[-1]), int(until[-1]), int(stopped_day[-1])))
+        yield pd.DataFrame(dict(zip(self.out, (key[0], t, seq, reason, day_losers, streak, peaks, until), strict=True)))
 
 
 def risk_gate(rows: DataFrame) -> DataFrame:

@@ -108,3 +108,12 @@ def test_pairs_of_closes_come_in_parts():
     want = {(o, c) for o, m in zip(orders["id"], orders["m"]) for c, at in zip(closes["id"], closes["m"]) if m <= at <= m + 50}
     got = [tuple(r) for p in parts for r in p.itertuples(index=False)]
     assert len(got) == len(want) and set(got) == want and max(map(len, parts)) <= 151 and seen.all()
+
+
+def test_anchors_of_many_rows():
+    """Rows of a batch are taken together."""
+    import numpy as np
+
+    day, week, month = live.anchors(np.array([MONDAY, MONDAY + DAY - 1, MONDAY + 7 * DAY, MONDAY + 24 * DAY], np.int64))
+    assert (day - day[0]).tolist() == [0, 0, 7, 24] and (week - day[0]).tolist() == [0, 0, 7, 21] and month.tolist() == [2024 * 12 + 1] * 3 + [2024 * 12 + 2]
+    assert live.latest(np.array([False, True, False, True])).tolist() == [-1, 1, 1, 3]
