@@ -273,7 +273,9 @@ class Tripwire(Processor):
             last = [*last, float(pl)][-self.n :]
             lost = -sum(x for x in last if x < 0)
             factor = sum(x for x in last if x > 0) / lost if lost > 0 else None
-            level = "early" if len(last) < self.n else "fine" if factor is None or factor >= 1 else "stop" if factor < 0.8 else "warn"
+            # the order of adding doesn't decide at a limit
+            told = None if factor is None else round(factor, 9)
+            level = "early" if len(last) < self.n else "fine" if told is None or told >= 1 else "stop" if told < 0.8 else "warn"
             out.append((key[0], int(t), int(seq), factor if len(last) == self.n else None, level))
         self.last.put([(x,) for x in last])
         yield self.result(out)

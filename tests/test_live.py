@@ -117,3 +117,9 @@ def test_anchors_of_many_rows():
     day, week, month = live.anchors(np.array([MONDAY, MONDAY + DAY - 1, MONDAY + 7 * DAY, MONDAY + 24 * DAY], np.int64))
     assert (day - day[0]).tolist() == [0, 0, 7, 24] and (week - day[0]).tolist() == [0, 0, 7, 21] and month.tolist() == [2024 * 12 + 1] * 3 + [2024 * 12 + 2]
     assert live.latest(np.array([False, True, False, True])).tolist() == [-1, 1, 1, 3]
+
+
+def test_tripwire_at_its_limits(spark):
+    """Gains and losses of 0.3 are even, whatever 0.1 + 0.2 gives."""
+    df = spark.createDataFrame([("a", k, k, p) for k, p in enumerate([-0.1, -0.2, 0.3])], "account string, t long, seq long, pl double")
+    assert [r["level"] for r in plans.replayed(df, "t", lambda s: live.tripwire(s, 3), 1).orderBy("seq").collect()] == ["early", "early", "fine"]
